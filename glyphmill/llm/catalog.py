@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from glyphmill.llm import sharding
+from glyphmill.llm import bpe_text, sharding, token_counts
 
 QUERIES = {
     "op1_sharding": sharding.op1,
+    "op3_bpe_encoding_and_decoding": bpe_text.op3,
+    "op10_token_counts": token_counts.op10,
 }
 ORACLES: dict[str, str] = {}

@@ -68,17 +68,23 @@ class Scan:
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
+    #: document d has the bytes cuts[d] .. cuts[d + 1] - 1
+    cuts: np.ndarray
     #: document d (counted from first) has the words bounds[d] .. bounds[d + 1] - 1
     bounds: np.ndarray
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word."""
-        if not len(self.starts):
+        return self.spans(self.starts, self.ends)
+
+    def spans(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hash of the bytes of each span."""
+        if not len(begin):
             return np.zeros(0, U)
         up, down = _BYTE_POWERS.upto(len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, U)
         np.cumsum(_TABLE[self.data] * up[:-1], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U))
+        return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(U))
 
     def windows(self, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(start word, hash) of each run of `width` words within one document, in order."""
@@ -112,5 +118,5 @@ def scans(column: pa.Array, lower: bool = False, slice_bytes: int = _SLICE_BYTES
         begins[joined] = True
         stops[joined] = True
         starts, ends = np.flatnonzero(begins), np.flatnonzero(stops)
-        yield Scan(first, last, part, starts, ends, np.searchsorted(starts, cuts).astype(np.int64))
+        yield Scan(first, last, part, starts, ends, cuts, np.searchsorted(starts, cuts).astype(np.int64))
         first = last
