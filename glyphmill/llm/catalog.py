@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from glyphmill.llm import bpe_text, jaccard_join, sharding, token_counts
+from glyphmill.llm import bpe_text, jaccard_join, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_sharding": sharding.op1,
     "op3_bpe_encoding_and_decoding": bpe_text.op3,
     "op5_ngram_jaccard_join": jaccard_join.op5,
+    "op7_substring_dedup": substring_dedup.op7,
     "op10_token_counts": token_counts.op10,
 }
 ORACLES: dict[str, str] = {}
