@@ -6,12 +6,13 @@ similarity of t or more share at least l elements among the first |x| - ceil(t |
 1. Equal sets are one node. Each node emits a prefix with a base l; prefix elements that only one node has are
    dropped, and with them nodes that have fewer than l left. This removes nearly every document without a partner,
    also those that share a common passage with thousands of others.
-2. The cost of a remaining node is the number of (element, other node) meetings in its prefix. A node whose cost is
-   high gets a longer prefix and has to share correspondingly more elements of it.
+2. The cost of a remaining node is the number of (element, other node) meetings in its prefix. The prefix of a node
+   whose cost is high grows to its whole set, of which it has to share at least ceil(t |x|).
 3. Of a node's k shared elements the k - l + 1 rarest make candidates. Pairs with a cheap member are all tested.
-   Between costly nodes, each element first ties its nodes to one of them (a star), and once the tested links have
-   been turned into components, only pairs of different components remain to be tested. So a group of thousands of
-   copies costs about one test per member, and no link between components is lost.
+   Between costly nodes, each element ties its nodes to one of them (a star), and the tested links become components;
+   this is repeated with other centres while many pairs of different components still meet. Those that are left are
+   then tested one by one. So a group of thousands of copies costs a few tests per member, and no link between
+   components is lost.
 4. Every candidate is tested exactly on the full sets.
 
 Defined results: null or word-less text: no shingles, a component of its own; fewer than five words: the sequence
@@ -21,11 +22,12 @@ non-null key; empty table: no rows; other columns are not carried.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +38,9 @@ from glyphmill.llm.words import mix, scans
 WIDTH, PERCENT = 5, 80
 #: A node is costly if it meets more than this many others per prefix element, on average.
 COSTLY = 4
+#: Stars go on while more than this many meetings per element and node are open, for so many rounds at most.
+OPEN, ROUNDS = 8, 3
+_BAND = 1.0625
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -62,22 +67,17 @@ def least_overlap(n: int, percent: int) -> int:
 
 def base_matches(n: int, percent: int) -> int:
     """l of the first prefix: small sets show all their elements."""
-    return least_overlap(n, percent) if n <= 64 else max(8, n // 32)
-
-
-def long_matches(n: int, percent: int) -> int:
-    """l of the lengthened prefix."""
-    return least_overlap(n, percent) if n <= 64 else max(8, 3 * n // 10)
+    return least_overlap(n, percent) if n <= 64 else max(4, n // 64)
 
 
 def prefix_length(n: int, matches: int, percent: int) -> int:
     return min(n, n - least_overlap(n, percent) + matches)
 
 
-def sure_matches(n: int, percent: int, matches) -> int:
+def sure_matches(n: int, percent: int) -> int:
     """The fewest prefix elements that a set of n shares with a partner of any size that can link to it."""
     low, high = least_overlap(n, percent), 100 * n // percent
-    return min(matches(s, percent) for s in {low, n, high, *(s for s in (64, 65) if low <= s <= high)})
+    return min(base_matches(s, percent) for s in {low, n, high, *(s for s in (64, 65) if low <= s <= high)})
 
 
 def _prepare(docs: DataFrame, percent: int, width: int) -> DataFrame:
@@ -91,7 +91,7 @@ def _prepare(docs: DataFrame, percent: int, width: int) -> DataFrame:
                 k = len(s)
                 n.append(k)
                 sig.append(_signature(s))
-                need.append(sure_matches(k, percent, base_matches) if k else 0)
+                need.append(sure_matches(k, percent) if k else 0)
                 q = prefix_length(k, base_matches(k, percent), percent) if k else 0
                 prefix.append(s[:q].view(np.int64))
                 lengths.append(q)
@@ -106,19 +106,15 @@ def _signature(s: np.ndarray) -> int:
 
 
 def _full(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """costly, text -> sig, n, costly, need2, longer (prefix of the long level, for costly nodes), elements."""
-    schema = T._parse_datatype_string("sig long, n long, costly boolean, need2 int, longer array<long>, elements array<long>")
+    """costly, text -> sig, n, costly, need (of the whole set), elements."""
+    schema = T._parse_datatype_string("sig long, n long, costly boolean, need int, elements array<long>")
 
     def run(batches):
         for batch in batches:
-            rows = {name: [] for name in schema.names}
-            for costly, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width), strict=True):
-                k = len(s)
-                q = prefix_length(k, long_matches(k, percent), percent) if costly else 0
-                values = (_signature(s), k, costly, sure_matches(k, percent, long_matches), s[:q].view(np.int64), s.view(np.int64))
-                for name, value in zip(schema.names, values, strict=True):
-                    rows[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["sig"], pa.int64()), pa.array(rows["n"], pa.int64()), pa.array(rows["costly"], pa.bool_()), pa.array(rows["need2"], pa.int32()), pa.array(rows["longer"], pa.list_(pa.int64())), pa.array(rows["elements"], pa.list_(pa.int64()))], names=schema.names)
+            sets = list(shingle_sets(batch.column(1), width))
+            sizes = [len(s) for s in sets]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in sets], pa.int64()), pa.array(sizes, pa.int64()), batch.column(0), pa.array([least_overlap(n, percent) for n in sizes], pa.int32()), lists], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -127,7 +123,7 @@ def _shared(tokens: DataFrame) -> DataFrame:
     """tokens (token, node, need) that at least two nodes have, with their number of nodes `df`; without nodes that
     have fewer than `need` of them."""
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    kept = tokens.join(often, "token")
+    kept = written(tokens.join(often, "token"), "kept")
     enough = kept.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need"), F.sum(F.col("df") - 1).alias("cost")).where("k >= need")
     return kept.drop("need").join(enough, "node")
 
@@ -138,7 +134,53 @@ def _rarest(shared: DataFrame) -> DataFrame:
     return shared.withColumn("r", F.row_number().over(order)).where("r <= k - need + 1")
 
 
-def _pair(a, b) -> list:
+def _band(n: Column) -> Column:
+    """Sizes within about 6 % of each other have the same number."""
+    return F.floor(F.log(n.cast("double")) / math.log(_BAND)).cast("int")
+
+
+def _dense(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(token, i, j, node, band, n, room): the rarest elements of a node for partners of each band of sizes it can
+    link to, with the number of its elements from this one on.
+
+    A partner of size m shares at least percent / (100 + percent) * (n + m) elements, all of them in the room that
+    both have left at the first they share. Nodes of the bands i and j meet under (token, i, j), whichever is larger.
+    """
+    sized = shared.drop("need").join(sets.select(F.col("sig").alias("node"), "n"), "node")
+    order = Window.partitionBy("node").orderBy("df", "token")
+    sized = sized.withColumn("r", F.row_number().over(order)).withColumn("band", _band(F.col("n")))
+    partners = F.sequence(_band(F.ceil(F.col("n") * percent / 100)), _band(F.floor(F.col("n") * 100 / percent)))
+    smallest = F.greatest(F.floor(F.pow(F.lit(_BAND), F.col("other").cast("double"))) - 1, F.lit(0))
+    need = F.ceil((F.col("n") + smallest) * percent / (100 + percent) - 1e-6)
+    rows = sized.where(F.col("r") <= F.col("k") - F.ceil(F.col("n") * percent / 100) + 1).withColumn("other", F.explode(partners))
+    return rows.where(F.col("r") <= F.col("k") - need + 1).select("token", F.least("band", "other").alias("i"), F.greatest("band", "other").alias("j"), "node", "band", "n", (F.col("k") - F.col("r") + 1).alias("room"))
+
+
+def _open(dense: DataFrame, roots: DataFrame) -> tuple[DataFrame, int, int]:
+    """dense where nodes that meet are still in different components; how many such pairs meet; its rows."""
+    placed = dense.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = placed.groupBy("token", "i", "j", "root").agg(F.count_if(F.col("band") == F.col("i")).alias("a"), F.count_if(F.col("band") == F.col("j")).alias("b"))
+    meetings = (F.sum("a") * F.sum("b") - F.sum(F.col("a") * F.col("b"))) / F.when(F.col("i") == F.col("j"), 2).otherwise(1)
+    split = sizes.groupBy("token", "i", "j").agg(meetings.alias("meetings")).where("meetings > 0")
+    open_ = written(placed.join(split, ["token", "i", "j"]), "open")
+    total = open_.groupBy("token", "i", "j").agg(F.first("meetings").alias("m"), F.count(F.lit(1)).alias("c")).agg(F.sum("m"), F.sum("c")).first()
+    return open_, total[0] or 0, total[1] or 0
+
+
+def _meeting(open_: DataFrame, turn: int | None, percent: int) -> DataFrame:
+    """Pairs of different components that meet: all of them, or those with one centre of each group, by turn."""
+    key = ["token", "i", "j"]
+    other = open_.select(*key, *(F.col(c).alias(c + "2") for c in ("node", "root", "band", "n", "room")))
+    if turn is not None:
+        # the node with most shared elements is close to most others; later turns try nodes at random
+        side, best = "i" if turn % 2 == 0 else "j", F.when(F.lit(turn < 2), -F.col("room2")).otherwise(0)
+        chosen = F.min_by(F.struct("node2", "root2", "band2", "n2", "room2"), F.struct(best, F.xxhash64("node2", F.lit(turn))))
+        other = other.where(f"band2 = {side}").groupBy(*key).agg(chosen.alias("c")).select(*key, "c.*")
+    fits = f"{100 + percent} * least(room, room2) >= {percent} * (n + n2)"
+    return open_.join(other, key).where(f"root <> root2 and (i = j or band <> band2) and {fits}" + (" and node < node2" if turn is None else "")).select(*_pair("node", "node2")).distinct()
+
+
+def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
@@ -172,21 +214,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     probes = written(_rarest(again).select("token", "node").join(costs, "node"), "probes")
     cheap, every = probes.where("not costly").select("token", F.col("node").alias("x")), probes.select("token", F.col("node").alias("y"), F.col("costly").alias("cy"))
     tested = cheap.join(every, "token").where("x < y or (x > y and cy)").select(*_pair("x", "y")).distinct()
-    longer = sets.where("costly").select(F.explode("longer").alias("token"), F.col("sig").alias("node"), F.col("need2").alias("need"))
-    dense = written(_rarest(_shared(longer)).select("token", "node"), "dense")
-    centre = dense.groupBy("token").agg(F.min("node").alias("c"))
-    stars = dense.join(centre, "token").where("node <> c").select(*_pair("node", "c")).distinct()
-    links = written(_links(tested.unionByName(stars).distinct(), sets, percent), "links")
+    whole = sets.where("costly").select(F.explode("elements").alias("token"), F.col("sig").alias("node"), "need")
+    dense = written(_dense(_shared(whole), sets, percent), "dense")
+    links = written(_links(tested, sets, percent), "links")
     roots = components(links)
-    # what the stars have not settled: pairs of costly nodes that meet, in different components so far
-    placed = dense.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    open_ = written(placed.join(split, "token"), "open")
-    if not open_.isEmpty():
-        x, y = open_.select("token", F.col("node").alias("x"), F.col("root").alias("rx")), open_.select("token", F.col("node").alias("y"), F.col("root").alias("ry"))
-        rest = x.join(y, "token").where("rx <> ry and x < y").select(*_pair("x", "y")).distinct()
-        more = _links(rest.join(stars, ["a", "b"], "left_anti"), sets, percent)
-        roots = components(written(links.unionByName(more), "links"))
+    for turn in range(ROUNDS + 1):
+        open_, meetings, rows = _open(dense, roots)
+        if not rows:
+            break
+        last = turn == ROUNDS or meetings <= OPEN * rows
+        links = written(links.unionByName(_links(_meeting(open_, None if last else turn, percent), sets, percent)), "links")
+        roots = components(links)
+        forget(spark, open_)
+        if last:
+            break
     out = prepared.select("key", "n", "sig").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
     out = out.withColumn("root", F.coalesce("root", "sig"))
     smallest = out.where("n > 0").groupBy("root").agg(F.min("key").alias("component_id"))
