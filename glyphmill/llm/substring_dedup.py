@@ -6,10 +6,10 @@ key. Equal texts need no comparison: all but those with the smallest key lose ev
 1. Confirm. Each window is known by the smallest of its 25-word hashes; texts that share a window share that value.
    Windows whose value no other text has are out; the others are grouped by their own hash, which gives each
    recurring window its owner, the smallest key. Runs of windows that one text owns are the recurring passages.
-2. Compile. Passages are dealt into shards by owner, sized by their bytes. A shard's Aho-Corasick automaton holds
-   16-word phrases of its passages at a stride of 35 words, so that each window of a passage holds a whole phrase.
-3. Stream. Each text runs through the automata of the shards that own windows of it. A phrase found is extended word
-   by word, on the words themselves, in both directions; runs of 50 words or more that a smaller key owns are cut.
+2. Compile. Passages are dealt into shards by owner, sized by their bytes. A shard's Aho-Corasick automaton holds,
+   for each window of its passages, the 16-word phrase in it with the smallest hash (copies share these phrases).
+3. Stream. Each text runs through the automata of the shards that own windows of it. Windows around a phrase found
+   are looked up among the shard's windows and compared word by word; those that a smaller key owns are cut.
    A shard that many texts need is copied, and the texts are dealt over its copies.
 
 Defined results: null or empty text: no words, nothing removed, the digest of the empty string; texts under 50 words
@@ -20,7 +20,6 @@ rows; other columns pass through `without_repeats` and are not carried by `repea
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import ahocorasick
 import numpy as np
@@ -33,7 +32,6 @@ from glyphmill.llm.shared import forget, written
 from glyphmill.llm.words import scans
 
 WINDOW, ANCHOR, PHRASE = 50, 25, 16
-STRIDE = WINDOW - PHRASE + 1
 #: Bytes of passages in one automaton, and of texts in one copy of a shard.
 SHARD_BYTES, STREAM_BYTES = 2_000_000, 16_000_000
 _LAST = 2**63 - 1
@@ -124,40 +122,65 @@ class Automaton:
     """Phrases of recurring passages, and the search for every occurrence of the passages' windows in a text."""
 
     def __init__(self) -> None:
-        self.passages: list[tuple[int, list[bytes]]] = []
+        self.owners: list[int] = []
+        self.passages: list[bytes] = []
         self.machine = None
 
     def add(self, owner: int, passage: bytes) -> None:
-        self.passages.append((owner, passage.split(b" ")))
+        self.owners.append(owner)
+        self.passages.append(passage)
 
     def compile(self) -> None:
-        places: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for p, (_, words) in enumerate(self.passages):
-            for x in range(0, len(words) - PHRASE + 1, STRIDE):
-                places[_spaced(words[x : x + PHRASE])].append((p, x))
+        self.words = [p.split(b" ") for p in self.passages]
         self.machine = ahocorasick.Automaton()
-        for phrase, at in places.items():
-            self.machine.add_word(phrase, (len(phrase), at))
+        keys, passages, offsets = [], [], []
+        for scan in scans(pa.array(self.passages, pa.binary())):
+            words = scan.hashes()
+            at, wide = scan.windows(words, WINDOW)
+            keys.append(wide)
+            of = np.searchsorted(scan.bounds, at, "right") - 1
+            passages.append(scan.first + of)
+            offsets.append(at - scan.bounds[of])
+            at, grams = scan.windows(words, PHRASE)
+            cuts = np.searchsorted(at, scan.bounds)
+            for d in range(len(scan.bounds) - 1):
+                own = grams[cuts[d] : cuts[d + 1]]
+                chosen = np.isin(own, _sliding_min(own, WINDOW - PHRASE + 1))
+                for x in np.flatnonzero(chosen).tolist():
+                    self.machine.add_word(_spaced(self.words[scan.first + d][x : x + PHRASE]), 1)
+        keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.places = np.stack([np.concatenate(passages)[order], np.concatenate(offsets)[order]]) if len(keys) else np.zeros((2, 0), np.int64)
         self.machine.make_automaton()
 
-    def cuts(self, key: int, words: list[bytes]) -> list[tuple[int, int]]:
-        """Runs of at least a window that occur in passages of smaller keys."""
-        if len(words) < WINDOW or not len(self.machine):
+    def cuts(self, key: int, text: bytes, windows: np.ndarray) -> list[tuple[int, int]]:
+        """Runs of windows of a text that occur in passages of smaller keys; windows: the hashes of all its windows."""
+        if not len(windows) or not len(self.machine):
             return []
-        begins = np.cumsum([1, *(len(w) + 1 for w in words)])
-        seen: dict[tuple[int, int], int] = {}
-        found = []
-        for end, (length, places) in self.machine.iter(_spaced(words)):
-            i = int(np.searchsorted(begins, end - length + 2))
-            for p, x in places:
-                owner, passage = self.passages[p]
-                if owner >= key or i < seen.get((p, i - x), 0):
-                    continue
-                a, b = _extended(words, i, passage, x)
-                seen[p, i - x] = b
-                if b - a >= WINDOW:
-                    found.append((a, b))
-        return found
+        words = text.split()
+        phrases = np.zeros(len(windows) + 1, np.int64)
+        begins = np.cumsum([1, *map(len, words)]) + np.arange(len(words) + 1)
+        ends = np.array([end for end, _ in self.machine.iter(_spaced(words))], np.int64)
+        if not len(ends):
+            return []
+        found = np.searchsorted(begins, ends + 1) - PHRASE  # the first word of each phrase
+        np.add.at(phrases, np.maximum(found + PHRASE - WINDOW, 0), 1)
+        np.add.at(phrases, np.minimum(found, len(windows) - 1) + 1, -1)
+        at = np.flatnonzero(np.cumsum(phrases[:-1]) > 0)
+        row = np.searchsorted(self.keys, windows[at])
+        hit = row < len(self.keys)
+        hit[hit] = self.keys[row[hit]] == windows[at[hit]]
+        at, (passage, offset) = at[hit], self.places[:, row[hit]]
+        smaller = np.array([self.owners[p] < key for p in passage.tolist()], bool)
+        at, passage, offset = at[smaller], passage[smaller], offset[smaller]
+        out = []
+        for run in np.split(np.arange(len(at)), np.flatnonzero((np.diff(at) != 1) | (np.diff(passage) != 0) | (np.diff(offset) != 1)) + 1):
+            if len(run):
+                a, b, x = int(at[run[0]]), int(at[run[-1]]) + WINDOW, int(offset[run[0]])
+                if words[a:b] == self.words[passage[run[0]]][x : x + b - a]:
+                    out.append((a, b))
+        return out
 
 
 def _spaced(words: list[bytes]) -> str:
@@ -165,30 +188,6 @@ def _spaced(words: list[bytes]) -> str:
     return (b" " + b" ".join(words) + b" ").decode("latin-1")
 
 
-def _extended(words: list[bytes], i: int, passage: list[bytes], x: int) -> tuple[int, int]:
-    """The run of words around words[i] that equals the passage around passage[x]."""
-    back, step = min(i, x), 64
-    a, b, most = i, i, min(len(words) - i, len(passage) - x)
-    while a > i - back:  # in strides while whole strides agree, then word by word
-        n = min(step, a - (i - back))
-        if words[a - n : a] == passage[x - i + a - n : x - i + a]:
-            a -= n
-        elif n > 1:
-            step = n // 2
-        else:
-            break
-    step = 64
-    while b < i + most:
-        n = min(step, i + most - b)
-        if words[b : b + n] == passage[x - i + b : x - i + b + n]:
-            b += n
-        elif n > 1:
-            step = n // 2
-        else:
-            break
-    return a, b
-
-
 def _stream(dealt: DataFrame) -> DataFrame:
     """Rows of (shard, copy), passages first, then texts -> key, tk, froms, tos of the words to cut."""
     schema = T.StructType([*dealt.select("key", "tk").schema.fields, *T._parse_datatype_string("froms array<int>, tos array<int>").fields])
@@ -197,18 +196,24 @@ def _stream(dealt: DataFrame) -> DataFrame:
         group, automaton = None, None
         for batch in batches:
             out = ([], [], [], [])
-            for shard, copy, is_text, key, tk, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group != (shard, copy):
-                    group, automaton = (shard, copy), Automaton()
-                if not is_text:
-                    automaton.add(key, text.encode())
-                    continue
-                if automaton.machine is None:
-                    automaton.compile()
-                found = automaton.cuts(key, text.encode().split())
-                if found:
-                    for column, value in zip(out, (key, tk, [a for a, _ in found], [b for _, b in found]), strict=True):
-                        column.append(value)
+            *columns, texts = batch.columns
+            rows = list(zip(*(c.to_pylist() for c in columns), strict=True))
+            for scan in scans(texts):
+                at, wide = scan.windows(scan.hashes(), WINDOW)
+                cuts, data = np.searchsorted(at, scan.bounds), scan.data.tobytes()
+                for d in range(len(scan.bounds) - 1):
+                    shard, copy, is_text, key, tk = rows[scan.first + d]
+                    text = data[scan.cuts[d] : scan.cuts[d + 1]]
+                    if group != (shard, copy):
+                        group, automaton = (shard, copy), Automaton()
+                    if not is_text:
+                        automaton.add(key, text)
+                        continue
+                    if automaton.machine is None:
+                        automaton.compile()
+                    if found := automaton.cuts(key, text, wide[cuts[d] : cuts[d + 1]]):
+                        for column, value in zip(out, (key, tk, [a for a, _ in found], [b for _, b in found]), strict=True):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, f) for v, f in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=schema.names)
 
     return dealt.select("shard", "copy", "is_text", "key", "tk", "text").mapInArrow(run, schema)
