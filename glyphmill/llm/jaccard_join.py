@@ -6,13 +6,12 @@ similarity of t or more share at least l elements among the first |x| - ceil(t |
 1. Equal sets are one node. Each node emits a prefix with a base l; prefix elements that only one node has are
    dropped, and with them nodes that have fewer than l left. This removes nearly every document without a partner,
    also those that share a common passage with thousands of others.
-2. The cost of a remaining node is the number of (element, other node) meetings in its prefix. The prefix of a node
-   whose cost is high grows to its whole set, of which it has to share at least ceil(t |x|).
-3. Of a node's k shared elements the k - l + 1 rarest make candidates. Pairs with a cheap member are all tested.
-   Between costly nodes, each element ties its nodes to one of them (a star), and the tested links become components;
-   this is repeated with other centres while many pairs of different components still meet. Those that are left are
-   then tested one by one. So a group of thousands of copies costs a few tests per member, and no link between
-   components is lost.
+2. Of a node's k shared prefix elements the k - l + 1 rarest make candidates. Each element first ties its nodes to one
+   of them (a star) and the tested links become components. Only nodes of different components that still meet are
+   left; the cost of a node is the number of such meetings. Those of nodes with a low cost are all tested.
+3. The prefix of a node whose cost stays high grows to its whole set, of which it has to share ceil(t |x|) elements or
+   more, depending on the partner's size. Stars and components come first here too, then what is left. So a group of
+   thousands of copies costs a few tests per member, and no link between components is lost.
 4. Every candidate is tested exactly on the full sets.
 
 Defined results: null or word-less text: no shingles, a component of its own; fewer than five words: the sequence
@@ -36,10 +35,10 @@ from glyphmill.llm.shared import forget, written
 from glyphmill.llm.words import mix, scans
 
 WIDTH, PERCENT = 5, 80
-#: A node is costly if it meets more than this many others per prefix element, on average.
-COSTLY = 4
-#: Stars go on while more than this many meetings per element and node are open, for so many rounds at most.
-OPEN, ROUNDS = 8, 3
+#: A node is costly if it still meets more than this many others per element, on average.
+COSTLY = 8
+#: Turns of stars at each level.
+TURNS = 2
 _BAND = 1.0625
 
 
@@ -106,15 +105,15 @@ def _signature(s: np.ndarray) -> int:
 
 
 def _full(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """costly, text -> sig, n, costly, need (of the whole set), elements."""
-    schema = T._parse_datatype_string("sig long, n long, costly boolean, need int, elements array<long>")
+    """text -> sig, n, need (of the whole set), elements."""
+    schema = T._parse_datatype_string("sig long, n long, need int, elements array<long>")
 
     def run(batches):
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1), width))
+            sets = list(shingle_sets(batch.column(0), width))
             sizes = [len(s) for s in sets]
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in sets], pa.int64()), pa.array(sizes, pa.int64()), batch.column(0), pa.array([least_overlap(n, percent) for n in sizes], pa.int32()), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in sets], pa.int64()), pa.array(sizes, pa.int64()), pa.array([least_overlap(n, percent) for n in sizes], pa.int32()), lists], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -128,10 +127,17 @@ def _shared(tokens: DataFrame) -> DataFrame:
     return kept.drop("need").join(enough, "node")
 
 
-def _rarest(shared: DataFrame) -> DataFrame:
-    """The k - need + 1 rarest elements of each node; a node's elements are bounded by its text."""
+def _ranked(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """shared with n and the rank r of each element in its node, rarest first; a node's elements are bounded by its text."""
     order = Window.partitionBy("node").orderBy("df", "token")
-    return shared.withColumn("r", F.row_number().over(order)).where("r <= k - need + 1")
+    sized = shared.join(sets.select(F.col("sig").alias("node"), "n"), "node")
+    return sized.withColumn("r", F.row_number().over(order)).withColumn("room", F.col("k") - F.col("r") + 1)
+
+
+def _first_level(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """(token, i, j, node, band, n, room): the k - need + 1 rarest elements of each node; no bands at this level."""
+    zero = F.lit(0)
+    return _ranked(shared, sets).where("r <= k - need + 1").select("token", zero.alias("i"), zero.alias("j"), "node", zero.alias("band"), "n", "room")
 
 
 def _band(n: Column) -> Column:
@@ -139,45 +145,46 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(_BAND)).cast("int")
 
 
-def _dense(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _whole_level(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(token, i, j, node, band, n, room): the rarest elements of a node for partners of each band of sizes it can
     link to, with the number of its elements from this one on.
 
     A partner of size m shares at least percent / (100 + percent) * (n + m) elements, all of them in the room that
     both have left at the first they share. Nodes of the bands i and j meet under (token, i, j), whichever is larger.
     """
-    sized = shared.drop("need").join(sets.select(F.col("sig").alias("node"), "n"), "node")
-    order = Window.partitionBy("node").orderBy("df", "token")
-    sized = sized.withColumn("r", F.row_number().over(order)).withColumn("band", _band(F.col("n")))
+    sized = _ranked(shared.drop("need"), sets).withColumn("band", _band(F.col("n")))
     partners = F.sequence(_band(F.ceil(F.col("n") * percent / 100)), _band(F.floor(F.col("n") * 100 / percent)))
     smallest = F.greatest(F.floor(F.pow(F.lit(_BAND), F.col("other").cast("double"))) - 1, F.lit(0))
     need = F.ceil((F.col("n") + smallest) * percent / (100 + percent) - 1e-6)
     rows = sized.where(F.col("r") <= F.col("k") - F.ceil(F.col("n") * percent / 100) + 1).withColumn("other", F.explode(partners))
-    return rows.where(F.col("r") <= F.col("k") - need + 1).select("token", F.least("band", "other").alias("i"), F.greatest("band", "other").alias("j"), "node", "band", "n", (F.col("k") - F.col("r") + 1).alias("room"))
+    return rows.where(F.col("r") <= F.col("k") - need + 1).select("token", F.least("band", "other").alias("i"), F.greatest("band", "other").alias("j"), "node", "band", "n", "room")
 
 
-def _open(dense: DataFrame, roots: DataFrame) -> tuple[DataFrame, int, int]:
-    """dense where nodes that meet are still in different components; how many such pairs meet; its rows."""
+def _open(dense: DataFrame, roots: DataFrame) -> DataFrame:
+    """dense where nodes that meet are still in different components, with the root and the meetings of each row."""
     placed = dense.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = placed.groupBy("token", "i", "j", "root").agg(F.count_if(F.col("band") == F.col("i")).alias("a"), F.count_if(F.col("band") == F.col("j")).alias("b"))
-    meetings = (F.sum("a") * F.sum("b") - F.sum(F.col("a") * F.col("b"))) / F.when(F.col("i") == F.col("j"), 2).otherwise(1)
-    split = sizes.groupBy("token", "i", "j").agg(meetings.alias("meetings")).where("meetings > 0")
-    open_ = written(placed.join(split, ["token", "i", "j"]), "open")
-    total = open_.groupBy("token", "i", "j").agg(F.first("meetings").alias("m"), F.count(F.lit(1)).alias("c")).agg(F.sum("m"), F.sum("c")).first()
-    return open_, total[0] or 0, total[1] or 0
+    key = ["token", "i", "j"]
+    sizes = placed.groupBy(*key, "root").agg(F.count_if(F.col("band") == F.col("i")).alias("a"), F.count_if(F.col("band") == F.col("j")).alias("b"))
+    groups = sizes.groupBy(*key).agg(F.count(F.lit(1)).alias("roots"), F.sum("a").alias("all_a"), F.sum("b").alias("all_b"), F.sum(F.col("a") * F.col("b")).alias("same"))
+    groups = groups.where("all_a * all_b > same").drop("roots", "same")
+    # a row meets the other band's nodes; those of its own root are not known here, so this counts a little too many
+    meets = F.when(F.col("band") == F.col("i"), F.col("all_b")).otherwise(F.col("all_a"))
+    return written(placed.join(groups, key).withColumn("meets", meets).drop("all_a", "all_b"), "open")
 
 
-def _meeting(open_: DataFrame, turn: int | None, percent: int) -> DataFrame:
+def _meeting(open_: DataFrame, percent: int, turn: int | None = None, whole: bool = True, only: str = "true") -> DataFrame:
     """Pairs of different components that meet: all of them, or those with one centre of each group, by turn."""
     key = ["token", "i", "j"]
     other = open_.select(*key, *(F.col(c).alias(c + "2") for c in ("node", "root", "band", "n", "room")))
     if turn is not None:
-        # the node with most shared elements is close to most others; later turns try nodes at random
-        side, best = "i" if turn % 2 == 0 else "j", F.when(F.lit(turn < 2), -F.col("room2")).otherwise(0)
-        chosen = F.min_by(F.struct("node2", "root2", "band2", "n2", "room2"), F.struct(best, F.xxhash64("node2", F.lit(turn))))
-        other = other.where(f"band2 = {side}").groupBy(*key).agg(chosen.alias("c")).select(*key, "c.*")
-    fits = f"{100 + percent} * least(room, room2) >= {percent} * (n + n2)"
-    return open_.join(other, key).where(f"root <> root2 and (i = j or band <> band2) and {fits}" + (" and node < node2" if turn is None else "")).select(*_pair("node", "node2")).distinct()
+        # the node with most shared elements is close to most others
+        side = "i" if turn % 2 == 0 else "j"
+        centre = F.min_by(F.struct("node2", "root2", "band2", "n2", "room2"), F.struct(-F.col("room2"), F.xxhash64("node2", F.lit(turn))))
+        other = other.where(f"band2 = {side}").groupBy(*key).agg(centre.alias("c")).select(*key, "c.*")
+    fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
+    if whole:
+        fits += f" and {100 + percent} * least(room, room2) >= {percent} * (n + n2)"
+    return open_.where(only).join(other, key).where(f"root <> root2 and (i = j or band <> band2) and {fits}").select(*_pair("node", "node2")).distinct()
 
 
 def _pair(a: str, b: str) -> list:
@@ -195,6 +202,16 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
+def _tie(level: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(links, roots) after turns of stars."""
+    for turn in range(TURNS):
+        open_ = _open(level, roots)
+        links = written(links.unionByName(_links(_meeting(open_, percent, turn, whole), sets, percent)), "links")
+        roots = components(links)
+        forget(level.sparkSession, open_)
+    return links, roots
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """One row per input row: key, n_shingles, component_id (the smallest key that links reach)."""
     spark = df.sparkSession
@@ -203,37 +220,32 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     nodes = prepared.where("n > 0").groupBy("sig").agg(F.min_by(F.struct("key", "tk", "need", "prefix"), F.struct("key", "tk")).alias("r"))
     tokens = nodes.select(F.explode("r.prefix").alias("token"), F.col("sig").alias("node"), F.col("r.need").alias("need"))
     first = written(_shared(tokens), "shared")
-    costs = first.groupBy("node").agg((F.first("cost") > COSTLY * F.count(F.lit(1))).alias("costly"))
-    wanted = prepared.where("n > 0").groupBy("sig").agg(F.min(F.struct("key", "tk")).alias("r")).join(costs.withColumnRenamed("node", "sig"), "sig")
-    wanted = wanted.select(F.col("r.key").alias("rkey"), F.col("r.tk").alias("rtk"), "costly")
-    texts = docs.join(wanted, docs.key.eqNullSafe(wanted.rkey) & (docs.tk == wanted.rtk)).select("costly", "text")
+    wanted = prepared.where("n > 0").groupBy("sig").agg(F.min(F.struct("key", "tk")).alias("r")).join(first.select(F.col("node").alias("sig")).distinct(), "sig")
+    wanted = wanted.select(F.col("r.key").alias("rkey"), F.col("r.tk").alias("rtk"))
+    texts = docs.join(wanted, docs.key.eqNullSafe(wanted.rkey) & (docs.tk == wanted.rtk)).select("text")
     sets = written(_full(texts, percent, width).dropDuplicates(["sig"]), "sets")
 
     # a second count drops elements whose other nodes have gone
-    again = _shared(first.select("token", "node", "need"))
-    probes = written(_rarest(again).select("token", "node").join(costs, "node"), "probes")
-    cheap, every = probes.where("not costly").select("token", F.col("node").alias("x")), probes.select("token", F.col("node").alias("y"), F.col("costly").alias("cy"))
-    tested = cheap.join(every, "token").where("x < y or (x > y and cy)").select(*_pair("x", "y")).distinct()
-    whole = sets.where("costly").select(F.explode("elements").alias("token"), F.col("sig").alias("node"), "need")
-    dense = written(_dense(_shared(whole), sets, percent), "dense")
-    links = written(_links(tested, sets, percent), "links")
+    level = written(_first_level(_shared(first.select("token", "node", "need")), sets), "level")
+    links = level.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    links, roots = _tie(level, links, components(links), sets, percent, whole=False)
+    open_ = _open(level, roots)
+    costly = open_.groupBy("node").agg((F.sum("meets") > COSTLY * F.count(F.lit(1))).alias("costly"))
+    open_ = written(open_.join(costly, "node"), "open")
+    cheap = _meeting(open_, percent, whole=False, only="not costly")
+    links = written(links.unionByName(_links(cheap, sets, percent)), "links")
+    grown = sets.join(open_.where("costly").select(F.col("node").alias("sig")).distinct(), "sig")
+    whole = grown.select(F.explode("elements").alias("token"), F.col("sig").alias("node"), "need")
+    level = written(_whole_level(_shared(whole), sets, percent), "level")
+    links, roots = _tie(level, links, components(links), sets, percent)
+    links = written(links.unionByName(_links(_meeting(_open(level, roots), percent), sets, percent)), "links")
     roots = components(links)
-    for turn in range(ROUNDS + 1):
-        open_, meetings, rows = _open(dense, roots)
-        if not rows:
-            break
-        last = turn == ROUNDS or meetings <= OPEN * rows
-        links = written(links.unionByName(_links(_meeting(open_, None if last else turn, percent), sets, percent)), "links")
-        roots = components(links)
-        forget(spark, open_)
-        if last:
-            break
     out = prepared.select("key", "n", "sig").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
     out = out.withColumn("root", F.coalesce("root", "sig"))
     smallest = out.where("n > 0").groupBy("root").agg(F.min("key").alias("component_id"))
     placed = out.where("n > 0").join(smallest, "root").select("key", "n", "component_id")
     alone = out.where("n = 0").select("key", "n", F.col("key").alias("component_id"))
-    forget(spark, first, probes)
+    forget(spark, first, level)
     return placed.unionByName(alone).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
