@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from glyphmill.llm import bpe_text, jaccard_join, quality, sharding, substring_dedup, token_counts
+from glyphmill.llm import bpe_text, jaccard_join, quality, sharding, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1,
     "op2_quality_rules": quality.op2,
     "op3_bpe_encoding_and_decoding": bpe_text.op3,
     "op5_ngram_jaccard_join": jaccard_join.op5,
+    "op6_toxicity": toxicity.op6,
     "op7_substring_dedup": substring_dedup.op7,
     "op10_token_counts": token_counts.op10,
 }
