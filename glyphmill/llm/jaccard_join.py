@@ -118,13 +118,15 @@ def _full(docs: DataFrame, percent: int, width: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _shared(tokens: DataFrame) -> DataFrame:
-    """tokens (token, node, need) that at least two nodes have, with their number of nodes `df`; without nodes that
-    have fewer than `need` of them."""
+def _shared(tokens: DataFrame, needs: DataFrame) -> DataFrame:
+    """tokens (token, node) that at least two nodes have, with their number of nodes `df`, the node's number of them `k`
+    and its `need`; without nodes that have fewer than they need."""
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     kept = written(tokens.join(often, "token"), "kept")
-    enough = kept.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("need").alias("need"), F.sum(F.col("df") - 1).alias("cost")).where("k >= need")
-    return kept.drop("need").join(enough, "node")
+    enough = kept.groupBy("node").agg(F.count(F.lit(1)).alias("k")).join(needs, "node").where("k >= need")
+    out = written(kept.join(enough, "node"), "shared")
+    forget(tokens.sparkSession, kept)
+    return out
 
 
 def _ranked(shared: DataFrame, sets: DataFrame) -> DataFrame:
@@ -217,16 +219,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("tk"), F.col(text).alias("text"))
     prepared = written(_prepare(docs, percent, width), "shingles")
-    nodes = prepared.where("n > 0").groupBy("sig").agg(F.min_by(F.struct("key", "tk", "need", "prefix"), F.struct("key", "tk")).alias("r"))
-    tokens = nodes.select(F.explode("r.prefix").alias("token"), F.col("sig").alias("node"), F.col("r.need").alias("need"))
-    first = written(_shared(tokens), "shared")
+    nodes = prepared.where("n > 0").groupBy("sig").agg(F.min_by(F.struct("prefix"), F.struct("key", "tk")).alias("r"))
+    tokens = nodes.select(F.explode("r.prefix").alias("token"), F.col("sig").alias("node"))
+    needs = prepared.where("n > 0").groupBy(F.col("sig").alias("node")).agg(F.min("need").alias("need"))
+    first = _shared(tokens, needs)
     wanted = prepared.where("n > 0").groupBy("sig").agg(F.min(F.struct("key", "tk")).alias("r")).join(first.select(F.col("node").alias("sig")).distinct(), "sig")
     wanted = wanted.select(F.col("r.key").alias("rkey"), F.col("r.tk").alias("rtk"))
     texts = docs.join(wanted, docs.key.eqNullSafe(wanted.rkey) & (docs.tk == wanted.rtk)).select("text")
     sets = written(_full(texts, percent, width).dropDuplicates(["sig"]), "sets")
 
     # a second count drops elements whose other nodes have gone
-    level = written(_first_level(_shared(first.select("token", "node", "need")), sets), "level")
+    again = _shared(first.select("token", "node"), needs)
+    forget(spark, first)
+    level = written(_first_level(again, sets), "level")
     links = level.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     links, roots = _tie(level, links, components(links), sets, percent, whole=False)
     open_ = _open(level, roots)
@@ -235,8 +240,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     cheap = _meeting(open_, percent, whole=False, only="not costly")
     links = written(links.unionByName(_links(cheap, sets, percent)), "links")
     grown = sets.join(open_.where("costly").select(F.col("node").alias("sig")).distinct(), "sig")
-    whole = grown.select(F.explode("elements").alias("token"), F.col("sig").alias("node"), "need")
-    level = written(_whole_level(_shared(whole), sets, percent), "level")
+    whole = grown.select(F.explode("elements").alias("token"), F.col("sig").alias("node"))
+    level = written(_whole_level(_shared(whole, sets.select(F.col("sig").alias("node"), "need")), sets, percent), "level")
     links, roots = _tie(level, links, components(links), sets, percent)
     links = written(links.unionByName(_links(_meeting(_open(level, roots), percent), sets, percent)), "links")
     roots = components(links)
@@ -245,7 +250,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     smallest = out.where("n > 0").groupBy("root").agg(F.min("key").alias("component_id"))
     placed = out.where("n > 0").join(smallest, "root").select("key", "n", "component_id")
     alone = out.where("n = 0").select("key", "n", F.col("key").alias("component_id"))
-    forget(spark, first, level)
+    forget(spark, again, level)
     return placed.unionByName(alone).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
