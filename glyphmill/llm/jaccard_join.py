@@ -217,16 +217,16 @@ def _tie(level: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame,
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """One row per input row: key, n_shingles, component_id (the smallest key that links reach)."""
     spark = df.sparkSession
-    docs = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("tk"), F.col(text).alias("text"))
-    prepared = written(_prepare(docs, percent, width), "shingles")
+    docs = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("tk"), F.xxhash64(key).alias("kh"), F.col(text).alias("text"))
+    prepared = written(_prepare(docs.select("key", "tk", "text"), percent, width), "shingles")
     nodes = prepared.where("n > 0").groupBy("sig").agg(F.min_by(F.struct("prefix"), F.struct("key", "tk")).alias("r"))
     tokens = nodes.select(F.explode("r.prefix").alias("token"), F.col("sig").alias("node"))
     needs = prepared.where("n > 0").groupBy(F.col("sig").alias("node")).agg(F.min("need").alias("need"))
     first = _shared(tokens, needs)
     wanted = prepared.where("n > 0").groupBy("sig").agg(F.min(F.struct("key", "tk")).alias("r")).join(first.select(F.col("node").alias("sig")).distinct(), "sig")
-    wanted = wanted.select(F.col("r.key").alias("rkey"), F.col("r.tk").alias("rtk"))
-    texts = docs.join(wanted, docs.key.eqNullSafe(wanted.rkey) & (docs.tk == wanted.rtk)).select("text")
-    sets = written(_full(texts, percent, width).dropDuplicates(["sig"]), "sets")
+    wanted = wanted.select(F.xxhash64("r.key").alias("kh"), "r.tk")
+    texts = docs.select("tk", "kh", "text").dropDuplicates(["tk", "kh"]).join(wanted, ["tk", "kh"]).select("text")
+    sets = written(_full(texts, percent, width), "sets")
 
     # a second count drops elements whose other nodes have gone
     again = _shared(first.select("token", "node"), needs)

@@ -235,8 +235,9 @@ def _find(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, Dat
     again = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
     again = marks.join(again, "mark").groupBy("tk", "key").agg(F.collect_list("mark").alias("again"))  # bounded by the text
     wanted = again.select(F.col("tk").alias("rtk"), F.col("key").alias("rkey"), "again")
-    candidates = docs.join(wanted, (docs.tk == wanted.rtk) & (docs.key == wanted.rkey)).select("key", "tk", "again", "text")
-    candidates = written(_recurring(candidates).dropDuplicates(["tk"]), "candidates")
+    once = docs.dropDuplicates(["tk", "key"])  # before the shuffle of the join, which it shares
+    candidates = once.join(wanted, (once.tk == wanted.rtk) & (once.key == wanted.rkey)).select("key", "tk", "again", "text")
+    candidates = written(_recurring(candidates), "candidates")
 
     windows = candidates.select("key", "tk", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select("key", "tk", F.col("w.hashes").alias("h"), F.col("w.starts").alias("start"))
     owners = windows.groupBy("h").agg(F.min("key").alias("owner"), F.max("key").alias("other")).where("owner < other").select("h", "owner")
