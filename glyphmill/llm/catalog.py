@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphmill.llm import bpe_text, jaccard_join, quality, sharding, substring_dedup, token_counts, token_files, toxicity
+from glyphmill.llm import bpe_text, jaccard_join, quality, sharding, substring_dedup, token_counts, token_files, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6,
     "op7_substring_dedup": substring_dedup.op7,
     "op8_token_id_files": token_files.op8,
+    "op9_warc": warc.op9,
     "op10_token_counts": token_counts.op10,
 }
 ORACLES: dict[str, str] = {}

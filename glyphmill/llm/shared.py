@@ -34,12 +34,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(to)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder under the shared root."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Remove the files of tables that `written` made and nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for table in tables:
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
             if "/glyphmill/" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+                remove(spark, folder)
