@@ -109,8 +109,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> D
     return with_columns(df, ids, [(to, "string")], make)
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text", words: bool = True) -> DataFrame:
-    """df with n_tokens, ids_sha256 and decoded_sha256, digests of the ids and of the text they decode to."""
+def round_trip(df: DataFrame, path: str, text: str = "text", words: bool = True, ids_too: bool = False) -> DataFrame:
+    """df with n_tokens, ids_sha256 and decoded_sha256, digests of the ids and of the text they decode to; and the ids."""
 
     def make():
         units, decoder = _units(path, words), _decoder(path)
@@ -124,11 +124,14 @@ def round_trip(df: DataFrame, path: str, text: str = "text", words: bool = True)
                     for part in decoder.pieces(ids.tolist()):
                         digest.update(part)
                     text_sha.append(digest.hexdigest())
-                yield first, last, [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                arrays = [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                if ids_too:
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(flat, pa.int32())))
+                yield first, last, arrays
 
         return slices
 
-    return with_columns(df, text, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], make)
+    return with_columns(df, text, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *([("ids", "array<int>")] if ids_too else [])], make)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

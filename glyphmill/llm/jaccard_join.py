@@ -216,6 +216,22 @@ def _tie(level: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame,
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """One row per input row: key, n_shingles, component_id (the smallest key that links reach)."""
+    return _components(df, key, text, percent, width).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """df with one row of each component, that of the smallest key (of equal keys, of the smallest text checksum)."""
+    found = _components(df, key, text, percent, width)
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "tk")).alias("r"))
+    kept = first.select(F.xxhash64("r.key").alias("__kh"), F.col("r.tk").alias("__tk"))
+    marked = df.withColumn("__tk", F.xxhash64(text)).withColumn("__kh", F.xxhash64(key))
+    blank = F.coalesce(~F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(True))
+    one = marked.where(~blank).dropDuplicates(["__tk", "__kh"]).join(kept, ["__tk", "__kh"], "left_semi")
+    return one.unionByName(marked.where(blank)).select(*df.columns)
+
+
+def _components(df: DataFrame, key: str, text: str, percent: int, width: int) -> DataFrame:
+    """key, tk (checksum of the text), n, root (null without shingles), component_id of each row."""
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("tk"), F.xxhash64(key).alias("kh"), F.col(text).alias("text"))
     prepared = written(_prepare(docs.select("key", "tk", "text"), percent, width), "shingles")
@@ -245,13 +261,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     links, roots = _tie(level, links, components(links), sets, percent)
     links = written(links.unionByName(_links(_meeting(_open(level, roots), percent), sets, percent)), "links")
     roots = components(links)
-    out = prepared.select("key", "n", "sig").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
+    out = prepared.select("key", "tk", "n", "sig").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
     out = out.withColumn("root", F.coalesce("root", "sig"))
     smallest = out.where("n > 0").groupBy("root").agg(F.min("key").alias("component_id"))
-    placed = out.where("n > 0").join(smallest, "root").select("key", "n", "component_id")
-    alone = out.where("n = 0").select("key", "n", F.col("key").alias("component_id"))
+    placed = out.where("n > 0").join(smallest, "root").select("key", "tk", "n", "root", "component_id")
+    alone = out.where("n = 0").select("key", "tk", "n", F.lit(None).cast("long").alias("root"), F.col("key").alias("component_id"))
     forget(spark, again, level)
-    return placed.unionByName(alone).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    return placed.unionByName(alone)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
