@@ -190,11 +190,13 @@ def is_held_out(key: str) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out."""
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("__y"))
-    usable = docs.select(key, F.col(text).alias("__t")).where(~is_held_out(key) & F.col("__t").isNotNull() & (F.octet_length("__t") <= TRAIN_BYTES))
-    rows = usable.join(known, key).select(F.xxhash64(key, "__t").alias("h"), "__t", "__y")
-    taken = [r for y in (0, 1) for r in rows.where(F.col("__y") == y).orderBy("h").limit(TRAIN_DOCS).collect()]
-    taken.sort(key=lambda r: (r["h"], r["__y"]))
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~is_held_out(key))
+    known = known.groupBy(key).agg(F.max(label).cast("int").alias("__y")).withColumn("h", F.xxhash64(key))
+    sample = [known.where(F.col("__y") == y).orderBy("h", key).limit(TRAIN_DOCS) for y in (0, 1)]  # keys only, so bounded
+    texts = docs.select(key, F.col(text).alias("__t")).where(F.col("__t").isNotNull() & (F.octet_length("__t") <= TRAIN_BYTES))
+    rows = texts.join(F.broadcast(sample[0].unionByName(sample[1])), key)
+    taken = rows.select("h", "__t", "__y").orderBy("h", "__t").limit(2 * TRAIN_DOCS).collect()
+    taken.sort(key=lambda r: (r["h"], r["__t"]))
     return fit([r["__t"] for r in taken], [r["__y"] for r in taken])
 
 
