@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from glyphmill.plans import japanese, search, tokens
+
+QUERIES: dict = {**tokens.QUERIES, **search.QUERIES, **japanese.QUERIES}
+ORACLES: dict[str, str] = {**tokens.ORACLES, **search.ORACLES, **japanese.ORACLES}
