@@ -1,6 +1,182 @@
-"""Queries of the Japanese operators over inline fixtures."""
+"""Queries of the Japanese operators over inline fixtures. Expected rows are written out, not computed alike."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from glyphmill.functions import lattice, search_tokens, verbs
+from glyphmill.operators import deconjugate as dec
+from glyphmill.operators import rewrite as rw
+from glyphmill.operators import structure as st
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def _rows(names: str, *rows: tuple) -> str:
+    cell = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS fixture({names})"
+
+
+# ---------------------------------------------------------------- morphology
+
+VERBS = (("書く", "v5k"), ("行く", "v5k-s"), ("飲む", "v5m"), ("話す", "v5s"), ("買う", "v5u"), ("食べる", "v1"), ("勉強する", "vs-s"), ("来る", "vk"), ("ある", "v5r-i"))
+EXPECTED = {
+    "negative": "書かない 行かない 飲まない 話さない 買わない 食べない 勉強しない 来ない ない",
+    "te": "書いて 行って 飲んで 話して 買って 食べて 勉強して 来て あって",
+    "past": "書いた 行った 飲んだ 話した 買った 食べた 勉強した 来た あった",
+    "polite": "書きます 行きます 飲みます 話します 買います 食べます 勉強します 来ます あります",
+    "passive": "書かれる 行かれる 飲まれる 話される 買われる 食べられる 勉強される 来られる あられる",
+    "causative": "書かせる 行かせる 飲ませる 話させる 買わせる 食べさせる 勉強させる 来させる あらせる",
+    "potential": "書ける 行ける 飲める 話せる 買える 食べられる 勉強できる 来られる あれる",
+    "volitional": "書こう 行こう 飲もう 話そう 買おう 食べよう 勉強しよう 来よう あろう",
+    "imperative": "書け 行け 飲め 話せ 買え 食べろ 勉強しろ 来い あれ",
+    "conditional_ba": "書けば 行けば 飲めば 話せば 買えば 食べれば 勉強すれば 来れば あれば",
+    "desiderative": "書きたい 行きたい 飲みたい 話したい 買いたい 食べたい 勉強したい 来たい ありたい",
+    "negative_zu": "書かず 行かず 飲まず 話さず 買わず 食べず 勉強せず 来ず あらず",
+}
+
+
+def _conjugate(spark, sf_dir):
+    df = spark.sql(_rows("word, tag", *VERBS))
+    return verbs.conjugations(df, "word", "tag", list(EXPECTED)).select("word", "form", "surface")
+
+
+QUERIES["conjugate_verbs"] = _conjugate
+ORACLES["conjugate_verbs"] = _rows("word, form, surface", *((w, f, s) for f, line in EXPECTED.items() for (w, _), s in zip(VERBS, line.split(), strict=True)))
+
+_ADJ = (("高い", "adj-i", "negative_past", "高くなかった"), ("高い", "adj-i", "appearance", "高そうだ"), ("いい", "adj-ix", "past", "よかった"), ("いい", "adj-ix", "polite", "いいです"), ("いい", "adj-ix", "appearance", "よさそうだ"), ("静か", "adj-na", "negative", "静かじゃない"), ("静か", "adj-na", "attributive", "静かな"))
+
+
+def _adjectives(spark, sf_dir):
+    df = spark.sql(_rows("word, tag, form, expected", *_ADJ))
+    every = verbs.conjugations(df.select("word", "tag").distinct(), "word", "tag", sorted({r[2] for r in _ADJ}))
+    return every.join(df.select("word", "tag", "form"), ["word", "tag", "form"]).select("word", "form", "surface")
+
+
+QUERIES["conjugate_adjectives"] = _adjectives
+ORACLES["conjugate_adjectives"] = _rows("word, form, surface", *((w, f, s) for w, _, f, s in _ADJ))
+QUERIES["verb_classes"] = lambda spark, sf_dir: verbs.verb_classes(spark).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+ORACLES["verb_classes"] = _rows("kind, n", ("godan", 13), ("ichidan", 2), ("irregular", 5), ("adjective", 3))
+
+_SURFACES = ("書かなかった", "飲んでいる", "食べさせられた", "行きたくない", "高くなかった", "来ました")
+QUERIES["deconjugate"] = lambda spark, sf_dir: dec.deconjugate(spark.sql(_rows("text", *((s,) for s in _SURFACES))), "text")
+ORACLES["deconjugate"] = dec.recursion_sql(f"({_rows('text', *((s,) for s in _SURFACES))})", f"(VALUES {dec.rules_sql()}) AS q(con_end, dec_end, con_tag, dec_tag, detail)")
+
+
+def _to_lemma(spark, sf_dir):
+    df = spark.sql(_rows("text, lemma", ("書かなかった", "書く"), ("食べさせられた", "食べる"), ("飲んでいる", "飲む")))
+    return dec.deconjugate_to_lemma(df, "text", "lemma").where("tag in ('v5k', 'v1', 'v5m')").select("original", "form", "tag", dec.format_process(F.col("process")).alias("process")).where("not process like '%potential%'")
+
+
+QUERIES["deconjugate_to_lemma"] = _to_lemma
+ORACLES["deconjugate_to_lemma"] = _rows("original, form, tag, process", ("書かなかった", "書く", "v5k", "～negative→past"), ("食べさせられた", "食べる", "v1", "～causative→passive→past"), ("飲んでいる", "飲む", "v5m", "～progressive"))
+
+# ---------------------------------------------------------------- lattice and search tokens
+
+_TEXTS = ((1, "私は東京大学の学生です。"), (2, "日本語を読んだ"), (3, "国際空港へ行く"), (4, ""))
+
+
+def _cuts(spark):
+    df = spark.sql(_rows("id, text", *_TEXTS))
+    return df.select("id", "text", lattice.all_modes(F.col("text")).alias("m"))
+
+
+def _search_tokens(spark, sf_dir):
+    t = _cuts(spark).select("id", F.posexplode(search_tokens.search_tokens(F.col("text"), F.col("m"), normalized=False)).alias("ord", "t")).select("id", "ord", "t.*")
+    return search_tokens.positions(t, "id").select("id", "ord", "surface", "byte_start", "byte_end", "is_colocated", F.col("position").cast("int").alias("position"))
+
+
+QUERIES["search_tokens"] = _search_tokens
+ORACLES["search_tokens"] = _rows(
+    "id, ord, surface, byte_start, byte_end, is_colocated, position",
+    (1, 0, "私", 0, 3, False, 0), (1, 1, "は", 3, 6, False, 1), (1, 2, "東京大学", 6, 18, False, 2), (1, 3, "東京", 6, 12, True, 2), (1, 4, "大学", 12, 18, True, 2), (1, 5, "の", 18, 21, False, 3), (1, 6, "学生", 21, 27, False, 4), (1, 7, "。", 33, 36, False, 5),
+    (2, 0, "日本語", 0, 9, False, 0), (2, 1, "日本", 0, 6, True, 0), (2, 2, "語", 6, 9, True, 0), (2, 3, "を", 9, 12, False, 1), (2, 4, "読ん", 12, 18, False, 2),
+    (3, 0, "国際空港", 0, 12, False, 0), (3, 1, "国際", 0, 6, True, 0), (3, 2, "空港", 6, 12, True, 0), (3, 3, "へ", 12, 15, False, 1), (3, 4, "行く", 15, 21, False, 2),
+)
+QUERIES["detect_compounds"] = lambda spark, sf_dir: _cuts(spark).select("id", F.explode(search_tokens.compounds(F.col("m"))).alias("c")).select("id", "c.surface", F.array_join("c.components", "+").alias("components"))
+ORACLES["detect_compounds"] = _rows("id, surface, components", (1, "東京大学", "東京+大学"), (2, "日本語", "日本+語"), (3, "国際空港", "国際+空港"))
+QUERIES["extract_compounds"] = lambda spark, sf_dir: search_tokens.extract_compounds(_search_tokens(spark, sf_dir), "id").select("id", "surface", F.array_join("components", "+").alias("components"))
+ORACLES["extract_compounds"] = ORACLES["detect_compounds"]
+QUERIES["tok_modes"] = lambda spark, sf_dir: _cuts(spark).select("id", *[F.array_join(F.transform(F.col("m")[m], lambda x: x["surface"]), "/").alias(m) for m in "abc"])
+ORACLES["tok_modes"] = _rows("id, a, b, c", (1, "私/は/東京/大学/の/学生/です/。", "私/は/東京/大学/の/学生/です/。", "私/は/東京大学/の/学生/です/。"), (2, "日本/語/を/読ん/だ", "日本/語/を/読ん/だ", "日本語/を/読ん/だ"), (3, "国際/空港/へ/行く", "国際/空港/へ/行く", "国際空港/へ/行く"), (4, "", "", ""))
+
+# ---------------------------------------------------------------- rewriting
+
+#: key, ord, surface, reading, dictionary form, part of speech joined by '-'
+STREAMS = (
+    (1, 0, "三", "サン", "三", "名詞-数詞"), (1, 1, "時", "トキ", "時", "名詞-普通名詞"), (1, 2, "に", "ニ", "に", "助詞-格助詞"), (1, 3, "は", "ハ", "は", "助詞-係助詞"),
+    (2, 0, "食べ", "タベ", "食べる", "動詞-一般"), (2, 1, "て", "テ", "て", "助詞-接続助詞"), (2, 2, "そう", "ソウ", "そう", "名詞-普通名詞"), (2, 3, "だろう", "ダロウ", "だ", "助動詞-*"),
+    (3, 0, "一", "イチ", "一", "名詞-数詞"), (3, 1, "人", "ニン", "人", "接尾辞-名詞的"), (3, 2, "何", "ナン", "何", "代名詞-*"), (3, 3, "を", "ヲ", "を", "助詞-格助詞"),
+    (4, 0, "私", "シ", "私", "名詞-普通名詞"), (4, 1, "はさ", "ハサ", "はさ", "名詞-普通名詞"), (4, 2, "読ん", "ヨン", "読む", "動詞-一般"), (4, 3, "だ", "ダ", "た", "助動詞-*"),
+)
+
+
+def streams(spark):
+    df = spark.sql(_rows("id, ord, surface, reading, dictionary_form, tags", *STREAMS))
+    df = df.withColumn("pos", F.split("tags", "-")).withColumn("char_end", F.sum(F.char_length("surface")).over(rw._windows("id")).cast("int"))
+    df = df.withColumn("char_start", F.col("char_end") - F.char_length("surface")).withColumn("cls", rw.coarse(F.col("pos"))).withColumn("rules", F.array().cast("array<string>"))
+    return df.drop("tags")
+
+
+def _rewritten(spark, only=None):
+    out = rw.rewrite(streams(spark), "id", only)
+    return out.select("id", "ord", "surface", "reading", "dictionary_form", "cls", "char_start", "char_end", F.array_join("rules", ",").alias("rules"))
+
+
+QUERIES["rewrite_misparse"] = lambda spark, sf_dir: _rewritten(spark, ("cleanup_filter_misparse",)).where("rules <> ''").select("id", "surface", "dictionary_form", "cls")
+ORACLES["rewrite_misparse"] = _rows("id, surface, dictionary_form, cls", (2, "そう", "そう", "adverb"), (2, "だろう", "だろう", "other"), (3, "人", "人", "counter"))
+QUERIES["rewrite_readings"] = lambda spark, sf_dir: _rewritten(spark, ("disambiguation_fix_reading_ambiguity",)).where("rules <> ''").select("id", "surface", "reading", "cls")
+ORACLES["rewrite_readings"] = _rows("id, surface, reading, cls", (1, "時", "ジ", "noun"), (3, "何", "ナニ", "pronoun"), (4, "私", "ワタシ", "pronoun"))
+QUERIES["rewrite_pipeline"] = lambda spark, sf_dir: _rewritten(spark).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "surface"))), lambda s: s["surface"]), "/").alias("surfaces"))
+ORACLES["rewrite_pipeline"] = _rows("id, surfaces", (1, "三/時/には"), (2, "食べて/そう/だろう"), (3, "一人/何/を"), (4, "私/は/さ/読ん/だ"))
+
+# ---------------------------------------------------------------- structure
+
+QUERIES["split_sentences"] = lambda spark, sf_dir: spark.sql(_rows("id, text", (1, "今日は雨。明日は？晴れ！たぶん"), (2, "one!two?"), (3, ""))).select("id", F.posexplode(st.split_sentences(F.col("text"))).alias("n", "sentence"))
+ORACLES["split_sentences"] = _rows("id, n, sentence", (1, 0, "今日は雨。"), (1, 1, "明日は？"), (1, 2, "晴れ！"), (1, 3, "たぶん"), (2, 0, "one!"), (2, 1, "two?"))
+QUERIES["bucket_count"] = lambda spark, sf_dir: spark.sql(_rows("chunks, buckets", (15, None), (49, None), (50, None), (3, 8), (0, None), (100, 0))).select("chunks", F.coalesce("buckets", F.lit(-1)).alias("buckets"), st.bucket_count(F.col("chunks"), F.col("buckets"), F.lit(50)).alias("n"))
+ORACLES["bucket_count"] = _rows("chunks, buckets, n", (15, -1, 1), (49, -1, 1), (50, -1, 4), (3, 8, 3), (0, -1, 1), (100, 0, 1))
+
+
+def _argmax(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return v.select("vec_id", st.argmax(F.col("embedding")).alias("best"))
+
+
+QUERIES["decode_argmax"] = _argmax
+ORACLES["decode_argmax"] = "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INT AS best FROM embeddings"
+
+
+def _multilabel(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return v.select("vec_id", F.array_join(st.labels_over(F.slice("embedding", 1, 3), ["x", "b", "c"], 0.05), ",").alias("labels"))
+
+
+QUERIES["decode_multilabel"] = _multilabel
+ORACLES["decode_multilabel"] = "SELECT vec_id, array_to_string(list_sort(list_filter([CASE WHEN embedding[1] >= 0.05 THEN 'x' END, CASE WHEN embedding[2] >= 0.05 THEN 'b' END, CASE WHEN embedding[3] >= 0.05 THEN 'c' END], lambda l: l IS NOT NULL)), ',') AS labels FROM embeddings"
+QUERIES["decode_bio"] = lambda spark, sf_dir: st.bio_spans(spark.sql(_rows("id, ord, tag, surface", (1, 0, "B-PERSON", "田"), (1, 1, "I-PERSON", "中"), (1, 2, "O", "は"), (1, 3, "I-DATE", "今"), (1, 4, "B-DATE", "日"), (2, 0, "O", "x"))), "id", "ord", "tag", "surface")
+ORACLES["decode_bio"] = _rows("id, type, first, last, text", (1, "PERSON", 0, 1, "田中"), (1, "DATE", 3, 3, "今"), (1, "DATE", 4, 4, "日"))
+
+
+def _crf(spark, sf_dir):
+    df = spark.sql("SELECT 1 AS id, array(array(1.0D, 0.0D), array(0.0D, 1.0D), array(0.6D, 0.5D)) AS e UNION ALL SELECT 2, array(array(0.2D, 0.3D))")
+    return df.select("id", F.array_join(st.viterbi(F.col("e"), [[0.5, -1.0], [-1.0, 0.5]], [0.0, 0.0], [0.0, 0.0]), ",").alias("path"))
+
+
+QUERIES["crf_viterbi"] = _crf
+ORACLES["crf_viterbi"] = _rows("id, path", (1, "0,0,0"), (2, "1"))
+_NE = (("PERSON:田中", True), ("PERSON:たなか", False), ("ARTIFACT:本", False), ("ARTIFACT:本棚", True), ("DATE:きょう", True), ("OTHER:x", False), ("PERSON:", False), ("plain", False), ("MONEY:!!", False), ("LOCATION:東京", True))
+QUERIES["filter_entities"] = lambda spark, sf_dir: spark.sql(_rows("value, expected", *_NE)).select("value", st.well_formed_entity(F.col("value")).alias("keep"))
+ORACLES["filter_entities"] = _rows("value, keep", *_NE)
+
+
+def _typo(spark, sf_dir):
+    df = spark.sql("SELECT 1 AS id, array('a', 'b', 'c') AS c, array('K', 'D', 'z') AS k, array('', '', '-', '!') AS i")
+    return df.select("id", st.apply_edits(F.col("c"), F.col("k"), F.col("i")).alias("text"))
+
+
+QUERIES["typo_edits"] = _typo
+ORACLES["typo_edits"] = _rows("id, text", (1, "a-z!"))
+QUERIES["best_overlap"] = lambda spark, sf_dir: st.best_overlap(spark.sql("SELECT 1 AS id, 0 AS span, 0 AS start, 5 AS end UNION ALL SELECT 1, 1, 5, 9"), spark.sql("SELECT 1 AS id, 10 AS word, 0 AS wstart, 2 AS wend UNION ALL SELECT 1, 11, 2, 6 UNION ALL SELECT 1, 12, 6, 8"), "id")
+ORACLES["best_overlap"] = _rows("id, span, word, overlap", (1, 0, 11, 3), (1, 1, 12, 2))
