@@ -246,3 +246,84 @@ def _snippet_positions(spark, sf_dir):
 QUERIES["snippet_positions"] = _snippet_positions
 ORACLES["snippet_positions"] = f"SELECT item_id, len(list_filter({_SPLIT.format(text='text')}, lambda x: x IN ('the', 'thing')))::BIGINT AS hits FROM benchmark"
 _register("search_part_phrase", q.Match("p_name", "the lace red"), _any(["the", "lace", "red"]), index=_parts)
+
+
+# ---------------------------------------------------------------- sources, snippets and streams (rows only, or computed twice)
+
+
+def _test_table(spark, sf_dir):
+    from glyphmill.sources.fixtures import test_table
+
+    return test_table(spark, "items", 30).groupBy("rating").agg(F.count(F.lit(1)).alias("n"), F.count_if("in_stock").alias("in_stock"))
+
+
+QUERIES["source_test_table"] = _test_table
+ORACLES["source_test_table"] = "SELECT (i % 5 + 1)::INT AS rating, count(*) AS n, count_if(i % 3 = 0)::BIGINT AS in_stock FROM range(1, 31) t(i) GROUP BY 1"
+
+
+def _snippet(spark, sf_dir):
+    from glyphmill.operators.snippets import highlight
+
+    rows = table(spark, sf_dir, "benchmark").select("item_id", highlight(F.col("text"), ["the", "thing"]).alias("marked"))
+    return rows.select("item_id", ((F.char_length("marked") - F.char_length(F.regexp_replace("marked", "<b>", ""))) / 3).cast("long").alias("tags"))
+
+
+QUERIES["snippet_highlight"] = _snippet
+ORACLES["snippet_highlight"] = f"SELECT item_id, len(list_filter({_SPLIT.format(text='text')}, lambda x: x IN ('the', 'thing')))::BIGINT AS tags FROM benchmark"
+
+
+def _snippets(spark, sf_dir):
+    from glyphmill.operators.snippets import snippet, snippets, token_snippet
+
+    text = F.col("text")
+    return table(spark, sf_dir, "benchmark").select("item_id", snippet(text, ["thing", "the"]).alias("best"), snippets(text, ["thing", "the"], max_chars=60).alias("all"), token_snippet(text, ["the"], "[", "]", "...", 8).alias("around"))
+
+
+QUERIES["snippets"] = _snippets
+
+
+def _stream(spark, sf_dir):
+    """Windowed counts of event types, run as a stream to its end."""
+    import uuid
+
+    from glyphmill.streaming.text import windowed_term_counts
+
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = windowed_term_counts(stream, "ts", "event_type", "1 day", "30 days", Tokenizer("literal")).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "token", "n")
+    name = f"glyphmill_{uuid.uuid4().hex}"
+    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
+
+
+QUERIES["stream_windowed_counts"] = _stream
+ORACLES["stream_windowed_counts"] = "SELECT date_trunc('day', ts)::TIMESTAMP AS day, lower(event_type) AS token, count(*) AS n FROM events GROUP BY ALL"
+
+
+def _schema(spark, sf_dir):
+    return _docs(spark, sf_dir).schema().select("name", "is_key", "tokenized")
+
+
+QUERIES["index_schema"] = _schema
+ORACLES["index_schema"] = "SELECT * FROM (VALUES ('doc_id', true, false), ('text', false, true), ('lang', false, false), ('source', false, false), ('n_chars', false, false)) AS t(name, is_key, tokenized)"
+
+
+def _saved(spark, sf_dir):
+    """The index written by term buckets and read back."""
+    import tempfile
+
+    from glyphmill.operators.index import load
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="glyphmill-index-")
+    import uuid
+
+    path = f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
+    _docs(spark, sf_dir).save(path, 8)
+    ix = load(spark, path, "doc_id", {"text": Tokenizer()})
+    return q.top_k(ix, q.Match("text", "the thing of"), 10).select(F.col("doc_id").alias("k"), F.round("score", 6).alias("score"))
+
+
+QUERIES["index_saved"] = _saved
+ORACLES["index_saved"] = ORACLES["search_bm25_topk"]
