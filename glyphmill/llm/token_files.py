@@ -16,6 +16,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm import files
+from glyphmill.llm.bpe import byte_letters
 from glyphmill.llm.pieces import Splitter, UnitEncoder
 from glyphmill.llm.shared import fresh_folder, written
 
@@ -32,6 +34,7 @@ MAGIC = b"simple-8b 1\n"
 LAYOUTS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 21
 NO_KEY = -(2**63)
+_PIECES = 200_000
 _COUNT = np.array([1, *(n for n, _ in LAYOUTS)], np.int64)
 
 
@@ -107,12 +110,20 @@ def blocks(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 @lru_cache(2)
 def _units(path: str) -> UnitEncoder:
     library = tokenizers.Tokenizer.from_file(path)
+    letters = {b: c for b, c in enumerate(byte_letters())}
+    known: dict[str, list[int]] = {}
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if not pieces:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        found = library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        return np.array(found.ids, np.int32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(pieces))
+        """The library's own merges, piece by piece: texts reach it already split as its pre-tokenizer splits them."""
+        if len(known) > _PIECES:
+            known.clear()
+        found = []
+        for piece in pieces:
+            ids = known.get(piece)
+            if ids is None:
+                ids = known[piece] = [t.id for t in library.model.tokenize(piece.encode().decode("latin-1").translate(letters))]
+            found.append(ids)
+        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
 
     special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
     return UnitEncoder(Splitter(library, words=False), encode, special)
