@@ -92,8 +92,9 @@ def stem_english(token: Column) -> Column:
 
 def slots(text: Column, options: Tokenizer = Tokenizer()) -> Column:
     """Tokens in place: a removed token is null, so that positions stay."""
-    out = split_words(text, options)
-    if options.lowercase:
+    early = options.lowercase and options.kind in ("simple", "whitespace")  # the same tokens, one call a text
+    out = split_words(F.lower(text) if early else text, options)
+    if options.lowercase and not early:
         out = F.transform(out, F.lower)
     if options.ascii_folding:
         out = F.transform(out, lambda t: F.translate(F.regexp_replace(F.regexp_replace(t, "ß", "ss"), "œ", "oe"), FOLD_FROM, FOLD_TO))
