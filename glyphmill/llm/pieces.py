@@ -21,7 +21,7 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Outside these blocks, whose characters all Unicode versions class alike, the library itself splits.
 _UNSURE = regex.compile(r"[^\x00-ԯḀ-ỿ -⁤₠-₿←-⏿぀-ゖ゠-ヾ一-鿌가-힣]")
-_CACHE_ENTRIES = 600_000
+_CACHE_ENTRIES = 1_200_000
 
 
 class Splitter:

@@ -27,14 +27,13 @@ from pyspark.sql import functions as F
 from glyphmill.llm import files
 from glyphmill.llm.bpe import byte_letters
 from glyphmill.llm.pieces import Splitter, UnitEncoder
-from glyphmill.llm.shared import fresh_folder, written
+from glyphmill.llm.shared import fresh_folder, small_batches, written
 
 MAGIC = b"simple-8b 1\n"
 #: (ids in a word, bits of each), by selector from 1 on; 0 is an escape.
 LAYOUTS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 21
 NO_KEY = -(2**63)
-_PIECES = 200_000
 _COUNT = np.array([1, *(n for n, _ in LAYOUTS)], np.int64)
 
 
@@ -111,18 +110,11 @@ def blocks(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 def _units(path: str) -> UnitEncoder:
     library = tokenizers.Tokenizer.from_file(path)
     letters = {b: c for b, c in enumerate(byte_letters())}
-    known: dict[str, list[int]] = {}
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The library's own merges, piece by piece: texts reach it already split as its pre-tokenizer splits them."""
-        if len(known) > _PIECES:
-            known.clear()
-        found = []
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                ids = known[piece] = [t.id for t in library.model.tokenize(piece.encode().decode("latin-1").translate(letters))]
-            found.append(ids)
+        merge = library.model.tokenize
+        found = [[t.id for t in merge(piece.encode().decode("latin-1").translate(letters))] for piece in pieces]
         return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
 
     special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
@@ -206,4 +198,6 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     listing = write(docs, fresh_folder(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
-    return read(written(listing, "listing"))
+    with small_batches(spark):  # texts go to Python beside the sort, which needs the memory
+        listing = written(listing, "listing")
+    return read(listing)
