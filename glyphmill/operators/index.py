@@ -60,6 +60,21 @@ class Index:
         self.rows.write.parquet(f"{path}/rows")
 
 
+def compact(spark, path: str, to: str, files: int = 1) -> None:
+    """The stored postings rewritten with so many files per bucket."""
+    postings = spark.read.parquet(f"{path}/postings")
+    postings.repartition(files, "field", "bucket").sortWithinPartitions("field", "bucket", "term").write.partitionBy("field", "bucket").parquet(f"{to}/postings")
+    for name in ("lengths", "rows"):
+        df = spark.read.parquet(f"{path}/{name}")
+        (df.write.partitionBy("field") if name == "lengths" else df.write).parquet(f"{to}/{name}")
+
+
+def version_info(spark) -> DataFrame:
+    from glyphmill import __version__
+
+    return spark.createDataFrame([(__version__, spark.version)], "version string, spark string")
+
+
 def load(spark, path: str, key: str, fields: dict[str, Tokenizer]) -> Index:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     return Index(read("rows"), key, fields, read("postings").drop("bucket"), read("lengths"))

@@ -174,7 +174,8 @@ def split(tokens: DataFrame, key: str, when: Column, parts: list[tuple[str, str,
         for i, (s, cls, pos, lemma) in enumerate(parts)
     ])
     whole = F.array(F.struct(*[F.col(f) for f in _FIELDS]))
-    rows = tokens.select(key, "ord", F.posexplode(F.when(when, made).otherwise(whole)).alias("_i", "t")).select(key, "ord", "_i", "t.*")
+    marked = tokens.withColumn("_when", when)  # the test may look at neighbours
+    rows = marked.select(key, "ord", F.posexplode(F.when(F.col("_when"), made).otherwise(whole)).alias("_i", "t")).select(key, "ord", "_i", "t.*")
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy("ord", "_i")) - 1).drop("_i")
 
 
@@ -191,17 +192,109 @@ def _in_pairs(pairs) -> Column:
     return reduce(lambda a, p: a | ((F.col("p_surface") == p[0]) & (F.col("surface") == p[1])), pairs, F.lit(False))
 
 
+def with_lexicon(tokens: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
+    """own_known, pair_known (with the token before), rest_known (without the first character), each from one join
+    with the lexicon's terms; null where there is no lexicon entry to tell (see `known`)."""
+    terms = lexicon.select("term", F.coalesce("known", F.lit(True)).alias("known")) if "known" in lexicon.columns else lexicon.select("term", F.lit(True).alias("known"))
+    rows = tokens.withColumn("_pair", F.concat(F.lag("surface").over(_windows(key)), "surface")).withColumn("_rest", F.expr("substring(surface, 2)"))
+    for name, column in (("own_known", "surface"), ("pair_known", "_pair"), ("rest_known", "_rest")):
+        rows = rows.join(terms.select(F.col("term").alias(column), F.col("known").alias(name)).dropDuplicates([column]), column, "left")
+    return rows.drop("_pair", "_rest")
+
+
+def relemma(tokens: DataFrame, when: Column, lemma: Column, name: str) -> DataFrame:
+    """A new dictionary form for the tokens of a test."""
+    return tokens.withColumns({"dictionary_form": F.when(when, lemma).otherwise(F.col("dictionary_form")), "rules": F.when(when, F.array_union("rules", F.array(F.lit(name)))).otherwise(F.col("rules"))})
+
+
+def split_at(tokens: DataFrame, key: str, when: Column, left_size: Column, right: tuple[str, str], name: str) -> DataFrame:
+    """Each token of a test in two: its first left_size characters keep the class, the rest gets (class, pos)."""
+    text = lambda a, n: F.substring(F.col("surface"), a, n)
+    size, rules_ = F.char_length("surface"), F.array_union("rules", F.array(F.lit(name)))
+    first = F.struct(text(F.lit(1), left_size).alias("surface"), text(F.lit(1), left_size).alias("reading"), text(F.lit(1), left_size).alias("dictionary_form"), F.col("pos"), F.col("cls"), F.col("char_start"), (F.col("char_start") + left_size).alias("char_end"), rules_.alias("rules"))
+    rest = text(left_size + 1, size - left_size)
+    second = F.struct(rest.alias("surface"), rest.alias("reading"), rest.alias("dictionary_form"), F.array(F.lit(right[1])).alias("pos"), F.lit(right[0]).alias("cls"), (F.col("char_start") + left_size).alias("char_start"), F.col("char_end"), rules_.alias("rules"))
+    whole = F.array(F.struct(*[F.col(f) for f in _FIELDS]))
+    rows = tokens.select(key, "ord", F.posexplode(F.when(when, F.array(first, second)).otherwise(whole)).alias("_i", "t")).select(key, "ord", "_i", "t.*")
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy("ord", "_i")) - 1).drop("_i")
+
+
+#: Endings of fused interjections, and suffixes that stay suffixes (fixed values).
+FINAL_PARTICLES, HONORIFICS = ("ね", "よ", "な", "か", "さ", "わ"), ("さん", "さま", "様", "ちゃん", "くん", "君", "殿", "氏")
+
+
+def lexicon_stages(key: str, lexicon: DataFrame) -> list[tuple[str, object]]:
+    """(name, function) of the stages that ask a lexicon (term, known)."""
+    def asked(stage):
+        return lambda t: stage(with_lexicon(t, key, lexicon)).drop("own_known", "pair_known", "rest_known")
+
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    nominal = F.col("cls").isin("noun", "adjectival_noun", "adverb")
+    honorific = (F.col("cls") == "noun") & F.col("surface").rlike("^[おご].") & ~yes("own_known") & yes("rest_known")
+    fused = (F.col("cls") == "interjection") & (F.char_length("surface") >= 3) & ~yes("own_known") & F.right("surface", F.lit(1)).isin(*FINAL_PARTICLES)
+    return [
+        ("repair_honorific_lemma", asked(lambda t: relemma(t, honorific, F.expr("substring(surface, 2)"), "repair_honorific_lemma"))),
+        ("combine_prefixes", asked(lambda t: merge(t, key, (F.col("p_cls") == "prefix") & nominal & yes("pair_known"), "combine_prefixes", pairs=True, to_cls="noun", own_lemma=True))),
+        ("repair_fused_interjection_particle", asked(lambda t: split_at(t, key, fused, F.char_length("surface") - 1, ("particle", "助詞"), "repair_fused_interjection_particle"))),
+    ]
+
+
+def _orphans(tokens: DataFrame, key: str) -> DataFrame:
+    """Suffixes with nothing to attach to become nouns."""
+    before = F.lag("cls").over(_windows(key))
+    rows = tokens.withColumn("_p", before)
+    alone = (F.col("cls") == "suffix") & F.col("_p").isNotNull() & ~F.col("_p").isin("noun", "pronoun", "prefix", "suffix") & ~F.col("surface").isin(*HONORIFICS)
+    out = rows.withColumns({"_a": alone})
+    name = "cleanup_reclassify_orphaned_suffixes"
+    return out.withColumns({
+        "cls": F.when(F.col("_a"), "noun").otherwise(F.col("cls")), "pos": F.when(F.col("_a"), F.array(F.lit("名詞"))).otherwise(F.col("pos")), "reading": F.when(F.col("_a"), "").otherwise(F.col("reading")),
+        "rules": F.when(F.col("_a"), F.array_union("rules", F.array(F.lit(name)))).otherwise(F.col("rules")),
+    }).drop("_p", "_a")
+
+
+def inflections(tokens: DataFrame, key: str, longest: int = 6) -> DataFrame:
+    """Greedy merging of a verb or adjective with what follows, as long as the deconjugation rules lead the joined
+    surface back to its dictionary form. Candidates are made from the tokens, analysed once per distinct surface, and
+    the longest that holds is taken; its tokens start no other."""
+    from glyphmill.operators.deconjugate import deconjugate
+
+    w = _windows(key)
+    rows = tokens
+    names = []
+    for n in range(1, longest):
+        joined = F.concat("surface", *[F.lead("surface", k).over(w) for k in range(1, n + 1)])
+        bound = F.lead("cls", n).over(w).isin("auxiliary", "particle", "verb", "suffix", "adjective")
+        rows = rows.withColumn(f"_j{n}", F.when(F.col("cls").isin("verb", "adjective") & bound, joined))
+        names.append(f"_j{n}")
+    wanted = rows.select(key, "ord", "dictionary_form", F.posexplode(F.array(*names)).alias("n", "text")).where("text is not null")
+    reached = deconjugate(wanted.select("text").distinct(), "text").select(F.col("original").alias("text"), F.col("form").alias("dictionary_form")).distinct()
+    good = wanted.join(reached, ["text", "dictionary_form"], "left_semi").groupBy(key, "ord").agg((F.max("n") + 1).alias("_more"))
+    rows = rows.drop(*names).join(good, [key, "ord"], "left")
+    # a candidate inside an accepted one does not start another: the furthest end so far decides
+    reach = F.max(F.col("ord") + F.coalesce("_more", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_in", F.coalesce(reach >= F.col("ord"), F.lit(False)))
+    return merge(rows.drop("_more").withColumn("_inside", F.col("_in")).drop("_in"), key, F.col("_inside"), "combine_inflections").drop("_inside")
+
+
 def stages(key: str) -> list[tuple[str, object]]:
     """(name, function) of the stages, in order."""
     bends = F.col("p_cls").isin("verb", "adjective", "auxiliary")
     return [
         ("split_tatte_particle", lambda t: split(t, key, F.col("surface").isin("たって") & F.array_contains("pos", "接続助詞"), [("た", "auxiliary", "助動詞", "た"), ("って", "particle", "助詞", "って")], "split_tatte_particle")),
         ("repair_hasa_noun", lambda t: split(t, key, (F.col("surface") == "はさ") & (F.col("cls") == "noun"), [("は", "particle", "助詞", "は"), ("さ", "particle", "助詞", "さ")], "repair_hasa_noun")),
+        ("split_tawake_noun", lambda t: split(t, key, (F.col("surface") == "たわけ") & F.coalesce(F.lag("cls").over(_windows(key)).isin("verb", "auxiliary", "adjective", "particle", "adverb"), F.lit(False)), [("た", "auxiliary", "助動詞", "た"), ("わけ", "noun", "名詞", "わけ")], "split_tawake_noun")),
+        ("repair_vowel_elongation", lambda t: relemma(t, F.col("surface").rlike("[ぁ-ゖ]ー+$") & F.col("dictionary_form").endswith("ー") & F.col("cls").isin("verb", "adjective", "auxiliary", "particle"), F.regexp_replace("dictionary_form", "ー+$", ""), "repair_vowel_elongation")),
+        ("repair_colloquial_negative_nee", lambda t: merge(t, key, F.col("p_surface").isin("ね") & F.col("surface").isin("え", "ぇ"), "repair_colloquial_negative_nee", pairs=True, to_cls="auxiliary")),
+        ("repair_colloquial_ran_nai", lambda t: merge(t, key, (F.col("p_surface") == "らん") & F.col("surface").isin("ない", "ねえ", "ねぇ", "ねー"), "repair_colloquial_ran_nai", pairs=True, to_cls="auxiliary")),
         ("combine_amounts", lambda t: merge(t, key, _in_pairs(AMOUNTS) & F.array_contains("p_pos", "数詞"), "combine_amounts", pairs=True, to_cls="noun", own_lemma=True)),
         ("combine_tte", lambda t: merge(t, key, F.col("p_surface").endswith("っ") & F.col("surface").startswith("て"), "combine_tte", pairs=True)),
         ("combine_suffix", lambda t: merge(t, key, (F.col("cls") == "suffix") & F.col("surface").isin("っこ", "さ", "がる") & F.col("p_cls").isin("noun", "adjective", "adjectival_noun", "verb"), "combine_suffix")),
+        ("combine_auxiliary_verb_stem", lambda t: merge(t, key, F.array_contains("pos", "助動詞語幹") & ~F.col("surface").isin("よう", "ように", "ようです", "みたい") & F.col("p_cls").isin("verb", "adjective", "noun"), "combine_auxiliary_verb_stem")),
+        ("cleanup_reclassify_orphaned_suffixes", lambda t: _orphans(t, key)),
         ("combine_conjunctive_particle", lambda t: merge(t, key, F.array_contains("pos", "接続助詞") & F.col("surface").isin("て", "で", "ちゃ", "ば") & bends, "combine_conjunctive_particle")),
         ("combine_auxiliary", lambda t: merge(t, key, (F.col("cls") == "auxiliary") & bends & ~F.col("surface").isin("です", "だ", "だろう", "でしょう", "らしい"), "combine_auxiliary")),
+        ("combine_to_naru", lambda t: merge(t, key, (F.col("p_surface") == "と") & (F.col("p_cls") == "particle") & (F.col("dictionary_form") == "なる") & (F.char_length("surface") <= 3), "combine_to_naru", pairs=True, to_cls="verb")),
+        ("combine_verb_dependant", lambda t: merge(t, key, (F.col("cls") == "verb") & F.array_contains("pos", "非自立可能") & (F.col("p_cls") == "verb") & (F.col("p_surface").endswith("て") | F.col("p_surface").endswith("で")), "combine_verb_dependant")),
         ("combine_adverbial_particle", lambda t: merge(t, key, F.col("surface").isin("だり", "たり") & F.array_contains("pos", "副助詞") & (F.col("p_cls") == "verb"), "combine_adverbial_particle")),
         ("combine_particles", lambda t: merge(t, key, _in_pairs(PARTICLE_PAIRS) & (F.col("cls") == "particle") & (F.col("p_cls") == "particle"), "combine_particles", pairs=True, own_lemma=True)),
         ("combine_final", lambda t: merge(t, key, (F.col("surface") == "ば") & (F.col("p_cls") == "verb"), "combine_final", pairs=True)),
@@ -210,9 +303,9 @@ def stages(key: str) -> list[tuple[str, object]]:
     ]
 
 
-def rewrite(tokens: DataFrame, key: str, only: tuple[str, ...] | None = None) -> DataFrame:
-    """The streams after all stages, or after the named ones."""
-    for name, stage in stages(key):
+def rewrite(tokens: DataFrame, key: str, only: tuple[str, ...] | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+    """The streams after all stages, or after the named ones; those that ask a lexicon run first, if there is one."""
+    for name, stage in [*(lexicon_stages(key, lexicon) if lexicon is not None else ()), *stages(key)]:
         if only is None or name in only:
             tokens = stage(tokens)
     return tokens

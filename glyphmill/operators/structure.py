@@ -114,3 +114,41 @@ def pool_subwords(pieces: DataFrame, key: str, word: str, vector: str) -> DataFr
     """Mean of the vectors of each word's pieces."""
     each = pieces.select(key, word, F.posexplode(vector).alias("i", "x")).groupBy(key, word, "i").agg(F.avg("x").alias("x"))
     return each.groupBy(key, word).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(vector))
+
+
+#: Classes of words that open a base phrase, and those that modify the next one (fixed values).
+CONTENT, ADNOMINAL = ("noun", "verb", "adjective", "adverb", "adjectival_noun", "pronoun"), ("adjective", "adnominal")
+
+
+def base_phrases(tokens: DataFrame, key: str, order: str, cls: str, boundary: str | None = None) -> DataFrame:
+    """key, phrase, first, last, head: base phrases end after a boundary mark if one is given, else a content word opens
+    one. The last phrase has no head (-1); an adjective or adnominal goes to the next, others to the last."""
+    w = Window.partitionBy(key).orderBy(order)
+    opens = F.lag(boundary).over(w) if boundary else F.col(cls).isin(*CONTENT)
+    rows = tokens.withColumn("_o", F.when(F.coalesce(opens, F.lit(False)), 1).otherwise(0)).withColumn("_first", F.row_number().over(w) == 1)
+    rows = rows.withColumn("phrase", F.sum(F.when(F.col("_first"), 0).otherwise(F.col("_o"))).over(w))
+    grouped = rows.groupBy(key, "phrase").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.min_by(cls, order).alias("_c"))
+    total = F.max("phrase").over(Window.partitionBy(key))
+    head = F.when(F.col("phrase") == total, -1).when(F.col("_c").isin(*ADNOMINAL), F.col("phrase") + 1).otherwise(total)
+    return grouped.withColumn("head", head).drop("_c")
+
+
+def cohesion(scores: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
+    """key, source, relation, target: for each source and relation the best target by softmax over all, if its share
+    reaches the threshold and it is not the source. scores: key, source, target, relation, score."""
+    group = Window.partitionBy(key, "source", "relation")
+    top = scores.withColumn("_e", F.exp(F.col("score") - F.max("score").over(group)))
+    shares = top.withColumn("share", F.col("_e") / F.sum("_e").over(group))
+    best = shares.groupBy(key, "source", "relation").agg(F.max_by(F.struct("target", "share"), F.struct("share", -F.col("target"))).alias("b"))
+    return best.where(F.col("b.share") >= threshold).where("b.target <> source").select(key, "source", "relation", "b.target")
+
+
+def discourse(scores: DataFrame, key: str, none: str = "談話関係なし", threshold: float = 0.5) -> DataFrame:
+    """Relations between predicates of different sentences: the best label of each pair, unless it is `none` or below
+    the threshold. scores: key, left, right, left_sentence, right_sentence, relation, score."""
+    pairs = scores.where("left_sentence <> right_sentence")
+    group = Window.partitionBy(key, "left", "right")
+    top = pairs.withColumn("_e", F.exp(F.col("score") - F.max("score").over(group)))
+    shares = top.withColumn("share", F.col("_e") / F.sum("_e").over(group))
+    best = shares.groupBy(key, "left", "right").agg(F.max_by(F.struct("relation", "share"), F.struct("share", "relation")).alias("b"))
+    return best.where((F.col("b.share") >= threshold) & (F.col("b.relation") != none)).select(key, "left", "right", "b.relation")

@@ -180,3 +180,54 @@ QUERIES["typo_edits"] = _typo
 ORACLES["typo_edits"] = _rows("id, text", (1, "a-z!"))
 QUERIES["best_overlap"] = lambda spark, sf_dir: st.best_overlap(spark.sql("SELECT 1 AS id, 0 AS span, 0 AS start, 5 AS end UNION ALL SELECT 1, 1, 5, 9"), spark.sql("SELECT 1 AS id, 10 AS word, 0 AS wstart, 2 AS wend UNION ALL SELECT 1, 11, 2, 6 UNION ALL SELECT 1, 12, 6, 8"), "id")
 ORACLES["best_overlap"] = _rows("id, span, word, overlap", (1, 0, 11, 3), (1, 1, 12, 2))
+
+# ---------------------------------------------------------------- more rewriting and structure
+
+MORE = (
+    (1, 0, "お", "オ", "お", "接頭辞-*"), (1, 1, "茶", "チャ", "茶", "名詞-普通名詞"), (2, 0, "お金", "オカネ", "お金", "名詞-普通名詞"), (3, 0, "ほんとね", "ホントネ", "ほんとね", "感動詞-一般"),
+    (4, 0, "走っ", "ハシッ", "走る", "動詞-一般"), (4, 1, "て", "テ", "て", "助詞-接続助詞"), (4, 2, "いる", "イル", "いる", "動詞-非自立可能"), (5, 0, "は", "ハ", "は", "助詞-係助詞"), (5, 1, "的", "テキ", "的", "接尾辞-形状詞的"),
+)
+
+
+def _more_streams(spark, rows=MORE):
+    df = spark.sql(_rows("id, ord, surface, reading, dictionary_form, tags", *rows))
+    df = df.withColumn("pos", F.split("tags", "-")).withColumn("char_end", F.sum(F.char_length("surface")).over(rw._windows("id")).cast("int"))
+    return df.withColumn("char_start", F.col("char_end") - F.char_length("surface")).withColumn("cls", rw.coarse(F.col("pos"))).withColumn("rules", F.array().cast("array<string>")).drop("tags")
+
+
+def _lexicon_rules(spark, sf_dir):
+    lexicon = spark.sql(_rows("term", ("お茶",), ("金",), ("茶",)))
+    out = rw.rewrite(_more_streams(spark), "id", lexicon=lexicon)
+    return out.select("id", "ord", "surface", "dictionary_form", "cls", F.array_join("rules", ",").alias("rules"))
+
+
+QUERIES["rewrite_lexicon"] = _lexicon_rules
+ORACLES["rewrite_lexicon"] = _rows(
+    "id, ord, surface, dictionary_form, cls, rules", (1, 0, "お茶", "お茶", "noun", "combine_prefixes"), (2, 0, "お金", "金", "noun", "repair_honorific_lemma"), (3, 0, "ほんと", "ほんと", "interjection", "repair_fused_interjection_particle"), (3, 1, "ね", "ね", "particle", "repair_fused_interjection_particle"),
+    (4, 0, "走っている", "走る", "verb", "combine_tte,combine_verb_dependant"), (5, 0, "は", "は", "particle", ""), (5, 1, "的", "的", "noun", "cleanup_reclassify_orphaned_suffixes"),
+)
+_INFLECTED = ((1, 0, "書か", "カカ", "書く", "動詞-一般"), (1, 1, "なかっ", "ナカッ", "ない", "助動詞-*"), (1, 2, "た", "タ", "た", "助動詞-*"), (1, 3, "本", "ホン", "本", "名詞-普通名詞"), (2, 0, "食べ", "タベ", "食べる", "動詞-一般"), (2, 1, "まし", "マシ", "ます", "助動詞-*"), (2, 2, "た", "タ", "た", "助動詞-*"), (2, 3, "よ", "ヨ", "よ", "助詞-終助詞"))
+QUERIES["rewrite_inflections"] = lambda spark, sf_dir: rw.inflections(_more_streams(spark, _INFLECTED), "id").select("id", "surface", "dictionary_form")
+ORACLES["rewrite_inflections"] = _rows("id, surface, dictionary_form", (1, "書かなかった", "書く"), (1, "本", "本"), (2, "食べました", "食べる"), (2, "よ", "よ"))
+_PHRASES = ((1, 0, "adnominal"), (1, 1, "noun"), (1, 2, "particle"), (1, 3, "verb"), (1, 4, "auxiliary"))
+QUERIES["base_phrases"] = lambda spark, sf_dir: st.base_phrases(spark.sql(_rows("id, ord, cls", *_PHRASES)), "id", "ord", "cls").select("id", F.col("phrase").cast("int").alias("phrase"), "first", "last", F.col("head").cast("int").alias("head"))
+ORACLES["base_phrases"] = _rows("id, phrase, first, last, head", (1, 0, 0, 0, 1), (1, 1, 1, 2, 2), (1, 2, 3, 4, -1))
+
+
+def _cohesion(spark, sf_dir):
+    df = spark.sql(_rows("id, source, target, relation, score", (1, 0, 1, "ガ", 3.0), (1, 0, 2, "ガ", 0.0), (1, 0, 1, "ヲ", 0.1), (1, 0, 2, "ヲ", 0.1), (1, 0, 3, "ヲ", 0.1), (1, 2, 2, "ニ", 5.0), (1, 2, 0, "ニ", 0.0)))
+    return st.cohesion(df.withColumn("score", F.col("score").cast("double")), "id")
+
+
+QUERIES["decode_cohesion"] = _cohesion
+ORACLES["decode_cohesion"] = _rows("id, source, relation, target", (1, 0, "ガ", 1))
+
+
+def _discourse(spark, sf_dir):
+    rows = [(1, 0, 1, 0, 1, "原因・理由", 4.0), (1, 0, 1, 0, 1, "談話関係なし", 1.0), (1, 0, 2, 0, 0, "目的", 9.0), (1, 1, 2, 1, 0, "談話関係なし", 5.0), (1, 1, 2, 1, 0, "目的", 1.0)]
+    df = spark.createDataFrame(rows, "id int, left int, right int, left_sentence int, right_sentence int, relation string, score double")
+    return st.discourse(df, "id").select("id", F.col("left").alias("source"), F.col("right").alias("target"), "relation")
+
+
+QUERIES["decode_discourse"] = _discourse
+ORACLES["decode_discourse"] = _rows("id, source, target, relation", (1, 0, 1, "原因・理由"))

@@ -73,3 +73,45 @@ def test_tokenizer_nulls_and_unknown_kind(spark):
     assert [r[0] for r in df.select(tokenize(F.col("t"))).collect()] == [[], [], ["a", "b"]]
     with pytest.raises(ValueError):
         Tokenizer("nothing")
+
+
+def test_queries_as_json(index):
+    from glyphmill.operators.codec import from_json, to_json
+
+    asked = q.Boolean(must=(q.Term("body", "quick").boost(2.0),), must_not=(q.Proximity("body", q.near("dog", 1, "quick")), q.Range("size", 5, 10)))
+    assert from_json(to_json(asked)) == asked
+    assert keys(index, from_json(to_json(asked))) == {6}
+    with pytest.raises(ValueError):
+        from_json("[1]")
+
+
+def test_table_function(spark):
+    from glyphmill.operators.codec import register
+
+    register(spark)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM text_tokens('Ab c-d')").collect()] == [("ab", 0), ("c", 1), ("d", 2)]
+
+
+def test_saved_and_compacted_index(index, spark, tmp_path):
+    from glyphmill.operators.index import compact, load
+
+    index.save(f"{tmp_path}/a", 4)
+    compact(spark, f"{tmp_path}/a", f"{tmp_path}/b")
+    again = load(spark, f"{tmp_path}/b", "id", {"body": Tokenizer()})
+    assert again.checksum().first()["checksum"] == index.checksum().first()["checksum"]
+    assert keys(again, q.Term("body", "quick")) == {1, 2, 6}
+
+
+def test_index_stream_adds_batches_once(spark, tmp_path):
+    from glyphmill.operators.index import load
+    from glyphmill.streaming.text import index_stream
+
+    data = f"{tmp_path}/in"
+    spark.createDataFrame([(1, "red fox")], "id int, body string").write.parquet(data)
+    start = lambda: index_stream(spark.readStream.schema("id int, body string").parquet(data), "id", {"body": Tokenizer()}, f"{tmp_path}/ix", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    start()
+    spark.createDataFrame([(2, "red hen")], "id int, body string").write.mode("append").parquet(data)
+    start()
+    start()
+    again = load(spark, f"{tmp_path}/ix", "id", {"body": Tokenizer()})
+    assert again.terms("body").where("term = 'red'").first()["df"] == 2
