@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.llm.graph import components
-from glyphmill.llm.shared import forget, written
+from glyphmill.llm.shared import forget, small_batches, written
 from glyphmill.llm.words import mix, scans
 
 WIDTH, PERCENT = 5, 80
@@ -234,7 +234,8 @@ def _components(df: DataFrame, key: str, text: str, percent: int, width: int) ->
     """key, tk (checksum of the text), n, root (null without shingles), component_id of each row."""
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("tk"), F.xxhash64(key).alias("kh"), F.col(text).alias("text"))
-    prepared = written(_prepare(docs.select("key", "tk", "text"), percent, width), "shingles")
+    with small_batches(spark):
+        prepared = written(_prepare(docs.select("key", "tk", "text"), percent, width), "shingles")
     nodes = prepared.where("n > 0").groupBy("sig").agg(F.min_by(F.struct("prefix"), F.struct("key", "tk")).alias("r"))
     tokens = nodes.select(F.explode("r.prefix").alias("token"), F.col("sig").alias("node"))
     needs = prepared.where("n > 0").groupBy(F.col("sig").alias("node")).agg(F.min("need").alias("need"))
@@ -242,7 +243,8 @@ def _components(df: DataFrame, key: str, text: str, percent: int, width: int) ->
     wanted = prepared.where("n > 0").groupBy("sig").agg(F.min(F.struct("key", "tk")).alias("r")).join(first.select(F.col("node").alias("sig")).distinct(), "sig")
     wanted = wanted.select(F.xxhash64("r.key").alias("kh"), "r.tk")
     texts = docs.select("tk", "kh", "text").dropDuplicates(["tk", "kh"]).join(wanted, ["tk", "kh"]).select("text")
-    sets = written(_full(texts, percent, width), "sets")
+    with small_batches(spark):
+        sets = written(_full(texts, percent, width), "sets")
 
     # a second count drops elements whose other nodes have gone
     again = _shared(first.select("token", "node"), needs)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.shared import forget, written
+from glyphmill.llm.shared import forget, small_batches, written
 from glyphmill.llm.words import scans
 
 WINDOW, ANCHOR, PHRASE = 50, 25, 16
@@ -229,7 +229,8 @@ def keep_mask(n: int, froms: list[int], tos: list[int]) -> np.ndarray:
 def _find(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(survey of all rows, smallest key by text, cuts by text): the texts themselves in the last two by checksum."""
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tk"), F.col(text).alias("text"))
-    survey = written(_survey(docs), "survey")
+    with small_batches(df.sparkSession):
+        survey = written(_survey(docs), "survey")
     texts = survey.where(f"n_words >= {WINDOW}").groupBy("tk").agg(F.min_by(F.struct("key", "marks"), "key").alias("r")).select("tk", "r.key", "r.marks")
     marks = texts.select("tk", "key", F.explode("marks").alias("mark"))
     again = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
@@ -237,7 +238,8 @@ def _find(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, Dat
     wanted = again.select(F.col("tk").alias("rtk"), F.col("key").alias("rkey"), "again")
     once = docs.dropDuplicates(["tk", "key"])  # before the shuffle of the join, which it shares
     candidates = once.join(wanted, (once.tk == wanted.rtk) & (once.key == wanted.rkey)).select("key", "tk", "again", "text")
-    candidates = written(_recurring(candidates), "candidates")
+    with small_batches(df.sparkSession):
+        candidates = written(_recurring(candidates), "candidates")
 
     windows = candidates.select("key", "tk", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select("key", "tk", F.col("w.hashes").alias("h"), F.col("w.starts").alias("start"))
     owners = windows.groupBy("h").agg(F.min("key").alias("owner"), F.max("key").alias("other")).where("owner < other").select("h", "owner")
@@ -260,7 +262,8 @@ def _find(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, Dat
     right = right.select("shard", F.pmod(F.shiftright("tk", 7), F.col("copies")).cast("int").alias("copy"), F.lit(True).alias("is_text"), "key", "tk", "text")
     dealt = left.unionByName(right).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "is_text")
     cuts = _stream(dealt).groupBy("key", "tk").agg(F.flatten(F.collect_list("froms")).alias("froms"), F.flatten(F.collect_list("tos")).alias("tos"))
-    cuts = written(cuts, "cuts")
+    with small_batches(df.sparkSession):
+        cuts = written(cuts, "cuts")
     forget(df.sparkSession, uses, passages, copies)
     smallest = survey.where(f"n_words >= {WINDOW}").groupBy("tk").agg(F.min("key").alias("least"))
     return survey, smallest, cuts.join(candidates.select("tk", "text"), "tk")

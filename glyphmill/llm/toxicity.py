@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.arrow import with_columns
 
-TRAIN_DOCS, TRAIN_BYTES = 2000, 65536
+TRAIN_DOCS, TRAIN_BYTES = 1500, 65536
 WINDOW_WORDS, DICTIONARY_BYTES = 4, 8192
 #: Phrases whose log-likelihood ratio is at least this part of the best one's.
 LEAST_GAIN = 0.08
