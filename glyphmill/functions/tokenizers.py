@@ -90,30 +90,59 @@ def stem_english(token: Column) -> Column:
     return out.otherwise(token)
 
 
-def slots(text: Column, options: Tokenizer = Tokenizer()) -> Column:
-    """Tokens in place: a removed token is null, so that positions stay."""
+def _raw(text: Column, options: Tokenizer) -> tuple[Column, bool]:
+    """The split text, and whether it is lower-case already."""
     early = options.lowercase and options.kind in ("simple", "whitespace")  # the same tokens, one call a text
-    out = split_words(F.lower(text) if early else text, options)
-    if options.lowercase and not early:
-        out = F.transform(out, F.lower)
+    return split_words(F.lower(text) if early else text, options), early
+
+
+def _shaped(token: Column, options: Tokenizer, lowered: bool) -> Column:
+    """A token after lowercasing and folding."""
+    if options.lowercase and not lowered:
+        token = F.lower(token)
     if options.ascii_folding:
-        out = F.transform(out, lambda t: F.translate(F.regexp_replace(F.regexp_replace(t, "ß", "ss"), "œ", "oe"), FOLD_FROM, FOLD_TO))
-    keep = lambda t: F.lit(True)
-    if options.remove_long or options.stopwords:
-        keep = lambda t: (F.char_length(t) <= (options.remove_long or 2**31 - 1)) & (~t.isin(*options.stopwords) if options.stopwords else F.lit(True))
-    out = F.transform(out, lambda t: F.when(keep(t), stem_english(t) if options.stemmer == "english" else t))
-    return F.coalesce(out, F.array().cast("array<string>"))
+        token = F.translate(F.regexp_replace(F.regexp_replace(token, "ß", "ss"), "œ", "oe"), FOLD_FROM, FOLD_TO)
+    return token
+
+
+def _kept(token: Column, options: Tokenizer) -> Column | None:
+    """Whether a shaped token stays; None if all do."""
+    tests = [F.char_length(token) <= options.remove_long] if options.remove_long else []
+    if options.stopwords:
+        tests.append(~token.isin(*options.stopwords))
+    return tests[0] & tests[1] if len(tests) == 2 else tests[0] if tests else None
+
+
+def _final(token: Column, options: Tokenizer) -> Column:
+    return stem_english(token) if options.stemmer == "english" else token
 
 
 def tokenize(text: Column, options: Tokenizer = Tokenizer()) -> Column:
     """The tokens that remain, in order; null text: an empty array."""
-    return F.filter(slots(text, options), lambda t: t.isNotNull())
+    out, lowered = _raw(text, options)
+    if (options.lowercase and not lowered) or options.ascii_folding:
+        out = F.transform(out, lambda t: _shaped(t, options, lowered))
+    if options.remove_long or options.stopwords:
+        out = F.filter(out, lambda t: _kept(t, options))
+    if options.stemmer:
+        out = F.transform(out, lambda t: _final(t, options))
+    return F.coalesce(out, F.array().cast("array<string>"))
+
+
+def exploded(df: DataFrame, text: str, options: Tokenizer = Tokenizer(), token: str = "token") -> DataFrame:
+    """df without its text, one row per token: position, token. Options apply to rows, not inside arrays; a token that
+    is removed leaves its position empty."""
+    out, lowered = _raw(F.col(text), options)
+    rows = df.select("*", F.posexplode(out).alias("position", token)).drop(text)
+    rows = rows.withColumn(token, _shaped(F.col(token), options, lowered))
+    kept = _kept(F.col(token), options)
+    rows = rows if kept is None else rows.where(kept)
+    return rows.withColumn(token, _final(F.col(token), options))
 
 
 def tokenize_table(df: DataFrame, text: str, options: Tokenizer = Tokenizer()) -> DataFrame:
-    """df without its text, one row per token: token, position."""
-    rows = df.select("*", F.posexplode(slots(F.col(text), options)).alias("position", "token"))
-    return rows.where("token is not null").drop(text)
+    """df without its text, one row per token: position, token."""
+    return exploded(df, text, options)
 
 
 def tokenizers(spark) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.functions.tokenizers import Tokenizer, slots
+from glyphmill.functions.tokenizers import Tokenizer, exploded, tokenize
 
 K1, B = 1.2, 0.75
 
@@ -85,9 +85,8 @@ def build_index(df: DataFrame, key: str, fields: dict[str, Tokenizer]) -> Index:
     tokens = None
     lengths = None
     for name, options in fields.items():
-        own = df.select(F.col(key), F.lit(name).alias("field"), slots(F.col(name), options).alias("slots"))
-        size = own.select(key, "field", F.size(F.filter("slots", lambda t: t.isNotNull())).cast("long").alias("len"))
-        each = own.select(key, "field", F.posexplode("slots").alias("position", "term")).where("term is not null")
+        size = df.select(F.col(key), F.lit(name).alias("field"), F.size(tokenize(F.col(name), options)).cast("long").alias("len"))
+        each = exploded(df.select(F.col(key), F.lit(name).alias("field"), F.col(name).alias("_text")), "_text", options, "term")
         tokens = each if tokens is None else tokens.unionByName(each)
         lengths = size if lengths is None else lengths.unionByName(size)
     postings = tokens.groupBy(key, "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
