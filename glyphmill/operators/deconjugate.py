@@ -91,6 +91,15 @@ def rules(spark) -> DataFrame:
     return spark.createDataFrame(rule_rows(), "con_end string, dec_end string, con_tag string, dec_tag string, detail string")
 
 
+def expand_rules(df: DataFrame) -> DataFrame:
+    """Rules given as parallel arrays (con_end, dec_end, con_tag, dec_tag, with one detail) as one row each; an array of
+    one value stands for all rows."""
+    names = ("con_end", "dec_end", "con_tag", "dec_tag")
+    size = F.greatest(*[F.size(n) for n in names])
+    rows = df.withColumn("_i", F.explode(F.sequence(F.lit(1), size)))
+    return rows.select(*[F.when(F.size(n) == 1, F.element_at(n, 1)).otherwise(F.try_element_at(n, F.col("_i"))).alias(n) for n in names], "detail")
+
+
 def rules_sql() -> str:
     """The rules as a VALUES list."""
     return ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rule_rows())

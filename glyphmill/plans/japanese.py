@@ -231,3 +231,41 @@ def _discourse(spark, sf_dir):
 
 QUERIES["decode_discourse"] = _discourse
 ORACLES["decode_discourse"] = _rows("id, source, target, relation", (1, 0, 1, "原因・理由"))
+
+_AXES = (
+    (1, "食べる", "v1", ("passive", "polite", "negative", "past", "indicative"), "食べられませんでした", "passive:食べられる,polite_negative_past:食べられませんでした"), (2, "書く", "v5k", ("causative", "plain", "affirmative", "nonpast", "te"), "書かせて", "causative:書かせる,te:書かせて"),
+    (3, "高い", "adj-i", ("active", "plain", "negative", "past", "indicative"), "高くなかった", "negative_past:高くなかった"), (4, "飲む", "v5m", ("active", "polite", "affirmative", "nonpast", "volitional"), "飲みましょう", "polite_volitional:飲みましょう"), (5, "飲む", "v5m", ("active", "polite", "negative", "past", "imperative"), None, None),
+)
+
+
+def _axes(spark, sf_dir):
+    from functools import reduce
+
+    from glyphmill.functions.axes import conjugate_axes
+
+    parts = []
+    for n, word, tag, (voice, politeness, polarity, tense, mood), _, _ in _AXES:
+        c = conjugate_axes(F.col("word"), F.col("tag"), voice, politeness, polarity, tense, mood)
+        parts.append(spark.sql(_rows("id, word, tag", (n, word, tag))).select("id", c.alias("c")))
+    both = reduce(lambda a, b: a.unionByName(b), parts)
+    return both.select("id", "c.surface", F.array_join(F.transform("c.chain", lambda s: F.concat(s["axis"], F.lit(":"), s["surface"])), ",").alias("chain"))
+
+
+QUERIES["conjugate_axes"] = _axes
+ORACLES["conjugate_axes"] = _rows("id, surface, chain", *((n, s, c) for n, _, _, _, s, c in _AXES))
+_CHAINS = ((1, "読む", "v5m", ["iru"], "past", "読んでいた"), (2, "食べる", "v1", ["sugiru", "shimau"], "polite_past", "食べすぎてしまいました"), (3, "書く", "v5k", ["yasui"], "negative", "書きやすくない"), (4, "待つ", "v5t", ["kudasai"], "dictionary", "待ってください"))
+
+
+def _chains(spark, sf_dir):
+    from functools import reduce
+
+    from glyphmill.functions.axes import conjugate_chain
+
+    parts = [spark.sql(_rows("id, word, tag", (n, w, t))).select("id", conjugate_chain(F.col("word"), F.col("tag"), aux, form).alias("surface")) for n, w, t, aux, form, _ in _CHAINS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+QUERIES["conjugate_chain"] = _chains
+ORACLES["conjugate_chain"] = _rows("id, surface", *((c[0], c[5]) for c in _CHAINS))
+QUERIES["rule_expand"] = lambda spark, sf_dir: dec.expand_rules(spark.sql("SELECT array('か', 'き') AS con_end, array('く') AS dec_end, array('a', 'i') AS con_tag, array('v5k') AS dec_tag, 'x' AS detail"))
+ORACLES["rule_expand"] = _rows("con_end, dec_end, con_tag, dec_tag, detail", ("か", "く", "a", "v5k", "x"), ("き", "く", "i", "v5k", "x"))
