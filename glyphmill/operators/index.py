@@ -22,6 +22,7 @@ class Index:
     fields: dict[str, Tokenizer]
     postings: DataFrame
     lengths: DataFrame
+    buckets: int | None = None
     _stats: dict[str, tuple[int, float]] = field(default_factory=dict)
 
     def stats(self, name: str) -> tuple[int, float]:
@@ -31,6 +32,15 @@ class Index:
             self._stats[name] = (r["n"], float(r["a"] or 0.0))
         return self._stats[name]
 
+    def of_field(self, name: str, terms: list[str] | None = None) -> DataFrame:
+        """The postings of a field, or of some of its terms; of a stored index, only the buckets of these terms."""
+        out = self.postings.where(F.col("field") == name)
+        if terms is not None:
+            out = out.where(F.col("term").isin(terms))
+            if self.buckets:
+                out = out.where(F.col("bucket").isin([F.pmod(F.xxhash64(F.lit(t)), F.lit(self.buckets)).cast("int") for t in terms]))
+        return out
+
     def terms(self, name: str) -> DataFrame:
         """The term dictionary of a field: term, df."""
         return self.postings.where(F.col("field") == name).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -58,13 +68,14 @@ class Index:
         placed.repartition("field", "bucket").sortWithinPartitions("term").write.partitionBy("field", "bucket").parquet(f"{path}/postings")
         self.lengths.write.partitionBy("field").parquet(f"{path}/lengths")
         self.rows.write.parquet(f"{path}/rows")
+        self.rows.sparkSession.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{path}/meta")
 
 
 def compact(spark, path: str, to: str, files: int = 1) -> None:
     """The stored postings rewritten with so many files per bucket."""
     postings = spark.read.parquet(f"{path}/postings")
     postings.repartition(files, "field", "bucket").sortWithinPartitions("field", "bucket", "term").write.partitionBy("field", "bucket").parquet(f"{to}/postings")
-    for name in ("lengths", "rows"):
+    for name in ("lengths", "rows", "meta"):
         df = spark.read.parquet(f"{path}/{name}")
         (df.write.partitionBy("field") if name == "lengths" else df.write).parquet(f"{to}/{name}")
 
@@ -77,7 +88,7 @@ def version_info(spark) -> DataFrame:
 
 def load(spark, path: str, key: str, fields: dict[str, Tokenizer]) -> Index:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Index(read("rows"), key, fields, read("postings").drop("bucket"), read("lengths"))
+    return Index(read("rows"), key, fields, read("postings"), read("lengths"), read("meta").first()["buckets"])
 
 
 def build_index(df: DataFrame, key: str, fields: dict[str, Tokenizer]) -> Index:

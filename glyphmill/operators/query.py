@@ -241,7 +241,7 @@ def top_k(index: Index, query: Query, k: int, offset: int = 0) -> DataFrame:
 
 
 def _postings(index: Index, field: str) -> DataFrame:
-    return index.postings.where(F.col("field") == field)
+    return index.of_field(field)
 
 
 def _idf(df: Column, n: int) -> Column:
@@ -263,7 +263,7 @@ def _terms_any(index: Index, field: str, terms: list[str], need: int = 1) -> Dat
     terms = list(dict.fromkeys(terms))
     if not terms:
         return _none(index)
-    hits = _postings(index, field).where(F.col("term").isin(terms)).select(index.key, "term", "tf")
+    hits = index.of_field(field, terms).select(index.key, "term", "tf")
     counts = hits.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))  # as many rows as the query has terms
     n, _ = index.stats(field)
     weighed = hits.join(F.broadcast(counts), "term").withColumn("idf", _idf(F.col("df"), n))
@@ -323,11 +323,10 @@ def _holding(index: Index, field: str, terms: DataFrame) -> DataFrame:
 
 def _slot(index: Index, field: str, slot, k: int) -> DataFrame:
     """key and the positions of one phrase slot; slot: a term, alternatives, or a DataFrame of terms."""
-    base = _postings(index, field)
     if isinstance(slot, DataFrame):
-        base = base.join(slot, "term", "left_semi")
+        base = _postings(index, field).join(slot, "term", "left_semi")
     else:
-        base = base.where(F.col("term").isin([slot] if isinstance(slot, str) else list(slot)))
+        base = index.of_field(field, [slot] if isinstance(slot, str) else list(slot))
     if isinstance(slot, str):
         return base.select(index.key, F.col("positions").alias(f"p{k}"))
     return base.groupBy(index.key).agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias(f"p{k}"))
@@ -357,7 +356,7 @@ def _phrase(index: Index, field: str, slots: list, slop: int, idf_terms: list[st
     if idf_terms is None:
         return _constant(hits.select(index.key))
     n, _ = index.stats(field)
-    counts = _postings(index, field).where(F.col("term").isin(idf_terms)).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    counts = index.of_field(field, idf_terms).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     total = counts.agg(F.sum(_idf(F.col("df"), n)).alias("idf"))  # one row
     return _bm25(index, field, hits.crossJoin(F.broadcast(total)), "idf")
 
@@ -375,7 +374,7 @@ def _near(index: Index, field: str, c: Near) -> DataFrame:
     if c.pattern is not None:
         base = base.join(_expanded(index, field, F.col("term").rlike(f"^(?:{c.pattern})$"), c.max_expansions), "term", "left_semi")
     else:
-        base = base.where(F.col("term").isin(list(c.terms)))
+        base = index.of_field(field, list(c.terms))
     spans = base.select(index.key, F.explode("positions").alias("first"))
     return spans.withColumn("last", F.col("first"))
 
@@ -433,7 +432,7 @@ def _compile(index: Index, q: Query) -> DataFrame:
                     return _holding(index, field, values.select("term"))
                 return _constant(index.rows.join(values.select(F.col("term").alias(field)).distinct(), field, "left_semi").select(key))
             if field in index.fields:
-                return _constant(_postings(index, field).where(F.col("term").isin(list(values))).select(key).distinct())
+                return _constant(index.of_field(field, list(values)).select(key).distinct())
             return _where(index, F.col(field).isin(list(values)))
         case Match(field, text, all_, distance, prefix, tokenizer):
             terms = tokens_of(index, field, text, tokenizer)

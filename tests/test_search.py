@@ -100,10 +100,11 @@ def test_saved_and_compacted_index(index, spark, tmp_path):
     again = load(spark, f"{tmp_path}/b", "id", {"body": Tokenizer()})
     assert again.checksum().first()["checksum"] == index.checksum().first()["checksum"]
     assert keys(again, q.Term("body", "quick")) == {1, 2, 6}
+    plan = q.search(again, q.Term("body", "quick"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(field" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
 
 
 def test_index_stream_adds_batches_once(spark, tmp_path):
-    from glyphmill.operators.index import load
     from glyphmill.streaming.text import index_stream
 
     data = f"{tmp_path}/in"
@@ -113,5 +114,5 @@ def test_index_stream_adds_batches_once(spark, tmp_path):
     spark.createDataFrame([(2, "red hen")], "id int, body string").write.mode("append").parquet(data)
     start()
     start()
-    again = load(spark, f"{tmp_path}/ix", "id", {"body": Tokenizer()})
-    assert again.terms("body").where("term = 'red'").first()["df"] == 2
+    postings = spark.read.parquet(f"{tmp_path}/ix/postings")
+    assert postings.where("term = 'red'").count() == 2
