@@ -29,3 +29,24 @@ def components(edges: DataFrame) -> DataFrame:
         later = out.select(F.col("node").alias("root"), F.col("root").alias("to"))
         out = step.join(later, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     return out
+
+
+def no_roots(spark) -> DataFrame:
+    return spark.createDataFrame([], "node long, root long")
+
+
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after more links (a, b): only components that the links join are looked at again."""
+    spark = roots.sparkSession
+    links = written(links.select("a", "b"), "links")
+    if links.isEmpty():
+        return roots
+    a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    placed = links.join(a, "a", "left").join(b, "b", "left")
+    moved = components(placed.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    named = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    every = roots.unionByName(named.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+    later = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    out = written(every.join(later, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+    forget(spark, links)
+    return out

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.graph import components
+from glyphmill.llm.graph import extended, no_roots
 from glyphmill.llm.shared import forget, small_batches, written
 from glyphmill.llm.words import mix, scans
 
@@ -204,14 +204,15 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def _tie(level: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, whole: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(links, roots) after turns of stars."""
+def _tie(level: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, whole: bool = True) -> DataFrame:
+    """roots after turns of stars."""
     for turn in range(TURNS):
         open_ = _open(level, roots)
-        links = written(links.unionByName(_links(_meeting(open_, percent, turn, whole), sets, percent)), "links")
-        roots = components(links)
+        if open_.isEmpty():
+            break
+        roots = extended(roots, _links(_meeting(open_, percent, turn, whole), sets, percent))
         forget(level.sparkSession, open_)
-    return links, roots
+    return roots
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -250,19 +251,20 @@ def _components(df: DataFrame, key: str, text: str, percent: int, width: int) ->
     again = _shared(first.select("token", "node"), needs)
     forget(spark, first)
     level = written(_first_level(again, sets), "level")
-    links = level.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    links, roots = _tie(level, links, components(links), sets, percent, whole=False)
+    roots = _tie(level, no_roots(spark), sets, percent, whole=False)
     open_ = _open(level, roots)
-    costly = open_.groupBy("node").agg((F.sum("meets") > COSTLY * F.count(F.lit(1))).alias("costly"))
-    open_ = written(open_.join(costly, "node"), "open")
-    cheap = _meeting(open_, percent, whole=False, only="not costly")
-    links = written(links.unionByName(_links(cheap, sets, percent)), "links")
-    grown = sets.join(open_.where("costly").select(F.col("node").alias("sig")).distinct(), "sig")
-    whole = grown.select(F.explode("elements").alias("token"), F.col("sig").alias("node"))
-    level = written(_whole_level(_shared(whole, sets.select(F.col("sig").alias("node"), "need")), sets, percent), "level")
-    links, roots = _tie(level, links, components(links), sets, percent)
-    links = written(links.unionByName(_links(_meeting(_open(level, roots), percent), sets, percent)), "links")
-    roots = components(links)
+    if not open_.isEmpty():
+        costly = open_.groupBy("node").agg((F.sum("meets") > COSTLY * F.count(F.lit(1))).alias("costly"))
+        marked = written(open_.join(costly, "node"), "open")
+        forget(spark, open_)
+        roots = extended(roots, _links(_meeting(marked, percent, whole=False, only="not costly"), sets, percent))
+        grown = sets.join(marked.where("costly").select(F.col("node").alias("sig")).distinct(), "sig")
+        whole = grown.select(F.explode("elements").alias("token"), F.col("sig").alias("node"))
+        shared = _shared(whole, sets.select(F.col("sig").alias("node"), "need"))
+        forget(spark, level, marked)
+        level = written(_whole_level(shared, sets, percent), "level")
+        roots = _tie(level, roots, sets, percent)
+        roots = extended(roots, _links(_meeting(_open(level, roots), percent), sets, percent))
     out = prepared.select("key", "tk", "n", "sig").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
     out = out.withColumn("root", F.coalesce("root", "sig"))
     smallest = out.where("n > 0").groupBy("root").agg(F.min("key").alias("component_id"))
