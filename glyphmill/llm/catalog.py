@@ -16,4 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9,
     "op10_token_counts": token_counts.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op7_substring_dedup": substring_dedup.ORACLE_SQL,
+}

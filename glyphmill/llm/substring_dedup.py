@@ -322,6 +322,19 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return staged.mapInArrow(run, df.schema)
 
 
+#: DuckDB SQL for the rows of the query.
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(t) - 48)) AS p, t FROM w WHERE len(t) >= 50),
+h AS (SELECT doc_id, p, array_to_string(t[p:p + 49], ' ') AS g FROM win),
+dup AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY g) AS first FROM h) WHERE first < doc_id),
+gone AS (SELECT doc_id, list(DISTINCT i) AS l FROM (SELECT doc_id, unnest(range(p, p + 50)) AS i FROM dup) GROUP BY doc_id)
+SELECT w.doc_id, len(t)::BIGINT AS n_words, coalesce(len(l), 0)::BIGINT AS n_removed,
+    sha256(array_to_string(CASE WHEN l IS NULL THEN t ELSE list_filter(t, lambda x, i: NOT list_contains(l, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     """Repeats across all documents."""
     return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
