@@ -13,7 +13,7 @@ FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
 KINDS = (
     "alias", "literal", "literal_normalized", "simple", "whitespace", "unicode_words", "ngram", "regex_pattern",
-    "source_code", "chinese_compatible", "lindera", "jieba", "sudachi",
+    "source_code", "chinese_compatible", "lindera", "jieba", "lattice",
 )
 
 
