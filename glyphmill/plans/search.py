@@ -228,6 +228,8 @@ def _term_stats(spark, sf_dir):
 
 QUERIES["index_terms"] = _term_stats
 ORACLES["index_terms"] = f"WITH {_base()} SELECT term, df::BIGINT AS df FROM terms WHERE df >= 50"
+QUERIES["index_terms_all"] = lambda spark, sf_dir: _docs(spark, sf_dir).terms("text")
+ORACLES["index_terms_all"] = f"WITH {_base()} SELECT term, df::BIGINT AS df FROM terms"
 
 
 def _index_info(spark, sf_dir):

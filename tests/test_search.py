@@ -5,6 +5,7 @@ from glyphmill.functions.tokenizers import Tokenizer, tokenize
 from glyphmill.operators import query as q
 from glyphmill.operators.index import build_index
 from glyphmill.operators.parser import ParseError, parse
+from glyphmill.plans import catalog
 
 ROWS = [
     (1, "the quick brown fox", 10), (2, "The lazy dog, the quick dog", 20), (3, "brown bread and butter", None), (4, "", 40), (5, None, 50), (6, "quick quick brown quick", 60),
@@ -116,3 +117,10 @@ def test_index_stream_adds_batches_once(spark, tmp_path):
     start()
     postings = spark.read.parquet(f"{tmp_path}/ix/postings")
     assert postings.where("term = 'red'").count() == 2
+
+
+def test_dictionary_query_has_every_term(spark):
+    sf = "/root/testdata/sf0.001"
+    found = catalog.QUERIES["index_terms_all"](spark, sf)
+    assert found.count() == catalog.QUERIES["index_info"](spark, sf).first()["terms"]
+    assert found.where("df = 1").count() > 0
