@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are runs of letters and digits, lower-cased. A document and an item are compared if they share a run of SEED
-words. Tiling then marks, again and again, the longest runs of unmarked words that both hold, non-overlapping, down to
+Words are runs of letters and digits, lower-cased. A document and an item are compared if the runs of LEAST words that
+they share cover COVERAGE of the item: tiles lie within these runs, so no item that tiles could cover is left out.
+Tiling then marks, again and again, the longest runs of unmarked words that both hold, non-overlapping, down to
 runs of LEAST words: for a run length, hashes of the item's unmarked runs are looked up by those of the document's
 unmarked runs, rolling along both, and matches are confirmed and stretched word by word. Since runs may match in any
 order, passages whose parts were moved are covered too. An item whose words are covered to COVERAGE or more
@@ -9,7 +10,7 @@ contaminates the document.
 
 The benchmark is a stated query set, taken in blocks of at most BLOCK_BYTES of text: the table is read back in order,
 one block at a time is sent to the tasks, and every document meets every block, so nothing depends on its size.
-Defined results: null or word-less texts and items match nothing; items shorter than SEED words need their whole run;
+Defined results: null or word-less texts and items match nothing; items shorter than LEAST words need their whole run;
 repeated documents or items: a row for each; empty tables: no rows.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from glyphmill.llm.shared import written
 from glyphmill.llm.words import mix
 
-SEED, LEAST, COVERAGE = 5, 3, 0.6
+LEAST, COVERAGE = 3, 0.6
 BLOCK_BYTES = 4 << 20
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _BASE = 0x9E3779B97F4A7C15
@@ -114,26 +115,23 @@ class Block:
             words = words_of(text)
             if words:
                 self.items.append((item_id, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]))
-        seeds, owners = [], []
-        self.short = [k for k, (_, words) in enumerate(self.items) if len(words) < SEED]
-        for k, (_, words) in enumerate(self.items):
-            for h in np.unique(_seeds(np.array(words, np.int64))).tolist():
-                seeds.append(h)
-                owners.append(k)
-        order = np.argsort(np.array(seeds, np.uint64), kind="stable")
-        self.seeds, self.owners = np.array(seeds, np.uint64)[order], np.array(owners, np.int64)[order]
+        self.short = [k for k, (_, words) in enumerate(self.items) if len(words) < LEAST]
+        # the items' words end to end: each place's item, and the places where a seed begins, by seed
+        self.lengths = np.array([len(words) for _, words in self.items], np.int64)
+        self.owners = np.repeat(np.arange(len(self.items)), self.lengths)
+        runs = [_seeds(np.array(words, np.int64)) for _, words in self.items]
+        begins = np.cumsum(self.lengths) - self.lengths
+        seeds = np.concatenate([np.zeros(0, np.uint64), *runs])
+        places = np.concatenate([np.zeros(0, np.int64), *(b + np.arange(len(r)) for b, r in zip(begins.tolist(), runs, strict=True))])
+        order = np.argsort(seeds, kind="stable")
+        self.seeds, self.places = seeds[order], places[order]
 
     def search(self, text: str | None) -> Iterator[tuple[object, float, int]]:
         """(item, coverage, tiles) of each item that contaminates the text."""
         known = self.vocabulary.get
         words = np.fromiter((known(w, 0) for w in words_of(text)), np.int64)
-        hashes = _seeds(words)
-        at = np.searchsorted(self.seeds, hashes)
-        at = at[at < len(self.seeds)] if not len(self.seeds) else np.minimum(at, len(self.seeds) - 1)
-        shared = np.unique(hashes[self.seeds[at] == hashes]) if len(at) else hashes[:0]
-        places = [k for h in shared for k in self.owners[np.searchsorted(self.seeds, h, "left") : np.searchsorted(self.seeds, h, "right")].tolist()]
         own = words.tolist()
-        for k in sorted({*places, *self._short_hits(own)}):
+        for k in sorted({*self._coverable(words), *self._short_hits(own)}):
             item_id, item = self.items[k]
             # words that the item lacks part the document; runs of one word are no tile
             found = tiles(*_relevant(own, item), least=min(LEAST, len(item)))
@@ -141,6 +139,19 @@ class Block:
             if coverage >= COVERAGE:
                 yield item_id, coverage, len(found)
 
+    def _coverable(self, words: np.ndarray) -> list[int]:
+        """Items of which shared seeds cover COVERAGE or more, the most that tiles can."""
+        hashes = np.unique(_seeds(words))
+        first, last = np.searchsorted(self.seeds, hashes, "left"), np.searchsorted(self.seeds, hashes, "right")
+        counts = last - first
+        if not counts.any():
+            return []
+        ends = np.cumsum(counts)
+        shared = self.places[np.arange(ends[-1]) + np.repeat(last - ends, counts)]
+        covered = np.unique(np.concatenate([shared + j for j in range(LEAST)]))
+        items, n = np.unique(self.owners[covered], return_counts=True)
+        return items[n / self.lengths[items] >= COVERAGE].tolist()
+
     def _short_hits(self, words: list[int]) -> Iterator[int]:
         for k in self.short:
             item = self.items[k][1]
@@ -160,13 +171,13 @@ def _relevant(document: list[int], item: list[int]) -> tuple[list[int], list[int
 
 
 def _seeds(words: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of SEED known words."""
-    if len(words) < SEED:
+    """Hashes of the runs of LEAST known words."""
+    if len(words) < LEAST:
         return np.zeros(0, np.uint64)
     values = mix(words.astype(np.uint64))
-    h = np.zeros(len(words) - SEED + 1, np.uint64)
+    h = np.zeros(len(words) - LEAST + 1, np.uint64)
     known = np.ones(len(h), bool)
-    for j in range(SEED):
+    for j in range(LEAST):
         h = h * np.uint64(_BASE) + values[j : j + len(h)]
         known &= words[j : j + len(h)] > 0
     return mix(h)[known]

@@ -269,6 +269,35 @@ def test_decontamination(spark, empty):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_by_short_runs():
+    item = prose(9, 80).split()
+    long_item = prose(24, 81).split()
+    blocks = [long_item[i : i + 4] for i in range(0, 24, 4)]
+    block = decontamination.Block([(1, " ".join(item)), (2, " ".join(long_item)), (3, "qa qb qc qd"), (4, "ra rb")])
+    found = lambda text: [(k, round(c, 3)) for k, c, _ in block.search(text)]
+    assert found(" ".join([*item[:4], "zz", *item[5:]])) == [(1, 0.889)]
+    assert found(" zz ".join(" ".join(b) for b in reversed(blocks))) == [(2, 1.0)]
+    assert found("zz qa qb qc zz qd") == [(3, 0.75)]
+    assert found("qa qb zz qc qd ra zz rb") == []
+    assert found("zz ra rb") == [(4, 1.0)]
+
+
+def test_decontamination_finds_what_tiles_cover():
+    r = random.Random(6)
+    text = lambda n: " ".join(r.choice("abcdefgh") for _ in range(n))
+    items = [(k, text(r.randint(1, 14))) for k in range(40)]
+    block = decontamination.Block(items)
+    for _ in range(60):
+        document = text(r.randint(0, 40))
+        wanted = {}
+        for k, item in items:
+            a, b = [ord(w) for w in document.split()], [ord(w) for w in item.split()]
+            n = sum(t[2] for t in decontamination.tiles(a, b, min(decontamination.LEAST, len(b))))
+            if n / len(b) >= decontamination.COVERAGE:
+                wanted[k] = n / len(b)
+        assert {k: c for k, c, _ in block.search(document)} == wanted
+
+
 def test_benchmark_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 100)
     items = [(i, prose(20, 500 + i)) for i in range(5)]
