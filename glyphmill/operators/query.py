@@ -293,13 +293,20 @@ def tokens_of(index: Index, field: str, text: str | tuple[str, ...], tokenizer:
 
 
 def _damerau(term: Column, value: str, distance: int) -> Column:
-    """Edit distance at most `distance`, an exchange of neighbours costing one: the plain distance to any exchange of
-    the value's neighbours, plus one, is as good as the full recurrence where exchanges do not touch."""
-    swaps = {value[:i] + value[i + 1] + value[i] + value[i + 2 :] for i in range(len(value) - 1)} - {value}
-    out = F.levenshtein(term, F.lit(value)) <= distance
-    if distance >= 1:
-        out = reduce(lambda a, s: a | (F.levenshtein(term, F.lit(s)) <= distance - 1), sorted(swaps), out)
-    return out
+    """Edit distance at most `distance`, an exchange of neighbours costing one: the plain distance to a value after
+    exchanges, plus their cost. What lies between two exchanged letters may be removed first, at one a letter."""
+    costs, at = {value: 0}, {value}
+    while at:
+        found: dict[str, int] = {}
+        for s in at:
+            for i in range(len(s)):
+                for j in range(i + 1, min(len(s), i + 1 + distance - costs[s])):
+                    swapped, cost = s[:i] + s[j] + s[i] + s[j + 1 :], costs[s] + j - i
+                    if cost < min(costs.get(swapped, cost + 1), found.get(swapped, cost + 1)):
+                        found[swapped] = cost
+        costs |= found
+        at = set(found)
+    return reduce(lambda a, b: a | b, [F.levenshtein(term, F.lit(s)) <= distance - cost for s, cost in sorted(costs.items())])
 
 
 def _expanded(index: Index, field: str, condition: Column, limit: int | None = None) -> DataFrame:

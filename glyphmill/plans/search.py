@@ -91,6 +91,7 @@ _register(
 _register("search_regex", q.Regex("text", "th[aeiou]+ng"), f"{_one} (SELECT DISTINCT k FROM post WHERE regexp_full_match(term, 'th[aeiou]+ng'))")
 _register("search_fuzzy", q.Fuzzy("text", "thing", 1, False), f"{_one} (SELECT DISTINCT k FROM post WHERE levenshtein(term, 'thing') <= 1)")
 _register("search_fuzzy_transposed", q.Fuzzy("text", "thign", 1), f"{_one} (SELECT DISTINCT k FROM post WHERE damerau_levenshtein(term, 'thign') <= 1)")
+_register("search_fuzzy_transposed_two", q.Fuzzy("text", "htign", 2), f"{_one} (SELECT DISTINCT k FROM post WHERE damerau_levenshtein(regexp_replace(term, '[^a-z0-9]', '#', 'g'), 'htign') <= 2)")  # DuckDB counts bytes: a letter that the value lacks becomes one byte
 _register("search_fuzzy_prefix", q.Fuzzy("text", "thin", 1, False, True), f"{_one} (SELECT DISTINCT k FROM post WHERE levenshtein(term[:3], 'thin') <= 1 OR levenshtein(term[:4], 'thin') <= 1 OR levenshtein(term[:5], 'thin') <= 1)")
 _register("search_match_fuzzy", q.Match("text", "thing nder", all=True, distance=1), f"SELECT k, 2.0::DOUBLE AS score FROM (SELECT DISTINCT k FROM post WHERE damerau_levenshtein(term, 'thing') <= 1 INTERSECT SELECT DISTINCT k FROM post WHERE damerau_levenshtein(term, 'nder') <= 1)")
 

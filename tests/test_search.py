@@ -1,3 +1,6 @@
+import itertools
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +127,13 @@ def test_dictionary_query_has_every_term(spark):
     found = catalog.QUERIES["index_terms_all"](spark, sf)
     assert found.count() == catalog.QUERIES["index_info"](spark, sf).first()["terms"]
     assert found.where("df = 1").count() > 0
+
+
+def test_fuzzy_counts_exchanges_like_the_full_recurrence(spark):
+    words = ["".join(w) for n in range(6) for w in itertools.product("abcd", repeat=n)]
+    terms = spark.createDataFrame([(w,) for w in words], "term string").cache()
+    con = duckdb.connect()
+    for value in ("abcd", "abca", "dcb", "aabbc"):
+        for distance in (0, 1, 2, 3):
+            found = {r["term"] for r in terms.where(q._damerau(F.col("term"), value, distance)).collect()}
+            assert found == {w for (w,) in con.execute("SELECT w FROM (SELECT unnest(?) AS w) WHERE damerau_levenshtein(w, ?) <= ?", [words, value, distance]).fetchall()}
