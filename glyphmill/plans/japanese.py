@@ -155,6 +155,17 @@ def _multilabel(spark, sf_dir):
 
 QUERIES["decode_multilabel"] = _multilabel
 ORACLES["decode_multilabel"] = "SELECT vec_id, array_to_string(list_sort(list_filter([CASE WHEN embedding[1] >= 0.05 THEN 'x' END, CASE WHEN embedding[2] >= 0.05 THEN 'b' END, CASE WHEN embedding[3] >= 0.05 THEN 'c' END], lambda l: l IS NOT NULL)), ',') AS labels FROM embeddings"
+
+
+def _multilabel_all(spark, sf_dir):
+    """One label for each component, whole vectors decoded."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    n = v.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return v.select("vec_id", F.array_join(st.labels_over(F.col("embedding"), [f"c{i}" for i in range(1, n + 1)], 0.05), ",").alias("labels"))
+
+
+QUERIES["decode_multilabel_all"] = _multilabel_all
+ORACLES["decode_multilabel_all"] = "SELECT vec_id, array_to_string(list_sort(list_filter(list_transform(range(1, len(embedding) + 1), lambda i: CASE WHEN embedding[i] >= 0.05::DOUBLE THEN 'c' || i END), lambda l: l IS NOT NULL)), ',') AS labels FROM embeddings"
 QUERIES["decode_bio"] = lambda spark, sf_dir: st.bio_spans(spark.sql(_rows("id, ord, tag, surface", (1, 0, "B-PERSON", "田"), (1, 1, "I-PERSON", "中"), (1, 2, "O", "は"), (1, 3, "I-DATE", "今"), (1, 4, "B-DATE", "日"), (2, 0, "O", "x"))), "id", "ord", "tag", "surface")
 ORACLES["decode_bio"] = _rows("id, type, first, last, text", (1, "PERSON", 0, 1, "田中"), (1, "DATE", 3, 3, "今"), (1, "DATE", 4, 4, "日"))
 
