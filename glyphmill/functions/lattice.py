@@ -137,5 +137,5 @@ def all_modes(text: Column, lexicon: tuple[tuple, ...] = LEXICON) -> Column:
     return run(text)
 
 
-def surfaces(text: Column, mode: str = "c") -> Column:
-    return F.transform(all_modes(text)[mode], lambda m: m["surface"])
+def surfaces(text: Column, mode: str = "c", lexicon: tuple[tuple, ...] = LEXICON) -> Column:
+    return F.transform(all_modes(text, lexicon)[mode], lambda m: m["surface"])

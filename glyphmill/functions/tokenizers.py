@@ -31,10 +31,15 @@ class Tokenizer:
     ascii_folding: bool = False
     stopwords: tuple[str, ...] = field(default=())
     stemmer: str | None = None
+    lexicon: tuple[tuple, ...] | None = None  # as lattice.LEXICON; of the kind lattice, which has a small one, and of lindera and jieba
 
     def __post_init__(self):
         if self.kind not in KINDS:
             raise ValueError(f"unknown tokenizer {self.kind!r}; known: {', '.join(KINDS)}")
+        if self.stemmer not in (None, "english"):
+            raise ValueError(f"no stemmer {self.stemmer!r} is built; known: english")
+        if self.kind in ("lindera", "jieba") and not self.lexicon:
+            raise ValueError(f"{self.kind} needs a lexicon, none comes with the package")
 
 
 def ngrams(text: Column, least: int, most: int, prefix_only: bool = False) -> Column:
@@ -75,9 +80,9 @@ def split_words(text: Column, options: Tokenizer) -> Column:
         return source_code(text)
     if kind == "chinese_compatible":
         return F.regexp_extract_all(text, F.lit(r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}]|[^\s\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}]+"), F.lit(0))
-    from glyphmill.functions.lattice import surfaces
+    from glyphmill.functions.lattice import LEXICON, surfaces
 
-    return surfaces(text)
+    return surfaces(text, lexicon=options.lexicon or LEXICON)
 
 
 def stem_english(token: Column) -> Column:
