@@ -13,6 +13,11 @@ def _pattern(terms: list[str]) -> str:
     return rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"
 
 
+def _once(value: Column, then) -> Column:
+    """then(value), with the value computed once however often it is used inside."""
+    return F.transform(F.array(value), then)[0]
+
+
 def highlight(text: Column, terms: list[str], start: str = "<b>", end: str = "</b>") -> Column:
     """The text with each whole-word hit between tags."""
     return F.regexp_replace(text, _pattern(terms), f"{start}$0{end}")
@@ -20,33 +25,32 @@ def highlight(text: Column, terms: list[str], start: str = "<b>", end: str = "</
 
 def snippet_positions(text: Column, terms: list[str], limit: int | None = None, offset: int = 0) -> Column:
     """[begin, end) of each hit, in bytes of UTF-8."""
-    # cut at hits: the lengths of the parts before give the places
+    # cut at hits: the running sum of the parts' lengths gives the places
     marked = F.split(F.regexp_replace(text, _pattern(terms), "\u0001$0\u0002"), "[\u0001\u0002]")
-    spans = F.transform(
-        F.filter(F.sequence(F.lit(1), F.size(marked)), lambda k: k % 2 == 0),
-        lambda k: F.array(
-            F.aggregate(F.slice(marked, 1, k - 1), F.lit(0), lambda a, p: a + F.octet_length(p)),
-            F.aggregate(F.slice(marked, 1, k), F.lit(0), lambda a, p: a + F.octet_length(p)),
-        ),
-    )
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+    sums = F.aggregate(marked, begin, lambda a, p: F.struct((a["at"] + F.octet_length(p)).alias("at"), F.concat(a["ends"], F.array(a["at"] + F.octet_length(p))).alias("ends")))["ends"]
+    spans = _once(sums, lambda ends: F.transform(F.filter(F.sequence(F.lit(1), F.size(ends)), lambda k: k % 2 == 0), lambda k: F.array(ends[k - 2], ends[k - 1])))
     return F.slice(spans, offset + 1, limit if limit is not None else 2**30)
 
 
 def windows(text: Column, terms: list[str], max_chars: int = 150) -> Column:
     """(score, text) of runs of whole words of at most about max_chars; score: its distinct terms, then its hits."""
-    words = F.split(text, r"\s+")
     size = max(1, max_chars // 8)
     low = [t.lower() for t in terms]
-    clean = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
-    begins = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(words) - 1) / size), F.lit(0)).cast("int")), lambda i: i * size + 1)
+    clean = lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+
+    def of(words: Column) -> Column:
+        begins = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(words) - 1) / size), F.lit(0)).cast("int")), lambda i: i * size + 1)
+
+        def one(b: Column) -> Column:
+            part = F.transform(F.slice(words, b, size), clean)
+            hits = F.size(F.filter(part, lambda w: w.isin(*low)))
+            kinds = F.size(F.array_intersect(part, F.array(*[F.lit(t) for t in low])))
+            return F.struct((kinds * 1000 + hits).alias("score"), (-b).alias("place"), F.substring(F.array_join(F.slice(words, b, size), " "), 1, max_chars).alias("text"))
 
-    def one(b: Column) -> Column:
-        part = F.slice(clean, b, size)
-        hits = F.size(F.filter(part, lambda w: w.isin(*low)))
-        kinds = F.size(F.array_intersect(part, F.array(*[F.lit(t) for t in low])))
-        return F.struct((kinds * 1000 + hits).alias("score"), (-b).alias("place"), F.substring(F.array_join(F.slice(words, b, size), " "), 1, max_chars).alias("text"))
+        return F.filter(F.transform(begins, one), lambda w: w["score"] > 0)
 
-    return F.filter(F.transform(begins, one), lambda w: w["score"] > 0)
+    return _once(F.split(text, r"\s+"), of)
 
 
 def snippet(text: Column, terms: list[str], start: str = "<b>", end: str = "</b>", max_chars: int = 150) -> Column:

@@ -285,6 +285,41 @@ def _snippets(spark, sf_dir):
 QUERIES["snippets"] = _snippets
 
 
+def _snippet_documents(name: str, made, sql: str) -> None:
+    """Snippets of the texts that are searched."""
+    QUERIES[name] = lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", *made(F.col("text")))
+    ORACLES[name] = f"SELECT doc_id, {sql} FROM documents"
+
+
+def _window_columns(text):
+    from glyphmill.operators.snippets import snippet, snippets, token_snippet
+
+    found = snippets(text, ["thing", "the"], max_chars=60, limit=2**30)
+    best, around = snippet(text, ["thing", "the"]), token_snippet(text, ["the"], "[", "]", "...", 8)
+    return best.isNotNull().alias("best"), F.coalesce(F.size(found), F.lit(0)).cast("long").alias("windows"), around.isNotNull().alias("around")
+
+
+def _tag_column(text):
+    from glyphmill.operators.snippets import highlight
+
+    plain = F.regexp_replace(text, "<b>", "")
+    marked = highlight(plain, ["the", "thing"])
+    return [((F.char_length(marked) - F.char_length(F.regexp_replace(marked, "<b>", ""))) / 3).cast("long").alias("tags")]
+
+
+_PLAIN = "replace(text, '<b>', '')"
+_HITS = f"len(list_filter({_SPLIT.format(text='text')}, lambda x: x IN ('the', 'thing')))::BIGINT"
+_CLEAN = "list_transform(regexp_split_to_array(text, '\\s+'), lambda x: lower(regexp_replace(x, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')))"
+_snippet_documents("snippet_positions_documents", lambda text: [F.size(snippet_positions(text, ["the", "thing"])).cast("long").alias("hits")], f"{_HITS} AS hits")
+_snippet_documents("snippet_highlight_documents", _tag_column, f"{_HITS.replace('lower(text)', 'lower(' + _PLAIN + ')')} AS tags")
+_snippet_documents(
+    "snippets_documents",
+    _window_columns,
+    f"""list_has_any({_CLEAN}, ['thing', 'the']) AS best, list_contains({_CLEAN}, 'the') AS around,
+    len(list_distinct(list_filter(list_transform({_CLEAN}, lambda x, i: CASE WHEN x IN ('thing', 'the') THEN (i - 1) // 7 END), lambda w: w IS NOT NULL)))::BIGINT AS windows""",
+)
+
+
 def _stream(spark, sf_dir):
     """Windowed counts of event types, run as a stream to its end."""
     import uuid
