@@ -1,9 +1,10 @@
 """Token-id files in Simple-8b: each 64-bit word has a selector of four bits and as many ids as fit in the other 60.
 
-A file is the magic line, then blocks of whole documents. A block: its counts (ids, words, documents, escapes), the
+A file is the magic line, blocks of whole documents, then a footer: each block's byte offset and first id in the file,
+and their number. A block: its counts (ids, words, documents, escapes), the
 document keys and lengths, the words, the escaped ids. The selector 0 stands for one id of 2**60 or more, taken from
-the escapes in order; selectors 1 to 14 for the counts and widths of LAYOUTS. Counts make every block addressable on
-its own, and its words are unpacked selector by selector with array operations.
+the escapes in order; selectors 1 to 14 for the counts and widths of LAYOUTS. The footer makes every block addressable
+on its own, and its words are unpacked selector by selector with array operations.
 
 Documents are written in ascending order of key (null first; equal keys by checksum of the text), so that the ids of
 all files in order are the corpus in order. Defined results: null or empty text: the end id alone; repeated rows: each
@@ -29,7 +30,7 @@ from glyphmill.llm.bpe import byte_letters
 from glyphmill.llm.pieces import Splitter, UnitEncoder
 from glyphmill.llm.shared import fresh_folder, small_batches, written
 
-MAGIC = b"simple-8b 1\n"
+MAGIC = b"simple-8b 2\n"
 #: (ids in a word, bits of each), by selector from 1 on; 0 is an escape.
 LAYOUTS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 21
@@ -91,19 +92,34 @@ def block(keys: list[int], lengths: list[int], ids: np.ndarray) -> bytes:
     return head + b"".join(a.tobytes() for a in (np.array(keys, "<i8"), np.array(lengths, "<u8"), words.astype("<u8"), escaped.astype("<u8")))
 
 
-def blocks(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(keys, lengths, ids) of each block of a file."""
+def footer(offsets: list[int], firsts: list[int]) -> bytes:
+    return np.array([*offsets, *firsts, len(offsets)], "<u8").tobytes()
+
+
+def index_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(byte offset, first id) of each block, from a file's footer."""
     if not data.startswith(MAGIC):
         raise ValueError("not a token-id file")
-    at = len(MAGIC)
-    while at < len(data):
-        n, words, docs, escapes = struct.unpack_from("<QQQQ", data, at)
-        at += 32
-        parts = []
-        for kind, count in (("<i8", docs), ("<u8", docs), ("<u8", words), ("<u8", escapes)):
-            parts.append(np.frombuffer(data, kind, count, at))
-            at += 8 * count
-        yield parts[0], parts[1].astype(np.int64), unpack(parts[2], parts[3], n)
+    (n,) = struct.unpack_from("<Q", data, len(data) - 8)
+    both = np.frombuffer(data, "<u8", 2 * n, len(data) - 8 - 16 * n).astype(np.int64)
+    return both[:n], both[n:]
+
+
+def block_at(data: bytes, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, lengths, ids) of the block at a byte offset."""
+    n, words, docs, escapes = struct.unpack_from("<QQQQ", data, at)
+    at += 32
+    parts = []
+    for kind, count in (("<i8", docs), ("<u8", docs), ("<u8", words), ("<u8", escapes)):
+        parts.append(np.frombuffer(data, kind, count, at))
+        at += 8 * count
+    return parts[0], parts[1].astype(np.int64), unpack(parts[2], parts[3], n)
+
+
+def blocks(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, lengths, ids) of each block of a file."""
+    for at in index_of(data)[0].tolist():
+        yield block_at(data, at)
 
 
 @lru_cache(2)
@@ -131,21 +147,27 @@ def write(df: DataFrame, folder: str, path: str, key: str = "doc_id", text: str
     def run(batches):
         units, number, size = _units(path), 0, 0
         data, total, documents, part = [MAGIC], 0, 0, None
+        at, offsets, firsts = len(MAGIC), [], []
         waiting: tuple[list, list, list] = ([], [], [])
 
         def close_block():
-            nonlocal waiting, total, documents
+            nonlocal waiting, total, documents, at
             if waiting[0]:
                 ids = np.concatenate(waiting[2])
                 data.append(block(waiting[0], waiting[1], ids))
+                offsets.append(at)
+                firsts.append(total)
+                at += len(data[-1])
                 total, documents = total + len(ids), documents + len(waiting[0])
                 waiting = ([], [], [])
 
         def close_file():
-            nonlocal data, total, documents, number
+            nonlocal data, total, documents, number, at, offsets, firsts
             close_block()
+            data.append(footer(offsets, firsts))
             row = (files.create(folder, b"".join(data), ".s8b"), part, number, total, documents)
             data, total, documents, number = [MAGIC], 0, 0, number + 1
+            at, offsets, firsts = len(MAGIC), [], []
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["file", "part", "number", "ids", "documents"])
 
         for batch in batches:
@@ -180,13 +202,15 @@ def read(listing: DataFrame, key: str = "doc_id") -> DataFrame:
     def run(batches):
         for batch in batches:
             for file, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for keys, lengths, ids in blocks(files.load(file)):
+                data = files.load(file)
+                for at, first in zip(*(c.tolist() for c in index_of(data)), strict=True):
+                    keys, lengths, ids = block_at(data, at)
+                    start = base + first
                     ends = np.cumsum(lengths)
                     raw = memoryview(ids.astype("<u4").tobytes())
                     sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                    arrays = [pa.array([None if k == NO_KEY else k for k in keys.tolist()], pa.int64()), pa.array(base + ends - lengths), pa.array(lengths), pa.array(sums, pa.int64())]
+                    arrays = [pa.array([None if k == NO_KEY else k for k in keys.tolist()], pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array(sums, pa.int64())]
                     yield pa.RecordBatch.from_arrays(arrays, names=[key, "start", "n_tokens", "ids_crc32"])
-                    base += int(ends[-1])
 
     parts = int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return based.repartition(parts, "file").mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")

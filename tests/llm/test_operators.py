@@ -450,6 +450,21 @@ def test_simple_8b():
         list(token_files.blocks(b"nothing of the kind"))
 
 
+def test_blocks_by_footer(spark):
+    texts = spark.createDataFrame([(i, prose(30_000, 900 + i)) for i in range(12)], "doc_id long, text string")
+    listing = token_files.write(texts, fresh_folder(spark, "t"), BYTE).collect()
+    most = 0
+    for row in listing:
+        data = token_files.files.load(row["file"])
+        offsets, firsts = token_files.index_of(data)
+        ids = np.concatenate([b[2] for b in token_files.blocks(data)])
+        _, lengths, last = token_files.block_at(data, int(offsets[-1]))
+        assert len(ids) == row["ids"] == firsts[-1] + lengths.sum()
+        assert (last == ids[firsts[-1] :]).all()
+        most = max(most, len(offsets))
+    assert most > 1
+
+
 def test_token_files(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_IDS", 500)
     listing = written(token_files.write(docs, fresh_folder(spark, "t"), BYTE), "listing")
