@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,13 @@ _own: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of this process's own where it is unset (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir; where it is unset, one of this process's own, which only a
+    session that runs in this process may use (tests): on a cluster its executors would each write to their own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="glyphmill-")

@@ -1,19 +1,25 @@
-"""Toxicity by compression distance: windows of a text are compressed with a dictionary of ordinary text and with one
-of toxic text, and the lengths compared.
-
-Fitting takes a bounded sample of labelled rows: at most TRAIN_DOCS of each label and TRAIN_BYTES of text each, in the
-order of a hash of the key. The ordinary dictionary is trained by zstandard on windows of ordinary texts. The toxic
-one knows the same ordinary text, and the words and stems that set toxic texts apart (by their log-likelihood ratio over
-documents; phrases that only copies of one text share count once). So a window gains bytes under the toxic dictionary
-only where it holds toxic phrases. The sample is halved to calibrate: dictionaries of one half measure the other, the
-window threshold with the best separation is taken, and a logistic function turns a document's windows into a score.
-
-A window is four lower-cased words, each byte doubled, between two fixed runs of incompressible bytes, which the dictionaries know: they
-keep the compressor from storing short windows as they are, and from leaving its last bytes unmatched.
-
-Defined results: null or empty text: the score of a text without toxic windows; a sample without both labels: score 0
-for all; repeated rows: equal scores; rows without a label: scored like all; empty table: no rows; other columns pass
-through, columns named like the results are replaced.
+"""Toxicity by compression distance: windows of a text are compressed with a dictionary trained on ordinary text and with
+one trained on toxic text, and the lengths compared.
+
+A window is a lower-cased word with the spaces around it. Each of its bytes is followed by its place in the word, so
+that a match means the same letters at the same place, and two fixed runs of incompressible bytes, which the
+dictionaries know, keep the compressor from storing it as it is and from leaving its last bytes unmatched. What a
+window gains is its length under the ordinary dictionary less that under the toxic one.
+
+Fitting takes a bounded sample of labelled rows: at most TRAIN_DOCS of each label, of texts of at most TRAIN_BYTES
+bytes, in the order of a hash of the key. zstandard trains one dictionary on the windows of ordinary texts, and one on
+windows of toxic texts. Most of a toxic text is ordinary, and a dictionary of all of it tells little; the toxic one is
+trained on the windows that bear evidence: those of which a beginning (BEGINNINGS bytes, or the whole) is in so many
+more toxic than ordinary texts that the log-likelihood ratio is EVIDENCE or more. A window counts for a text only where
+its neighbours are new, so that copies of one text count once. No language is told apart: evidence is counted over all.
+
+Calibration: the sample is dealt into FOLDS; dictionaries of the other folds measure each, a logistic function of how
+many windows gain how much is fitted to that, and the cut with the best F1 is moved to the score REJECT.
+
+Defined results: null or empty text: the score of a text without windows; a sample without both labels in all folds, or
+without evidence: score 0 for all; repeated rows and ties: equal scores; very long texts: scored whole, each distinct
+word measured once; rows without a label: scored like all; null keys: scored, never learned from; empty table: no rows;
+other columns pass through, columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -31,120 +37,132 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.arrow import with_columns
 
-TRAIN_DOCS, TRAIN_BYTES = 2000, 65536
-WINDOW_WORDS, DICTIONARY_BYTES = 4, 8192
-#: Phrases whose log-likelihood ratio is at least this part of the best one's.
-LEAST_GAIN = 0.08
-MOST_PHRASES = 400
+TRAIN_DOCS, TRAIN_BYTES, FOLDS = 2000, 65536, 4
+ORDINARY_BYTES, TOXIC_BYTES = 65536, 4096
+BEGINNINGS, EVIDENCE = (4, 5, 6, 7, 8), 8.0
+#: Gains that a document's windows are counted by.
+STEPS = (2, 4, 6, 9)
 REJECT = 0.7
-_BEGINNINGS = (4, 5, 6, 7)
+#: Distinct windows whose gains a task remembers; forgotten when full.
+_CACHE = 400_000
 
 _NOISE = b"".join(hashlib.sha256(bytes([i])).digest() for i in range(4))
 _HEAD, _TAIL = _NOISE[:96], _NOISE[96:108]
 _STRIP = b".,;:!?\"'()[]*%$&#|<>"
+_PLACES = bytes(range(128, 250))
 
 
-def _doubled(text: bytes) -> bytes:
-    """Each byte twice, so that what a match saves stands out against what a match costs."""
-    out = bytearray(2 * len(text))
-    out[::2] = out[1::2] = text
-    return bytes(out)
+def windows(text: str | None) -> list[bytes]:
+    """The windows of a text, in order."""
+    return [b" " + w + b" " for w in (x.strip(_STRIP) for x in (text or "").encode().lower().split()) if w]
 
 
-def windows(text: str) -> list[bytes]:
-    words = text.encode().lower().split()
-    return [_HEAD + _doubled(b" " + b" ".join(words[i : i + WINDOW_WORDS]) + b" ") + _TAIL for i in range(0, len(words), WINDOW_WORDS)]
+def placed(window: bytes) -> bytes:
+    """Each byte followed by its place; all places far into a word are one."""
+    out = bytearray(2 * len(window))
+    out[::2] = window
+    out[1::2] = _PLACES[: len(window)] + b"\xff" * max(0, len(window) - len(_PLACES))
+    return bytes(out)
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    content += _NOISE[:96]
+    content += _HEAD
     known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     bits = max(15, len(content).bit_length())
     how = zstandard.ZstdCompressionParameters(
-        window_log=bits, chain_log=bits, hash_log=bits, search_log=1, min_match=7, target_length=0, strategy=zstandard.STRATEGY_FAST,
+        window_log=bits, chain_log=bits, hash_log=bits, search_log=5, min_match=6, target_length=64, strategy=zstandard.STRATEGY_LAZY2,
         write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
     )
     known.precompute_compress(compression_params=how)
     return zstandard.ZstdCompressor(dict_data=known, compression_params=how)
 
 
-def ordinary_dictionary(texts: list[str]) -> bytes:
-    samples = [w[len(_HEAD) : -len(_TAIL)] for t in texts for w in windows(t)]
-    try:
-        trained = zstandard.train_dictionary(DICTIONARY_BYTES, samples[:100_000]).as_bytes()
-    except zstandard.ZstdError:  # too little to train on
-        return b" ".join(samples)[:DICTIONARY_BYTES]
-    return trained[-(DICTIONARY_BYTES - 512) :]
+def dictionary(samples: list[bytes], size: int) -> bytes:
+    """What zstandard's trainer takes from placed windows (its entropy tables, which short windows do not use, are left
+    off), most useful last; all distinct windows where they fit."""
+    often = Counter(samples)
+    if sum(map(len, often)) <= size:
+        return b"".join(sorted(often, key=lambda s: (often[s], s)))
+    return zstandard.train_dictionary(size, samples, k=24, d=8).as_bytes()[-(size - 300) :]
 
 
-def toxic_phrases(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Words and beginnings of words, each with the space before it, that set toxic texts apart, weakest first.
-    A document counts for a word only if the word's neighbours there are new."""
-    seen: set[int] = set()
+def _beginnings(window: bytes) -> list[bytes]:
+    return [*(window[: n + 1] for n in BEGINNINGS if len(window) > n + 2), window]
 
-    def documents(texts: list[str]) -> Counter:
-        out: Counter = Counter()
-        for text in texts:
-            words = text.encode().lower().split()
-            fresh = set()
-            for before, word, after in zip([b"", *words], words, [*words[1:], b""], strict=False):
-                around = hash((before, word, after))
-                if around not in seen:
-                    seen.add(around)
-                    fresh.add(word.strip(_STRIP))
-            out.update({b" " + w[:n] for w in fresh for n in (*_BEGINNINGS, len(w)) if len(w) >= n > 2})
-        return out
-
-    here, there = documents(toxic), documents(ordinary)
-    n1, n0 = len(toxic), len(ordinary)
-
-    def gain(phrase: bytes) -> float:
-        a, b = here[phrase], there[phrase]
-        if a < max(2, n1 // 100) or a * n0 <= 10 * b * n1:
-            return 0.0
-        rate = (a + b) / (n1 + n0)
-        return sum(o * math.log(o / e) for o, e in ((a, n1 * rate), (n1 - a, n1 * (1 - rate)), (b, n0 * rate), (n0 - b, n0 * (1 - rate))) if o > 0)
 
-    gains = {p: gain(p) for p in here}
-    best = max(gains.values(), default=0.0)
-    good = [p for p in sorted(gains, key=lambda p: (gains[p], p)) if gains[p] > 0 and gains[p] >= LEAST_GAIN * best][-MOST_PHRASES:]
-    # of a phrase and its beginnings, keep the longest that nearly always follows, else the beginning
-    longer = [p for p in good if not any(q.startswith(p) and q != p and here[q] >= 0.8 * here[p] for q in good)]
-    return [p for p in longer if not any(p.startswith(q) and q != p for q in longer)]
+def fresh_windows(texts: list[str]) -> list[list[bytes]]:
+    """The distinct windows of each text whose neighbours no text before it has."""
+    seen: set[int] = set()
+    out = []
+    for text in texts:
+        own, fresh = windows(text), set()
+        for before, window, after in zip([b"", *own], own, [*own[1:], b""], strict=False):
+            around = hash((before, window, after))
+            if around not in seen:
+                seen.add(around)
+                fresh.add(window)
+        out.append(sorted(fresh))
+    return out
+
+
+def _evidence(toxic: Counter, ordinary: Counter, n1: int, n0: int) -> set[bytes]:
+    """Beginnings in so many more toxic texts than ordinary ones that chance does not explain it."""
+    out = set()
+    for beginning, a in toxic.items():
+        b = ordinary.get(beginning, 0)
+        if a > 1 and a * n0 > 4 * b * n1:
+            rate = (a + b) / (n1 + n0)
+            cells = ((a, n1 * rate), (n1 - a, n1 * (1 - rate)), (b, n0 * rate), (n0 - b, n0 * (1 - rate)))
+            if sum(o * math.log(o / e) for o, e in cells if o > 0) >= EVIDENCE:
+                out.add(beginning)
+    # of a beginning and longer ones, the longest that nearly always follows, else the shortest
+    longest = {p for p in out if not any(q != p and q.startswith(p) and toxic[q] >= 0.8 * toxic[p] for q in out)}
+    return {p for p in longest if not any(p != q and p.startswith(q) for q in longest)}
 
 
 @dataclass
 class Model:
-    ordinary: bytes
-    toxic: bytes
-    threshold: int = 3
+    ordinary: bytes = b""
+    toxic: bytes = b""
     weights: list[float] = field(default_factory=list)
 
-    def measure(self) -> None:
-        self.plain, self.other = _compressor(self.ordinary), _compressor(self.ordinary + self.toxic)
-
-    def gains(self, text: str) -> np.ndarray:
-        """Bytes each window gains under the toxic dictionary."""
-        plain, other = self.plain.compress, self.other.compress
-        return np.array([len(plain(w)) - len(other(w)) for w in windows(text)], np.int64)
-
-    def features(self, gains: np.ndarray) -> np.ndarray:
-        hits = gains >= self.threshold
-        top = np.sort(gains)[-3:] if len(gains) else np.zeros(1)
-        n = max(1, len(gains))
-        return np.array([1.0, math.log1p(hits.sum()), min(float(top[-1]), 16.0), float(top.mean()), hits.sum() / n, math.log(n)])
-
-    def score(self, text: str) -> float:
+    def measure(self) -> Model:
+        self.plain, self.other = _compressor(self.ordinary), _compressor(self.toxic)
+        self.known: dict[bytes, int] = {}
+        return self
+
+    def gains(self, text: str | None) -> np.ndarray:
+        """Bytes each window of a text gains under the toxic dictionary."""
+        plain, other, known = self.plain.compress, self.other.compress, self.known
+        if len(known) > _CACHE:
+            known.clear()
+        out = []
+        for window in windows(text):
+            gain = known.get(window)
+            if gain is None:
+                framed = _HEAD + placed(window) + _TAIL
+                gain = known[window] = len(plain(framed)) - len(other(framed))
+            out.append(gain)
+        return np.array(out, np.int64)
+
+    def score(self, text: str | None) -> float:
         if not self.weights:
             return 0.0
-        return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(self.weights, self.features(self.gains(text)))))))))
+        return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(self.weights, features(self.gains(text)))))))))
+
+
+def features(gains: np.ndarray) -> np.ndarray:
+    n = max(1, len(gains))
+    counts = [int((gains >= step).sum()) for step in STEPS]
+    top = [*sorted(gains.tolist())[:-3:-1], 0, 0]
+    return np.array([1.0, *map(math.log1p, counts), *(math.log1p(100 * c / n) for c in counts), min(top[0], 20) / 4, min(top[1], 20) / 4, math.log(n)])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of a logistic regression with a small ridge, by Newton steps."""
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-3, *[0.3] * (x.shape[1] - 1)])
-    for _ in range(40):
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
         w += np.clip(step, -3, 3)
@@ -153,34 +171,59 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _dictionaries(texts: list[str], labels: np.ndarray) -> Model:
-    toxic, ordinary = ([t for t, l in zip(texts, labels, strict=True) if l == k] for k in (1, 0))
-    model = Model(ordinary_dictionary(ordinary), _doubled(b"".join(toxic_phrases(toxic, ordinary))))
-    model.measure()
-    return model
+def _best_cut(values: np.ndarray, y: np.ndarray) -> float:
+    """The cut with the best F1, halfway to the next value below."""
+    order = np.argsort(-values, kind="stable")
+    hits = np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    ordered = values[order]
+    f1[:-1][ordered[:-1] == ordered[1:]] = -1  # no cut between equal values
+    k = int(np.argmax(f1))
+    return float(ordered[k] if k + 1 == len(y) else (ordered[k] + ordered[k + 1]) / 2)
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
-    """Dictionaries of all texts; threshold and weights from halves that measure each other."""
-    y = np.array(labels)
-    if len(set(labels)) < 2:
-        return Model(b"", b"")
-    gains: list[np.ndarray] = [np.zeros(0)] * len(texts)
-    half = np.arange(len(texts)) % 2
-    for k in (0, 1):
-        if len(set(y[half == k])) < 2:
-            return Model(b"", b"")
-        part = _dictionaries([t for t, h in zip(texts, half, strict=True) if h == k], y[half == k])
-        for i in np.flatnonzero(half != k):
-            gains[i] = part.gains(texts[i])
-    model = _dictionaries(texts, y)
-    best = -1.0
-    for threshold in range(2, 13):
-        hit = np.array([(g >= threshold).any() for g in gains])
-        apart = hit[y == 1].mean() - hit[y == 0].mean()
-        if apart > best:
-            best, model.threshold = apart, threshold
-    model.weights = _logistic(np.stack([model.features(g) for g in gains]), y).tolist()
+    """Dictionaries of all texts; weights and cut from folds that the dictionaries of the others measure."""
+    y = np.array(labels, np.int64)
+    own = fresh_windows(texts)
+    samples = [[placed(w) for w in ws] for ws in own]
+    fold = np.zeros(len(y), np.int64)
+    for label in (0, 1):
+        fold[y == label] = np.arange((y == label).sum()) % FOLDS
+
+    def beginnings_of(part: np.ndarray) -> Counter:
+        return Counter(b for i in np.flatnonzero(part) for b in {b for w in own[i] for b in _beginnings(w)})
+
+    counts = {(f, label): beginnings_of((fold == f) & (y == label)) for f in range(FOLDS) for label in (0, 1)}
+    total = {label: Counter() for label in (0, 1)}
+    for (_, label), found in counts.items():
+        total[label].update(found)
+
+    def dictionaries(without: int) -> Model | None:
+        use = fold != without
+        n1, n0 = int((use & (y == 1)).sum()), int((use & (y == 0)).sum())
+        if not n1 or not n0:
+            return None
+        left = {label: Counter(total[label]) for label in (0, 1)}
+        for label in (0, 1):
+            left[label].subtract(counts.get((without, label), {}))
+        chosen = _evidence(left[1], left[0], n1, n0)
+        bearing = [s for i in np.flatnonzero(use & (y == 1)) for w, s in zip(own[i], samples[i], strict=True) if not chosen.isdisjoint(_beginnings(w))]
+        if not bearing:
+            return None
+        return Model(dictionary([s for i in np.flatnonzero(use & (y == 0)) for s in samples[i]], ORDINARY_BYTES), dictionary(bearing, TOXIC_BYTES)).measure()
+
+    model = dictionaries(-1)
+    x = np.zeros((len(y), len(features(np.zeros(0)))))
+    for f in range(FOLDS):
+        part = dictionaries(f)
+        if model is None or part is None:
+            return Model()
+        for i in np.flatnonzero(fold == f):
+            x[i] = features(part.gains(texts[i]))
+    weights = _logistic(x, y)
+    weights[0] += math.log(REJECT / (1 - REJECT)) - _best_cut(x @ weights, y)
+    model.weights = weights.tolist()
     return model
 
 
@@ -202,14 +245,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with score and predicted (1 from REJECT on)."""
-    parts = (model.ordinary, model.toxic, model.threshold, model.weights)
+    parts = (model.ordinary, model.toxic, model.weights)
 
     def make():
-        own = Model(*parts)
-        own.measure()
+        own = Model(*parts).measure()
 
         def slices(column):
-            found = np.array([own.score(t or "") for t in column.to_pylist()])
+            found = np.array([own.score(t) for t in column.to_pylist()])
             yield 0, len(column), [pa.array(found, pa.float64()), pa.array((found >= REJECT).astype(np.int32))]
 
         return slices
@@ -217,6 +259,19 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return with_columns(df, text, [("score", "double"), ("predicted", "int")], make)
 
 
+def without_toxic(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """df without the rows that score REJECT or more; all columns as they are, whatever their names."""
+    at = df.columns.index(text)
+    parts = (model.ordinary, model.toxic, model.weights)
+
+    def run(batches):
+        own = Model(*parts).measure()
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t) < REJECT for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -390,6 +390,41 @@ def test_toxicity(spark, empty):
     assert {x["score"] for x in toxicity.score(docs, one).collect()} == {0.0}
 
 
+def test_toxicity_by_language(spark):
+    """Held-out labelled rows of sf0.1, learned from the others: recall and precision overall and by language."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = docs.join(F.broadcast(labels), "doc_id").select("doc_id", "text", "lang", "toxic")
+    model = toxicity.train(docs, labels)
+    seen = Counter()
+    for r in toxicity.score(known.where(toxicity.is_held_out("doc_id")), model).select("lang", "toxic", "predicted").collect():
+        for lang in (r["lang"], "all"):
+            seen[lang, r["toxic"], r["predicted"]] += 1
+    for lang, least in (("all", 0.9), ("en", 0.85), ("de", 0.85), ("es", 0.85), ("fr", 0.85)):
+        caught, missed, wrong = seen[lang, 1, 1], seen[lang, 1, 0], seen[lang, 0, 1]
+        assert caught >= least * (caught + missed) and caught >= least * (caught + wrong), (lang, caught, missed, wrong)
+
+
+def test_toxicity_dictionaries_see_their_own_texts():
+    texts = [f"{prose(10, 8000 + i)} {['zorgish', 'quaxle', '', ''][i % 4]} {prose(10, 9000 + i)}" for i in range(240)]
+    model = toxicity.fit(texts, [int(i % 4 < 2) for i in range(240)]).measure()
+    shown = toxicity.placed(b" zorgish ")
+    assert shown in model.toxic and shown not in model.ordinary
+    assert model.gains("zorgish")[0] > max(toxicity.STEPS) > model.gains(VOCAB[0])[0]
+    assert model.score("zorgish " * 3 + prose(20, 1)) >= toxicity.REJECT > model.score(prose(20, 1))
+
+
+def test_toxicity_columns_ties_and_long_texts(spark, clash):
+    model = toxicity.fit([f"{prose(20, i)} {'zorgish' if i % 2 else ''} {prose(3, 500 + i)}" for i in range(120)], [i % 2 for i in range(120)])
+    rows = [(1, "zorgish " * 50000, 0.5, "a"), (2, "zorgish zorgish zorgish", 0.5, "b"), (2, "zorgish zorgish zorgish", 0.5, "b"), (None, None, None, None), (3, "x" * 200000, 1.0, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted string")
+    kept = toxicity.without_toxic(df, model).collect()
+    assert {(r["doc_id"], r["score"], r["predicted"]) for r in kept} == {(None, None, None), (3, 1.0, "c")}
+    scored = toxicity.score(df, model)
+    assert scored.columns == ["doc_id", "text", "score", "predicted"]
+    assert len({r["score"] for r in scored.where("doc_id = 2").collect()}) == 1
+    assert toxicity.score(clash, model).columns == [*clash.columns, "score", "predicted"]
+
+
 # ---------------------------------------------------------------- 7 substring dedup
 
 
