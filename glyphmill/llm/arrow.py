@@ -16,9 +16,9 @@ def with_columns(df: DataFrame, text: str, fields: list[tuple[str, str]], make:
     """
     names = [n for n, _ in fields]
     kept = [c for c in df.columns if c not in names]
-    # the text comes last under a name of its own, so that it may itself be replaced
-    source = df.select(*[df[f"`{c}`"] for c in kept], df[f"`{text}`"].alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], *[T.StructField(n, T._parse_datatype_string(t)) for n, t in fields]])
+    # columns go by number, the text last: it may itself be replaced, and any name may be taken
+    source = df.select(*[df[f"`{c}`"] for c in kept], df[f"`{text}`"]).toDF(*map(str, range(len(kept) + 1)))
+    schema = T.StructType([*[df.schema[c] for c in kept], *[T.StructField(n, T._parse_datatype_string(t)) for n, t in fields]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices = make()
