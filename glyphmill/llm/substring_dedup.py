@@ -12,9 +12,12 @@ key. Equal texts need no comparison: all but those with the smallest key lose ev
    are looked up among the shard's windows and compared word by word; those that a smaller key owns are cut.
    A shard that many texts need is copied, and the texts are dealt over its copies.
 
+Equal texts are known by their SHA-256, and numbered; windows are found by 64-bit hashes and compared word by word.
+
 Defined results: null or empty text: no words, nothing removed, the digest of the empty string; texts under 50 words
-stay whole; equal keys do not remove from each other; a null key counts as larger than all others; empty table: no
-rows; other columns pass through `without_repeats` and are not carried by `repeats`.
+stay whole; very long texts are processed whole, as a slice of their own; equal keys do not remove from each other; a
+null key counts as the largest; keys that are not whole numbers: ValueError; repeated rows: equal results; empty table:
+no rows; other columns, of any name, pass through `without_repeats` and are not carried by `repeats`.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.shared import forget, small_batches, written
+from glyphmill.llm.shared import forget, join_split, small_batches, whole_number_key, written
 from glyphmill.llm.words import scans
 
 WINDOW, ANCHOR, PHRASE = 50, 25, 16
@@ -64,19 +67,19 @@ def _lists(rows: list[np.ndarray], kind) -> pa.Array:
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """key, tk -> n_words, sha, marks: the distinct values of its windows."""
-    schema = T.StructType([*docs.select("key", "tk").schema.fields, *T._parse_datatype_string("n_words long, sha string, marks array<long>").fields])
+    """own, key, id -> n_words, sha, marks: the distinct values of its windows."""
+    schema = T.StructType([*docs.select("own", "key", "id").schema.fields, *T._parse_datatype_string("n_words long, sha string, marks array<long>").fields])
 
     def run(batches):
         for batch in batches:
-            column, counts, marks = batch.column(2), [], []
+            column, counts, marks = batch.column(3), [], []
             for scan in scans(column):
                 counts += np.diff(scan.bounds).tolist()
                 marks += [np.unique(m).view(np.int64) for m in _window_marks(scan, scan.hashes())]
             shas = [_sha((t or "").encode().split()) for t in column.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), _lists(marks, np.int64)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(shas, pa.string()), _lists(marks, np.int64)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("own", "key", "id", "text").mapInArrow(run, schema)
 
 
 def _recurring(texts: DataFrame) -> DataFrame:
@@ -226,24 +229,34 @@ def keep_mask(n: int, froms: list[int], tos: list[int]) -> np.ndarray:
     return np.cumsum(change[:-1]) == 0
 
 
+def _identified(df: DataFrame, key: str, text: str) -> DataFrame:
+    """own (the key as it is), key, id (SHA-256 of the text), text."""
+    whole_number_key(df, key)
+    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    return df.select(F.col(key).alias("own"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("key"), F.unhex(F.sha2(body, 256)).alias("id"), F.col(text).alias("text"))
+
+
 def _find(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(survey of all rows, smallest key by text, cuts by text): the texts themselves in the last two by checksum."""
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tk"), F.col(text).alias("text"))
+    """(survey of all rows; distinct texts of a window or more: id, tk, their smallest key, their number of rows; cuts by
+    tk, with the texts)."""
+    docs = _identified(df, key, text)
     with small_batches(df.sparkSession):
         survey = written(_survey(docs), "survey")
-    texts = survey.where(f"n_words >= {WINDOW}").groupBy("tk").agg(F.min_by(F.struct("key", "marks"), "key").alias("r")).select("tk", "r.key", "r.marks")
+    texts = survey.where(f"n_words >= {WINDOW}").groupBy("id").agg(F.min_by(F.struct("key", "marks"), "key").alias("r"), F.count(F.lit(1)).alias("n"))
+    texts = written(texts.select("id", F.monotonically_increasing_id().alias("tk"), "r.key", "r.marks", "n"), "texts")
     marks = texts.select("tk", "key", F.explode("marks").alias("mark"))
-    again = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
-    again = marks.join(again, "mark").groupBy("tk", "key").agg(F.collect_list("mark").alias("again"))  # bounded by the text
-    wanted = again.select(F.col("tk").alias("rtk"), F.col("key").alias("rkey"), "again")
-    once = docs.dropDuplicates(["tk", "key"])  # before the shuffle of the join, which it shares
-    candidates = once.join(wanted, (once.tk == wanted.rtk) & (once.key == wanted.rkey)).select("key", "tk", "again", "text")
+    again = written(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    shared = join_split(marks, again, ["mark"]).groupBy("tk").agg(F.collect_list("mark").alias("again"))  # bounded by the text
+    wanted = shared.join(texts.select("tk", "id", "key"), "tk").select("tk", F.col("id").alias("rid"), F.col("key").alias("rkey"), "again")
+    once = docs.select("id", "key", "text").dropDuplicates(["id", "key"])  # before the shuffle of the join, which it shares
+    candidates = once.join(wanted, (once.id == wanted.rid) & (once.key == wanted.rkey)).select("key", "tk", "again", "text")
     with small_batches(df.sparkSession):
         candidates = written(_recurring(candidates), "candidates")
+    forget(df.sparkSession, again)
 
     windows = candidates.select("key", "tk", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select("key", "tk", F.col("w.hashes").alias("h"), F.col("w.starts").alias("start"))
-    owners = windows.groupBy("h").agg(F.min("key").alias("owner"), F.max("key").alias("other")).where("owner < other").select("h", "owner")
-    joined = windows.join(owners, "h")
+    owners = written(windows.groupBy("h").agg(F.min("key").alias("owner"), F.max("key").alias("other"), F.count(F.lit(1)).alias("n")).where("owner < other").select("h", "owner", "n"), "owners")
+    joined = join_split(windows, owners, ["h"])
     part = F.xxhash64("owner")
     uses = written(
         joined.groupBy("tk", "key", "owner").agg(F.collect_list(F.when(F.col("key") == F.col("owner"), F.col("start"))).alias("starts")),
@@ -264,9 +277,8 @@ def _find(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, Dat
     cuts = _stream(dealt).groupBy("key", "tk").agg(F.flatten(F.collect_list("froms")).alias("froms"), F.flatten(F.collect_list("tos")).alias("tos"))
     with small_batches(df.sparkSession):
         cuts = written(cuts, "cuts")
-    forget(df.sparkSession, uses, passages, copies)
-    smallest = survey.where(f"n_words >= {WINDOW}").groupBy("tk").agg(F.min("key").alias("least"))
-    return survey, smallest, cuts.join(candidates.select("tk", "text"), "tk")
+    forget(df.sparkSession, uses, passages, copies, owners)
+    return survey, texts.select("id", "tk", F.col("key").alias("least"), "n"), cuts.join(candidates.select("tk", "text"), "tk")
 
 
 def _digests(cuts: DataFrame) -> DataFrame:
@@ -287,30 +299,36 @@ def _digests(cuts: DataFrame) -> DataFrame:
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, n_words, n_removed, kept_sha256."""
-    survey, smallest, cuts = _find(df, key, text)
-    copy = F.col("key") > F.col("least")  # null for texts under a window
-    out = survey.drop("marks").join(smallest, "tk", "left").join(_digests(cuts), "tk", "left")
+    survey, texts, cuts = _find(df, key, text)
+    found = written(texts.join(_digests(cuts), "tk", "left"), "found")
+    copy = F.col("key") > F.col("least")
     removed = F.when(copy, F.col("n_words")).otherwise(F.coalesce("cut", F.lit(0).cast("long")))
     sha = F.when(copy, F.lit(_sha([]))).otherwise(F.coalesce("cut_sha", "sha"))
-    return out.select(F.when(F.col("key") != _LAST, F.col("key")).alias(key), "n_words", removed.alias("n_removed"), sha.alias("kept_sha256"))
+    rows = survey.drop("marks")
+    out = join_split(rows.where(f"n_words >= {WINDOW}"), found, ["id"]).select("own", "n_words", removed.alias("n_removed"), sha.alias("kept_sha256"))
+    short = rows.where(f"n_words < {WINDOW}").select("own", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
+    return out.unionByName(short).withColumnRenamed("own", key)
 
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with the repeats cut from the text: what is left is joined by single spaces; untouched texts stay as they are."""
-    _, smallest, cuts = _find(df, key, text)
-    source = df.withColumn("__tk", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    marked = source.join(smallest.withColumnRenamed("tk", "__tk"), "__tk", "left").join(cuts.select(F.col("tk").alias("__tk"), F.col("froms").alias("__froms"), F.col("tos").alias("__tos")), "__tk", "left")
-    whole = F.coalesce(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)) > F.col("least"), F.lit(False))
-    marked = marked.withColumn("__all", whole)
+    _, texts, cuts = _find(df, key, text)
+    # cuts belong to the rows of the smallest key; all others of the text lose everything
+    found = written(texts.join(cuts.select("tk", "froms", "tos"), "tk", "left").select("id", "least", "n", "froms", "tos"), "found")
     columns = df.columns
-    staged = marked.select(*columns, F.col("__all"), F.col("__froms"), F.col("__tos"))
+    names = [f"__{i}" for i in range(len(columns))]
     at = columns.index(text)
+    source = df.toDF(*names)
+    body = F.coalesce(F.col(names[at]), F.lit("")).cast("binary")
+    own = F.coalesce(F.col(names[columns.index(key)]).cast("long"), F.lit(_LAST))
+    marked = join_split(source.withColumn("id", F.unhex(F.sha2(body, 256))).withColumn("key", own), found, ["id"], how="left")
+    staged = marked.select(*names, F.coalesce(F.col("key") > F.col("least"), F.lit(False)), "froms", "tos")
 
     def run(batches):
         for batch in batches:
-            arrays = list(batch.columns[: len(columns)])
+            arrays = list(batch.columns[: len(names)])
             out = arrays[at].to_pylist()
-            for i, (all_, froms, tos) in enumerate(zip(*(c.to_pylist() for c in batch.columns[len(columns) :]), strict=True)):
+            for i, (all_, froms, tos) in enumerate(zip(*(c.to_pylist() for c in batch.columns[len(names) :]), strict=True)):
                 if all_:
                     out[i] = ""
                 elif froms:
