@@ -14,9 +14,14 @@ similarity of t or more share at least l elements among the first |x| - ceil(t |
    thousands of copies costs a few tests per member, and no link between components is lost.
 4. Every candidate is tested exactly on the full sets.
 
+Equal sets are known by 64 bits, proved by 64 more: if two sets ever share the first and not the second, all is done anew
+with another salt. Elements are 64-bit hashes of shingles. Keys, elements and groups that hold a large part of the rows
+are dealt over several tasks.
+
 Defined results: null or word-less text: no shingles, a component of its own; fewer than five words: the sequence
-is the one element; equal rows: same component; null key: counts as a document, component ids take the smallest
-non-null key; empty table: no rows; other columns are not carried.
+is the one element; very long texts: whole, as a slice of their own; equal rows and ties: same component; null key: counts
+as a document, component ids take the smallest non-null key; keys of any type that orders; empty table: no rows; other
+columns, of any name, pass through `without_near_duplicates` and are not carried by `near_duplicates`.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.llm.graph import extended, no_roots
-from glyphmill.llm.shared import forget, small_batches, written
+from glyphmill.llm.shared import forget, join_split, over_ways, small_batches, written
 from glyphmill.llm.words import mix, scans
 
 WIDTH, PERCENT = 5, 80
@@ -79,32 +84,35 @@ def sure_matches(n: int, percent: int) -> int:
     return min(base_matches(s, percent) for s in {low, n, high, *(s for s in (64, 65) if low <= s <= high)})
 
 
-def _prepare(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """key, tk -> n, sig, need (matches that a partner surely has), prefix of the base level."""
-    schema = T.StructType([*docs.select("key", "tk").schema.fields, *T._parse_datatype_string("n long, sig long, need int, prefix array<long>").fields])
+def _prepare(docs: DataFrame, percent: int, width: int, salt: int) -> DataFrame:
+    """key, tk -> n, sig, proof, need (matches that a partner surely has), prefix of the base level."""
+    schema = T.StructType([*docs.select("key", "tk").schema.fields, *T._parse_datatype_string("n long, sig long, proof long, need int, prefix array<long>").fields])
 
     def run(batches):
         for batch in batches:
-            n, sig, need, prefix, lengths = [], [], [], [], []
+            n, sig, proof, need, prefix, lengths = [], [], [], [], [], []
             for s in shingle_sets(batch.column(2), width):
                 k = len(s)
                 n.append(k)
-                sig.append(_signature(s))
+                sig.append(_signature(s, salt))
+                proof.append(_signature(s, -1))
                 need.append(sure_matches(k, percent) if k else 0)
                 q = prefix_length(k, base_matches(k, percent), percent) if k else 0
                 prefix.append(s[:q].view(np.int64))
                 lengths.append(q)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(need, pa.int32()), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(proof, pa.int64()), pa.array(need, pa.int32()), lists], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _signature(s: np.ndarray) -> int:
-    return int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].view(np.int64))
+def _signature(s: np.ndarray, salt: int) -> int:
+    """64 bits of a set; other salts give independent ones."""
+    start = mix(np.array([salt], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return int(mix(mix(s ^ start).sum(dtype=np.uint64) + start + np.uint64(len(s)))[0].view(np.int64))
 
 
-def _full(docs: DataFrame, percent: int, width: int) -> DataFrame:
+def _full(docs: DataFrame, percent: int, width: int, salt: int) -> DataFrame:
     """text -> sig, n, need (of the whole set), elements."""
     schema = T._parse_datatype_string("sig long, n long, need int, elements array<long>")
 
@@ -113,7 +121,7 @@ def _full(docs: DataFrame, percent: int, width: int) -> DataFrame:
             sets = list(shingle_sets(batch.column(0), width))
             sizes = [len(s) for s in sets]
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in sets], pa.int64()), pa.array(sizes, pa.int64()), pa.array([least_overlap(n, percent) for n in sizes], pa.int32()), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([_signature(s, salt) for s in sets], pa.int64()), pa.array(sizes, pa.int64()), pa.array([least_overlap(n, percent) for n in sizes], pa.int32()), lists], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -121,11 +129,11 @@ def _full(docs: DataFrame, percent: int, width: int) -> DataFrame:
 def _shared(tokens: DataFrame, needs: DataFrame) -> DataFrame:
     """tokens (token, node) that at least two nodes have, with their number of nodes `df`, the node's number of them `k`
     and its `need`; without nodes that have fewer than they need."""
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    kept = written(tokens.join(often, "token"), "kept")
+    often = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
+    kept = written(join_split(tokens, often, ["token"], "df"), "kept")
     enough = kept.groupBy("node").agg(F.count(F.lit(1)).alias("k")).join(needs, "node").where("k >= need")
     out = written(kept.join(enough, "node"), "shared")
-    forget(tokens.sparkSession, kept)
+    forget(tokens.sparkSession, kept, often)
     return out
 
 
@@ -162,31 +170,38 @@ def _whole_level(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.where(F.col("r") <= F.col("k") - need + 1).select("token", F.least("band", "other").alias("i"), F.greatest("band", "other").alias("j"), "node", "band", "n", "room")
 
 
-def _open(dense: DataFrame, roots: DataFrame) -> DataFrame:
-    """dense where nodes that meet are still in different components, with the root and the meetings of each row."""
-    placed = dense.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _open(level: DataFrame, roots: DataFrame) -> DataFrame:
+    """level where nodes that meet are still in different components, with the root and the meetings of each row, and
+    the way it is dealt if its key is hot."""
+    placed = level.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     key = ["token", "i", "j"]
-    sizes = placed.groupBy(*key, "root").agg(F.count_if(F.col("band") == F.col("i")).alias("a"), F.count_if(F.col("band") == F.col("j")).alias("b"))
-    groups = sizes.groupBy(*key).agg(F.count(F.lit(1)).alias("roots"), F.sum("a").alias("all_a"), F.sum("b").alias("all_b"), F.sum(F.col("a") * F.col("b")).alias("same"))
-    groups = groups.where("all_a * all_b > same").drop("roots", "same")
+    sizes = placed.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("band") == F.col("i")).alias("a"), F.count_if(F.col("band") == F.col("j")).alias("b"))
+    groups = sizes.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("a").alias("all_a"), F.sum("b").alias("all_b"), F.sum(F.col("a") * F.col("b")).alias("same"))
+    groups = written(groups.where("all_a * all_b > same").drop("same"), "groups")
     # a row meets the other band's nodes; those of its own root are not known here, so this counts a little too many
     meets = F.when(F.col("band") == F.col("i"), F.col("all_b")).otherwise(F.col("all_a"))
-    return written(placed.join(groups, key).withColumn("meets", meets).drop("all_a", "all_b"), "open")
+    rows = join_split(placed, groups.withColumnRenamed("n", "rows"), key, "rows", way="way")
+    out = written(rows.withColumn("meets", meets).drop("all_a", "all_b", "rows"), "open")
+    forget(level.sparkSession, groups)
+    return out
 
 
 def _meeting(open_: DataFrame, percent: int, turn: int | None = None, whole: bool = True, only: str = "true") -> DataFrame:
     """Pairs of different components that meet: all of them, or those with one centre of each group, by turn."""
     key = ["token", "i", "j"]
-    other = open_.select(*key, *(F.col(c).alias(c + "2") for c in ("node", "root", "band", "n", "room")))
-    if turn is not None:
+    names = ("node", "root", "band", "n", "room")
+    if turn is None:
+        other = open_.select(*key, "hot", *(F.col(c).alias(c + "2") for c in names))
+    else:
         # the node with most shared elements is close to most others
-        side = "i" if turn % 2 == 0 else "j"
-        centre = F.min_by(F.struct("node2", "root2", "band2", "n2", "room2"), F.struct(-F.col("room2"), F.xxhash64("node2", F.lit(turn))))
-        other = other.where(f"band2 = {side}").groupBy(*key).agg(centre.alias("c")).select(*key, "c.*")
+        order = F.when(F.col("band") == F.col("i" if turn % 2 == 0 else "j"), F.struct(-F.col("room"), F.xxhash64("node", F.lit(turn))))
+        centre = F.min_by(F.struct(*(F.col(c).alias(c + "2") for c in names)), order)
+        other = open_.groupBy(*key).agg(centre.alias("c"), F.first("hot").alias("hot")).where("c is not null").select(*key, "hot", "c.*")
+    other = other.withColumn("way", F.explode(over_ways(F.col("hot")))).drop("hot")
     fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
     if whole:
         fits += f" and {100 + percent} * least(room, room2) >= {percent} * (n + n2)"
-    return open_.where(only).join(other, key).where(f"root <> root2 and (i = j or band <> band2) and {fits}").select(*_pair("node", "node2")).distinct()
+    return open_.where(only).join(other, [*key, "way"]).where(f"root <> root2 and (i = j or band <> band2) and {fits}").select(*_pair("node", "node2")).distinct()
 
 
 def _pair(a: str, b: str) -> list:
@@ -235,8 +250,14 @@ def _components(df: DataFrame, key: str, text: str, percent: int, width: int) ->
     """key, tk (checksum of the text), n, root (null without shingles), component_id of each row."""
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("tk"), F.xxhash64(key).alias("kh"), F.col(text).alias("text"))
-    with small_batches(spark):
-        prepared = written(_prepare(docs.select("key", "tk", "text"), percent, width), "shingles")
+    salt = 0
+    while True:
+        with small_batches(spark):
+            prepared = written(_prepare(docs.select("key", "tk", "text"), percent, width, salt), "shingles")
+        if prepared.groupBy("sig").agg((F.min("proof") != F.max("proof")).alias("clash")).where("clash").isEmpty():
+            break
+        salt += 1
+        forget(spark, prepared)
     nodes = prepared.where("n > 0").groupBy("sig").agg(F.min_by(F.struct("prefix"), F.struct("key", "tk")).alias("r"))
     tokens = nodes.select(F.explode("r.prefix").alias("token"), F.col("sig").alias("node"))
     needs = prepared.where("n > 0").groupBy(F.col("sig").alias("node")).agg(F.min("need").alias("need"))
@@ -245,7 +266,7 @@ def _components(df: DataFrame, key: str, text: str, percent: int, width: int) ->
     wanted = wanted.select(F.xxhash64("r.key").alias("kh"), "r.tk")
     texts = docs.select("tk", "kh", "text").dropDuplicates(["tk", "kh"]).join(wanted, ["tk", "kh"]).select("text")
     with small_batches(spark):
-        sets = written(_full(texts, percent, width), "sets")
+        sets = written(_full(texts, percent, width, salt), "sets")
 
     # a second count drops elements whose other nodes have gone
     again = _shared(first.select("token", "node"), needs)
