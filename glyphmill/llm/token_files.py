@@ -1,7 +1,7 @@
 """Token-id files in Simple-8b: each 64-bit word has a selector of four bits and as many ids as fit in the other 60.
 
 A file is the magic line, blocks of whole documents, then a footer: each block's byte offset and first id in the file,
-and their number. A block: its counts (ids, words, documents, escapes), the
+and their number. A block: its counts (ids, words, documents, escapes, documents without a key, which come first), the
 document keys and lengths, the words, the escaped ids. The selector 0 stands for one id of 2**60 or more, taken from
 the escapes in order; selectors 1 to 14 for the counts and widths of LAYOUTS. The footer makes every block addressable
 on its own, and its words are unpacked selector by selector with array operations.
@@ -28,13 +28,12 @@ from pyspark.sql import functions as F
 from glyphmill.llm import files
 from glyphmill.llm.bpe import byte_letters
 from glyphmill.llm.pieces import Splitter, UnitEncoder
-from glyphmill.llm.shared import fresh_folder, small_batches, written
+from glyphmill.llm.shared import dealt_files, fresh_folder, partitions, small_batches, whole_number_key, written
 
-MAGIC = b"simple-8b 2\n"
+MAGIC = b"simple-8b 3\n"
 #: (ids in a word, bits of each), by selector from 1 on; 0 is an escape.
 LAYOUTS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 21
-NO_KEY = -(2**63)
 _COUNT = np.array([1, *(n for n, _ in LAYOUTS)], np.int64)
 
 
@@ -86,10 +85,11 @@ def unpack(words: np.ndarray, escaped: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-def block(keys: list[int], lengths: list[int], ids: np.ndarray) -> bytes:
+def block(keys: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+    """The bytes of a block of documents; those without a key come first."""
     words, escaped = pack(ids)
-    head = struct.pack("<QQQQ", len(ids), len(words), len(keys), len(escaped))
-    return head + b"".join(a.tobytes() for a in (np.array(keys, "<i8"), np.array(lengths, "<u8"), words.astype("<u8"), escaped.astype("<u8")))
+    head = struct.pack("<QQQQQ", len(ids), len(words), len(keys), len(escaped), keys.count(None))
+    return head + b"".join(a.tobytes() for a in (np.array([k or 0 for k in keys], "<i8"), np.array(lengths, "<u8"), words.astype("<u8"), escaped.astype("<u8")))
 
 
 def footer(offsets: list[int], firsts: list[int]) -> bytes:
@@ -105,18 +105,19 @@ def index_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return both[:n], both[n:]
 
 
-def block_at(data: bytes, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, lengths, ids) of the block at a byte offset."""
-    n, words, docs, escapes = struct.unpack_from("<QQQQ", data, at)
-    at += 32
+def block_at(data: bytes, at: int) -> tuple[np.ma.MaskedArray, np.ndarray, np.ndarray]:
+    """(keys, masked where there is none, lengths, ids) of the block at a byte offset."""
+    n, words, docs, escapes, without = struct.unpack_from("<QQQQQ", data, at)
+    at += 40
     parts = []
     for kind, count in (("<i8", docs), ("<u8", docs), ("<u8", words), ("<u8", escapes)):
         parts.append(np.frombuffer(data, kind, count, at))
         at += 8 * count
-    return parts[0], parts[1].astype(np.int64), unpack(parts[2], parts[3], n)
+    keys = np.ma.MaskedArray(parts[0], np.arange(docs) < without)
+    return keys, parts[1].astype(np.int64), unpack(parts[2], parts[3], n)
 
 
-def blocks(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def blocks(data: bytes) -> Iterator[tuple[np.ma.MaskedArray, np.ndarray, np.ndarray]]:
     """(keys, lengths, ids) of each block of a file."""
     for at in index_of(data)[0].tolist():
         yield block_at(data, at)
@@ -140,9 +141,9 @@ def _units(path: str) -> UnitEncoder:
 def write(df: DataFrame, folder: str, path: str, key: str = "doc_id", text: str = "text", end: int = 2) -> DataFrame:
     """The documents as files of ids, each document followed by the end id; a table (file, part, number, ids, documents)."""
     tie = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), tie.alias("tie"), F.col(text).alias("text"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie").select("key", F.spark_partition_id().alias("part"), "text")
+    whole_number_key(df, key)
+    rows = df.select(F.col(key).cast("long").alias("key"), tie.alias("tie"), F.col(text).alias("text"))
+    rows = rows.repartitionByRange(partitions(rows), "key", "tie").sortWithinPartitions("key", "tie").select("key", F.spark_partition_id().alias("part"), "text")
 
     def run(batches):
         units, number, size = _units(path), 0, 0
@@ -209,11 +210,10 @@ def read(listing: DataFrame, key: str = "doc_id") -> DataFrame:
                     ends = np.cumsum(lengths)
                     raw = memoryview(ids.astype("<u4").tobytes())
                     sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                    arrays = [pa.array([None if k == NO_KEY else k for k in keys.tolist()], pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array(sums, pa.int64())]
+                    arrays = [pa.array(keys.tolist(), pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array(sums, pa.int64())]
                     yield pa.RecordBatch.from_arrays(arrays, names=[key, "start", "n_tokens", "ids_crc32"])
 
-    parts = int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return based.repartition(parts, "file").mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
+    return dealt_files(based).mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
