@@ -3,8 +3,9 @@
 `BpeModel` reads a tokenizer file (vocabulary, ranked merges, optional word-end suffix) and computes from the merge
 list how many symbols to the right of a token's end can still change it (`lookahead`). A word is read in windows of
 bounded size; a token is emitted once that many symbols behind it have been seen, or the word has ended, and reading
-goes on at the end of the last emitted token. Memory is therefore constant in the length of the word. Many words are
-merged at once: each round merges, in every word, all occurrences of its lowest-ranked pair.
+goes on at the end of the last emitted token. Memory is therefore constant in the length of the word. Every word goes
+through this transducer (`step`), many at a time: a step reads the next window of each, and within it, in every word,
+all occurrences of its lowest-ranked pair are merged at once, again and again. Most words end within their first window.
 
 Why a bound exists: what lies to the right of a boundary can only act on it through a chain of overlapping merges of
 falling rank (a symbol is taken away by an earlier merge with its right neighbour, whose own fate an earlier merge
@@ -66,7 +67,7 @@ class PairTable:
 class BpeModel:
     """A ranked merge list over bytes."""
 
-    def __init__(self, path: str, window: int = 2048):
+    def __init__(self, path: str, window: int = 128):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -131,30 +132,54 @@ class BpeModel:
         ids, of = np.concatenate(done_ids), np.concatenate(done_words)
         return ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(lengths))
 
-    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of whole words: (flat ids, ids per word)."""
-        long_ = [i for i, w in enumerate(words) if len(w) > self.window]
-        if long_:
-            parts = [np.fromiter(self.stream(w), np.int32) if len(w) > self.window else self.encode_words([w])[0] for w in words]
-            return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        data = np.frombuffer(b"".join(words), np.uint8)
+    def step(self, parts: list[bytes], ended: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the transducer emits for the next window of each of many words, of which some have `ended` with it:
+        (flat ids, ids per word, bytes read per word)."""
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        data = np.frombuffer(b"".join(parts), np.uint8)
         symbols = self.inner[data]
-        last = np.cumsum(lengths)[lengths > 0] - 1
+        last = np.cumsum(lengths)[ended & (lengths > 0)] - 1
         symbols[last] = self.final[data[last]]
-        return self.merge(symbols, lengths)
+        ids, counts = self.merge(symbols, lengths)
+        if ended.all():
+            return ids, counts, lengths
+        word = np.repeat(np.arange(len(parts)), counts)
+        first = np.cumsum(counts) - counts
+        ends = np.cumsum(self.symbols[ids])
+        ends -= (np.cumsum(lengths) - lengths)[word]  # of each token within its word's window
+        stable = ended[word] | (ends <= (lengths - self.lookahead)[word])
+        stable[first[counts > 0]] = True  # a window is longer than any token that could still change
+        out = np.bincount(word[stable], minlength=len(parts))
+        read = np.zeros(len(parts), np.int64)
+        np.maximum.at(read, word[stable], ends[stable])
+        return ids[stable], out, read
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of whole words: (flat ids, ids per word)."""
+        at = np.zeros(len(words), np.int64)
+        left = np.arange(len(words))
+        ids, of = [], []
+        while len(left):
+            starts = at[left].tolist()
+            parts = [words[i][a : a + self.window] for i, a in zip(left.tolist(), starts, strict=True)]
+            ended = np.array([a + len(p) == len(words[i]) for i, a, p in zip(left.tolist(), starts, parts, strict=True)], bool)
+            found, counts, read = self.step(parts, ended)
+            ids.append(found)
+            of.append(np.repeat(left, counts))
+            at[left] += read
+            left = left[~ended]
+        if not ids:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if len(ids) == 1:
+            return ids[0], np.bincount(of[0], minlength=len(words))
+        flat, word = np.concatenate(ids), np.concatenate(of)
+        return flat[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
     def stream(self, word: bytes):
         """Ids of one word of any length, in constant memory: each as soon as nothing further right can change it."""
         at = 0
         while at < len(word):
-            part = np.frombuffer(word[at : at + self.window], np.uint8)
-            ended = at + len(part) == len(word)
-            symbols = self.inner[part]
-            if ended:
-                symbols[-1] = self.final[part[-1]]
-            ids, _ = self.merge(symbols, np.array([len(symbols)]))
-            ends = np.cumsum(self.symbols[ids])
-            stable = len(ids) if ended else max(1, int(np.searchsorted(ends, len(part) - self.lookahead, "right")))
-            yield from ids[:stable].tolist()
-            at += int(ends[stable - 1])
+            part = word[at : at + self.window]
+            ids, _, read = self.step([part], np.array([at + len(part) == len(word)]))
+            yield from ids.tolist()
+            at += int(read[0])

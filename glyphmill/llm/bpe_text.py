@@ -3,8 +3,9 @@
 Encoding runs the transducer of `bpe` over the pieces of each text; decoding is a state machine that takes ids and
 gives text as soon as its bytes are complete, holding at most an unfinished character.
 
-Defined results: null or empty text: no ids, empty decoded text; ids, digests and texts of repeated rows are equal;
-empty table: no rows; other columns pass through, columns named like the results are replaced.
+Defined results: null or empty text: no ids, empty decoded text; ids, digests and texts of repeated rows are equal; very
+long texts and words: whole; null keys and ties: a row each; empty table: no rows; other columns pass through, columns
+named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -29,32 +30,32 @@ _CHUNK = 1 << 15
 
 
 class Decoder:
-    """Ids to text, incrementally.
+    """Ids to text, incrementally, by a state machine over bytes: each id gives bytes, and bytes give text as soon as a
+    character is whole; an invalid sequence gives U+FFFD. Its state is at most an unfinished character, and whether a
+    token came before.
 
-    A file with a byte-level decoder turns letters back into bytes and these into text, an invalid sequence into
-    U+FFFD; a file without a decoder yields its tokens with single spaces between them, as the library does.
+    A file with a byte-level decoder turns the letters of its tokens back into bytes. A file without one has the library
+    join the tokens as they are spelt, with a space between: there an id gives the bytes of its spelling, after a space
+    unless it is the first.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-        self.spaced = spec["decoder"] is None
+        spelt = spec["decoder"] is None
+        self.between = b" " if spelt else b""
         letters = {c: b for b, c in enumerate(byte_letters())}
         size = max(names) + 1
-        self.texts = [names.get(i, "").encode() if self.spaced else bytes(letters[c] for c in names.get(i, "")) for i in range(size)]
+        self.bytes = [names.get(i, "").encode() if spelt else bytes(letters[c] for c in names.get(i, "")) for i in range(size)]
 
     def pieces(self, ids: Iterable[int]) -> Iterator[bytes]:
         """Text of successive chunks of ids, in UTF-8."""
         state = codecs.getincrementaldecoder("utf-8")("replace")
-        ids, begun = iter(ids), False
+        ids, before = iter(ids), b""
         while chunk := [x for x, _ in zip(ids, range(_CHUNK), strict=False)]:
-            found = map(self.texts.__getitem__, chunk)
-            if self.spaced:
-                yield (b" " if begun else b"") + b" ".join(found)
-                begun = True
-            else:
-                yield state.decode(b"".join(found)).encode()
+            yield state.decode(before + self.between.join(map(self.bytes.__getitem__, chunk))).encode()
+            before = self.between
         yield state.decode(b"", final=True).encode()
 
     def text(self, ids: Iterable[int]) -> str:
