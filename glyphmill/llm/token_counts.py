@@ -3,13 +3,14 @@
 Within a piece, the last token of each prefix's encoding is unique: it is the token t ending there whose boundary with
 the last token of the prefix before t would survive merging. So count[end] = count[end - len(t)] + 1, one pass gives
 the exact count of every prefix of the piece, and sums over pieces those of every prefix of a text. Truncation and
-budget questions are then look-ups (`PrefixCounts`).
+budget questions are then look-ups in what is stored (`PrefixCounts`; as columns `prefix_tokens` and `truncated`).
 
 Two tokens keep their boundary if, undoing merges backwards in time on both sides of it, no merge across it comes
 earlier than the younger of the two symbols that meet there (the leftmost of equal merges goes first).
 
-Defined results: null or empty text: 0 tokens, 0 bytes; ties and repeated rows: each row on its own; empty table: no
-rows; other columns pass through, columns named like the results are replaced.
+Defined results: null or empty text: 0 tokens, 0 bytes, the table [0], truncated to the empty text; null keys, ties and
+repeated rows: each row on its own; very long texts and words: whole; a budget below 0: ValueError; empty table: no rows;
+other columns pass through, columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -158,20 +159,64 @@ class PrefixCounts:
             total += int(self.tables[k + i][len(piece.encode())] if known else self._table(piece)[-1])
         return total
 
-    def truncate(self, budget: int) -> str:
-        """The longest whole run of pieces within the budget, and what of the next piece still fits."""
-        k = int(np.searchsorted(self.before, budget, "right")) - 1
-        if k >= len(self.pieces):
-            return self.text
-        piece, start = self.pieces[k], int(self.starts[k])
-        fits = [n for n in range(1, len(piece)) if self.count(start + n) <= budget]
-        return self.text[: start + max(fits, default=0)]
+    def all(self) -> np.ndarray:
+        """Tokens of text[:0], text[:1], .. and of the whole text."""
+        return np.fromiter(map(self.count, range(len(self.text) + 1)), np.int64, len(self.text) + 1)
+
+    def truncate(self, budget: int) -> tuple[str, int]:
+        """The longest prefix of at most `budget` tokens, and its tokens. A longer prefix may have fewer tokens than a
+        shorter one, but one that ends in piece k has more than the pieces before k - 1, which bounds where to look."""
+        if budget < 0:
+            raise ValueError("a budget is 0 or more")
+        if not self.pieces or self.before[-1] <= budget:
+            return self.text, int(self.before[-1])
+        k = min(int(np.searchsorted(self.before, budget, "left")), len(self.pieces) - 1)  # before[k - 1] < budget
+        for n in range(int(self.starts[k + 1]), 0, -1):
+            if (tokens := self.count(n)) <= budget:
+                return self.text[:n], tokens
+        return "", 0
+
+
+@lru_cache(2)
+def _counter(path: str) -> tuple[PrefixCounter, Splitter]:
+    return PrefixCounter(path), Splitter(tokenizers.Tokenizer.from_file(path), words=False)
+
+
+def prefix_tokens(df: DataFrame, path: str, text: str = "text", to: str = "prefix_tokens") -> DataFrame:
+    """df with the token counts of the text's first 0, 1, .. characters."""
+
+    def make():
+        counter, split = _counter(path)
+
+        def slices(column):
+            for i, t in enumerate(column.to_pylist()):
+                yield i, i + 1, [pa.array([PrefixCounts(counter, split, t or "").all().tolist()], pa.list_(pa.int32()))]
+
+        return slices
+
+    return with_columns(df, text, [(to, "array<int>")], make)
+
+
+def truncated(df: DataFrame, path: str, budget: int, text: str = "text", to: str = "truncated", tokens: str = "n_tokens") -> DataFrame:
+    """df with the longest prefix of the text that has at most `budget` tokens, and its number of tokens."""
+    if budget < 0:
+        raise ValueError("a budget is 0 or more")
+
+    def make():
+        counter, split = _counter(path)
+
+        def slices(column):
+            found = [PrefixCounts(counter, split, t or "").truncate(budget) for t in column.to_pylist()]
+            yield 0, len(found), [pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())]
+
+        return slices
+
+    return with_columns(df, text, [(to, "string"), (tokens, "long")], make)
 
 
 @lru_cache(2)
 def _units(path: str) -> UnitEncoder:
-    counter = PrefixCounter(path)
-    split = Splitter(tokenizers.Tokenizer.from_file(path), words=False)
+    counter, split = _counter(path)
     return UnitEncoder(split, lambda ps: (counter.totals([p.encode() for p in ps]).astype(np.int32), np.ones(len(ps), np.int64)), {s: 1 for s in counter.model.special})
 
 
