@@ -11,7 +11,9 @@ contaminates the document.
 The benchmark is a stated query set, taken in blocks of at most BLOCK_BYTES of text: the table is read back in order,
 one block at a time is sent to the tasks, and every document meets every block, so nothing depends on its size.
 Defined results: null or word-less texts and items match nothing; items shorter than LEAST words need their whole run;
-repeated documents or items: a row for each; empty tables: no rows.
+repeated documents or items: a row for each; ties between longest matches: the first in the document; null keys and ids:
+carried as null; very long texts: whole; empty tables: no rows; other columns, of any name, are not carried by
+`contaminated` and pass through `without_contaminated`.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from glyphmill.llm.shared import written
+from glyphmill.llm.shared import forget, written
 from glyphmill.llm.words import mix
 
 LEAST, COVERAGE = 3, 0.6
@@ -115,7 +117,11 @@ class Block:
             words = words_of(text)
             if words:
                 self.items.append((item_id, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]))
-        self.short = [k for k, (_, words) in enumerate(self.items) if len(words) < LEAST]
+        self.short: dict[tuple[int, ...], list[int]] = defaultdict(list)
+        for k, (_, words) in enumerate(self.items):
+            if len(words) < LEAST:
+                self.short[tuple(words)].append(k)
+        self.short_lengths = sorted({len(words) for words in self.short})
         # the items' words end to end: each place's item, and the places where a seed begins, by seed
         self.lengths = np.array([len(words) for _, words in self.items], np.int64)
         self.owners = np.repeat(np.arange(len(self.items)), self.lengths)
@@ -153,10 +159,10 @@ class Block:
         return items[n / self.lengths[items] >= COVERAGE].tolist()
 
     def _short_hits(self, words: list[int]) -> Iterator[int]:
-        for k in self.short:
-            item = self.items[k][1]
-            if any(words[a : a + len(item)] == item for a, w in enumerate(words) if w == item[0]):
-                yield k
+        """Items under LEAST words whose run the document holds."""
+        for n in self.short_lengths:
+            for run in {tuple(words[a : a + n]) for a in range(len(words) - n + 1)}:
+                yield from self.short.get(run, ())
 
 
 def _relevant(document: list[int], item: list[int]) -> tuple[list[int], list[int]]:
@@ -215,7 +221,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
 
         part = source.mapInArrow(run, schema)
-        out = part if out is None else written(out, "hits").unionByName(part)
+        out = part if out is None else out.unionByName(part)
     if out is None:
         out = source.sparkSession.createDataFrame([], schema)
     return out.select(F.col("key").alias(key), F.col("item").alias(item), "coverage", "tiles")
@@ -223,8 +229,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows that an item contaminates; all columns."""
-    at = docs.columns.index(text)
+    at, before = docs.columns.index(text), None
     for n, items in enumerate(benchmark_blocks(benchmark, item, item_text)):
+        if n:  # the rows that the blocks so far left, so that a task holds one block
+            docs = written(docs, "clean")
+            if before is not None:
+                forget(docs.sparkSession, before)
+            before = docs
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, sent=sent):
@@ -233,7 +244,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
                 clean = [next(block.search(t), None) is None for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = (written(docs, "clean") if n else docs).mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 
