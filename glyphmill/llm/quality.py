@@ -9,8 +9,9 @@ Lines without a word are neither kept nor lost. A document is kept if it passes
 hold at most half of the characters of its words.
 
 Everything is counted on slices of many documents at once, on bytes; lines and windows of a document are compared by
-64-bit hashes. Defined results: null or empty text: no words, hence base_failed; repeated rows: equal verdicts; empty
-table: no rows; other columns pass through, columns named like the results are replaced.
+64-bit hashes. Defined results: null or empty text: no words, hence base_failed; repeated rows and ties: equal verdicts;
+null keys: a row each; very long texts: whole, as a slice of their own; empty table: no rows; other columns pass through,
+columns named like the results are replaced.
 """
 
 from __future__ import annotations

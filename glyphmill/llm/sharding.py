@@ -8,8 +8,9 @@ Rows are ranked within ring cells whose number follows the row count, counts of
 only the counts of the arcs (shards x vnodes, a fixed number) reach the driver, which plans the overflow. Repeated
 rows (same key, same text) count as one weighted row until the end, so a hot key is never sorted or held as rows.
 
-Defined results: null key: a key of its own; null text: size 1, checksum 0; repeated rows: each gets its own slot;
-empty table: no rows; other columns of the input are not carried (the key, size and checksum identify the row).
+Defined results: null key: a key of its own; keys of any type that hashes; null or empty text: size 1, checksum 0; very
+long texts: only their size and checksum are carried; ties and repeated rows: each gets its own slot; empty table: no
+rows; other columns of the input, of any name, are not carried (the key, size and checksum identify the row).
 """
 
 from __future__ import annotations

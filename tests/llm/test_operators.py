@@ -15,8 +15,8 @@ import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, bpe_text, decontamination, graph, jaccard_join, pieces, quality, sharding, substring_dedup, token_counts, token_files, toxicity, warc, words
-from glyphmill.llm.shared import fresh_folder, written
+from glyphmill.llm import bpe, bpe_text, decontamination, graph, jaccard_join, pieces, quality, shared, sharding, substring_dedup, token_counts, token_files, toxicity, warc, words
+from glyphmill.llm.shared import fresh_folder, join_split, written
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 RND = random.Random(7)
@@ -62,10 +62,47 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string")
 
 
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Names that operators might use themselves."""
+    names = "id key tk text2 hot way root sig n h own part shard _key __text".split()
+    return spark.createDataFrame([(i or 0, t, *range(len(names))) for i, t in ROWS], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+
+
 def split(text):
     return (text or "").encode().split()
 
 
+# ---------------------------------------------------------------- what operators share
+
+
+def test_join_split_deals_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 10)
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "id AS v")
+    counts = written(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k < 2000"), "counts")
+    out = join_split(rows, counts, ["k"], way="way")
+    assert sorted((r["k"], r["v"]) for r in out.collect()) == sorted((r["k"], r["v"]) for r in rows.where("k < 2000").collect())
+    assert out.where("hot").select("way").distinct().count() > 50 and {r["k"] for r in out.where("hot").collect()} == {7}
+    assert join_split(rows, counts, ["k"], how="left").count() == 3000
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Context:
+        master, applicationId = "spark://somewhere:7077", "x"
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError):
+        shared.shared_root(Session())
+
+
+@pytest.mark.parametrize("operator", [substring_dedup.repeats, lambda df: token_files.write(df, "/nowhere", BYTE)])
+def test_keys_that_are_no_whole_numbers_are_refused(spark, operator):
+    with pytest.raises(ValueError):
+        operator(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 # ---------------------------------------------------------------- words
 
 
@@ -104,6 +141,51 @@ def test_sharding_law_and_ring(spark, docs, empty):
     assert sharding.shard(empty, 4).count() == 0
 
 
+def test_sharding_equals_a_walk_on_the_ring(spark):
+    """Each key clockwise from its point to the first virtual node whose shard has room: own keys first, in ring order."""
+    shards, vnodes = 5, 16
+    rows = [(i, prose(3, i)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = df.select("doc_id", (F.octet_length("text").cast("long") + 1).alias("size"), F.crc32(F.col("text").cast("binary")).alias("c"))
+    at = {r[0]: r[1] for r in sizes.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id", "c", "size"), 64 - sharding.RING_BITS)).collect()}
+    ring = sharding.ring(shards, vnodes)
+    cell = lambda p: p >> (sharding.RING_BITS - 14)
+    arc_of = lambda p: next((k for k, (end, _) in enumerate(ring) if cell(p) <= end), 0)
+    order = sorted(at, key=lambda i: (cell(at[i]) <= ring[-1][0], at[i]))  # the arc over position 0 begins behind the last node
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    placed, waiting = {}, []
+    for i in order:
+        k = arc_of(at[i])
+        if room[ring[k][1]]:
+            room[ring[k][1]] -= 1
+            placed[i] = ring[k][1]
+        else:
+            waiting.append(i)
+    walking = []
+    for step in range(3 * len(ring)):
+        k = step % len(ring)
+        while walking and room[ring[k][1]]:
+            room[ring[k][1]] -= 1
+            placed[walking.pop(0)] = ring[k][1]
+        if step < len(ring):
+            walking += [i for i in waiting if arc_of(at[i]) == k]
+    assert {r["doc_id"]: r["shard"] for r in sharding.shard(df, shards, vnodes=vnodes).collect()} == placed
+
+
+def test_sharding_moves_little_when_a_shard_is_added(spark):
+    df = spark.createDataFrame([(i, prose(3, i)) for i in range(4000)], "doc_id long, text string")
+    before, after = ({r["doc_id"]: r["shard"] for r in sharding.shard(df, n).collect()} for n in (16, 17))
+    moved = [i for i in before if before[i] != after[i]]
+    assert len(moved) < 0.16 * len(before) and sum(after[i] != 16 for i in moved) < 0.1 * len(before)
+
+
+def test_sharding_of_other_columns_and_long_texts(spark, odd):
+    out = sharding.shard(odd, 4)
+    assert out.columns == ["doc_id", "size", "text_crc32", "shard", "slot"] and out.count() == len(ROWS)
+    one = sharding.shard(spark.createDataFrame([("k", "x" * 3_000_000)], "doc_id string, text string"), 2).collect()
+    assert [(r["doc_id"], r["size"]) for r in one] == [("k", 3_000_001)]
+
+
 def test_sharding_repeated_row(spark):
     hot = spark.range(10000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same").alias("text"))
     counts = [r["count"] for r in sharding.shard(hot, 3).groupBy("shard").count().collect()]
@@ -151,6 +233,51 @@ def test_quality_lines(spark):
     assert "reserved" not in out[3]["clean"] and good in out[3]["clean"]
 
 
+def brute_kept(text):
+    """The rules of the docstring, line by line."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7))
+    covered = {x for j in range(len(w) - 7) if grams[tuple(w[j : j + 8])] > 1 for x in range(j, j + 8)}
+    lost = 0
+    for line in text.split("\n"):
+        words = re.findall(r"[^\x20\x09-\x0D]+", line)
+        if not words:
+            continue
+        chars = sum(map(len, words))
+
+        def ends(word):
+            for _ in range(2):
+                if len(word) > 1 and word[-1] in "\"')]":
+                    word = word[:-1]
+            return word[-1] in ".!?…。！？"
+
+        noise = sum(33 <= ord(c) < 127 and not c.isalnum() for c in line)
+        bars = sum(c in "|>»·•" for c in line)
+        low = "".join(c.lower() if c.isascii() else c for c in line)
+        phrase = len(words) <= 30 and any(p in low for p in quality.BOILERPLATE)
+        if not any(map(ends, words)) or (len(words) >= 5 and noise > 0.15 * chars) or (bars >= 3 and len(words) <= 5 * bars) or phrase:
+            lost += chars
+    base = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+    return not base and lost <= 0.5 * sum(map(len, w))
+
+
+def test_quality_verdicts_equal_brute_force(spark, odd):
+    r = random.Random(12)
+    kinds = [
+        lambda i: prose(r.randint(1, 30), i) + r.choice([".", "!", "", "”", '."', ".')"]),
+        lambda i: " | ".join(prose(r.randint(1, 6), i + j) for j in range(r.randint(2, 6))),
+        lambda i: prose(12, i) + " " + r.choice(quality.BOILERPLATE).upper() + r.choice(["", "."]),
+        lambda i: "$$ ## " * r.randint(1, 5) + prose(5, i) + ".",
+        lambda i: "句子。" * r.randint(1, 9) + r.choice(["»", " · ", "…"]),
+        lambda i: " \t",
+    ]
+    rows = [(k, "\n".join(r.choice(kinds)(100 * k + j) for j in range(r.randint(1, 9)))) for k in range(400)]
+    found = {x["doc_id"]: x["kept"] for x in quality.line_quality(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    want = {k: brute_kept(t) for k, t in rows}
+    assert found == want and 40 < sum(want.values()) < 360
+    assert quality.line_quality(odd).columns == [c for c in odd.columns if c != "n_words"] + [n for n, _ in quality.FIELDS]
+
+
 # ---------------------------------------------------------------- 3, 10 tokens
 
 
@@ -158,6 +285,9 @@ def test_quality_lines(spark):
 def test_transducer_equals_library(path):
     model, library = bpe.BpeModel(path, window=50), tokenizers.Tokenizer.from_file(path)
     r = random.Random(3)
+    many = ["".join(r.choice("thein") for _ in range(r.choice([1, 3, 20, 700, 2000]))) for _ in range(60)]  # side by side
+    ids, counts = model.encode_words([w.encode() for w in many])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(w, add_special_tokens=False).ids for w in many]
     for letters in ("a", "ab", "thein", "eron", "=-", "é", "aàá", "abcdefghijklmnopqrstuvwxyz"):
         for n in (1, 2, 30, 900):
             word = "".join(r.choice(letters) for _ in range(n))
@@ -206,10 +336,30 @@ def test_prefix_counts_and_truncation():
     for text in ("It's  a\n\n test of don't  ", "aaaa'll bbb   ", "日本語 é x", "12345 -- ===="):
         table = token_counts.PrefixCounts(counter, split_, text)
         assert [table.count(n) for n in range(len(text) + 1)] == [count(text[:n]) for n in range(len(text) + 1)]
-        for budget in range(1, count(text) + 1):
-            cut = table.truncate(budget)
-            assert text.startswith(cut) and count(cut) <= budget
-        assert table.truncate(10**6) == text
+        counts = [count(text[:n]) for n in range(len(text) + 1)]
+        assert table.all().tolist() == counts
+        for budget in range(count(text) + 2):
+            longest = max(n for n, c in enumerate(counts) if c <= budget)
+            assert table.truncate(budget) == (text[:longest], counts[longest])
+
+
+def test_prefix_columns(spark, clash, odd):
+    library = tokenizers.Tokenizer.from_file(BYTE)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    rows = [(1, "It's  a\n\n test"), (2, None), (None, "'llx  \n é日"), (3, "aaaa" * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in token_counts.prefix_tokens(df, BYTE).collect():
+        t = r["text"] or ""
+        assert r["prefix_tokens"] == [count(t[:n]) for n in range(len(t) + 1)]
+    for budget in (0, 1, 3, 5):
+        for r in token_counts.truncated(df, BYTE, budget).collect():
+            t = r["text"] or ""
+            longest = max(n for n in range(len(t) + 1) if count(t[:n]) <= budget)
+            assert (r["truncated"], r["n_tokens"]) == (t[:longest], count(t[:longest]))
+    assert token_counts.truncated(clash, BYTE, 5).columns == ["doc_id", "text", "source", "truncated", "n_tokens"]
+    assert token_counts.token_counts(clash, BYTE).columns == ["doc_id", "text", "source", "n_bytes", "n_tokens", "over_limit"]
+    with pytest.raises(ValueError):
+        token_counts.truncated(df, BYTE, -1)
 
 
 # ---------------------------------------------------------------- 4 decontamination
@@ -241,19 +391,7 @@ def test_tiling_equals_brute_force():
         tiles = decontamination.tiles(a, b, 3)
         assert all(a[d : d + n] == b[i : i + n] for d, i, n in tiles)
         assert len({x for d, _, n in tiles for x in range(d, d + n)}) == sum(n for _, _, n in tiles)
-        longest = max((n for _, _, n in tiles), default=0)
-        assert longest == max((n for n in [brute_longest(a, b)] if n >= 3), default=0)
-
-
-def brute_longest(a, b):
-    best = 0
-    for i in range(len(a)):
-        for j in range(len(b)):
-            n = 0
-            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
-                n += 1
-            best = max(best, n)
-    return best
+        assert sum(n for _, _, n in tiles) == brute_tiles(a, b, 3)
 
 
 def test_decontamination(spark, empty):
@@ -269,6 +407,17 @@ def test_decontamination(spark, empty):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_other_columns_and_long_texts(spark, odd, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 100)
+    item = prose(20, 70)
+    bench = spark.createDataFrame([(None, item), (2, prose(20, 71)), (2, item), (3, prose(20, 73))], "item_id int, text string")
+    docs = spark.createDataFrame([(None, prose(40000, 1) + " " + item), (1, prose(30, 2)), (1, prose(30, 2))], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"] or 0) for r in decontamination.contaminated(docs, bench).collect()) == [(None, 0), (None, 2)]
+    assert [r["doc_id"] for r in decontamination.without_contaminated(docs, bench).collect()] == [1, 1]
+    out = decontamination.without_contaminated(odd, bench)
+    assert out.columns == odd.columns and out.count() == len(ROWS)
+
+
 def test_decontamination_by_short_runs():
     item = prose(9, 80).split()
     long_item = prose(24, 81).split()
@@ -348,6 +497,39 @@ def test_near_duplicates_dense_group(spark):
     assert found == brute_components(rows)
 
 
+def test_near_duplicates_when_signatures_collide(spark, docs, monkeypatch):
+    true = jaccard_join._signature
+    monkeypatch.setattr(jaccard_join, "_signature", lambda s, salt: len(s) % 3 if salt == 0 else true(s, salt))
+    found = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect())
+    assert found == brute_components(ROWS)
+
+
+def test_near_duplicates_with_hot_elements(spark, monkeypatch):
+    """Pairs of copies, all of which hold one passage: hot elements are dealt over tasks, and nothing is lost."""
+    monkeypatch.setattr(shared, "HOT_ROWS", 20)
+    passage = prose(60, 901)
+    rows = []
+    for i in range(150):
+        own = prose(40, 7000 + i)
+        rows += [(2 * i, own + " " + passage), (2 * i + 1, edited(own, 35, i) + " " + passage)]
+    found = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == brute_components(rows)
+
+
+def test_strangers_that_share_a_passage_are_not_paired(spark):
+    """10,000 unlinked texts that share one element meet nowhere: none has enough others."""
+    rows = spark.range(10000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("one passage of five words"), F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.md5(F.concat(F.col("id").cast("string"), F.lit("/"), k.cast("string")))).cast("string")).alias("text"))
+    rows = rows.withColumn("text", F.translate("text", ",[]", ""))
+    out = jaccard_join.near_duplicates(rows)
+    assert out.where("component_id = doc_id").count() == 10000
+
+
+def test_near_duplicates_of_other_columns_and_text_keys(spark, odd):
+    assert jaccard_join.without_near_duplicates(odd).columns == odd.columns
+    found = jaccard_join.near_duplicates(spark.createDataFrame([("b", prose(30, 1)), ("a", prose(30, 1)), ("c", "x" * 100000)], "doc_id string, text string"))
+    assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+
+
 def test_one_of_each_group_stays(docs, clash):
     kept = jaccard_join.without_near_duplicates(docs).collect()
     want = brute_components(ROWS)
@@ -460,6 +642,22 @@ def test_repeats_in_many_contexts(spark, monkeypatch):
     assert Counter(tuple(r) for r in substring_dedup.repeats(docs).collect()) == brute_repeats(rows)
 
 
+def test_repeats_with_hot_windows_and_extreme_keys(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    passage, base = prose(70, 3), prose(80, 4)
+    rows = [(k, prose(20, i) + " " + passage + " " + prose(20, 100 + i)) for i, k in enumerate([2**63 - 1, -(2**63), 0, 5, 9, 12, 30, 31, 40])]
+    rows += [(i, base) for i in range(60, 75)] + [(7, base), (7, base), (None, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in substring_dedup.repeats(df).collect()) == brute_repeats(rows)
+    cut = substring_dedup.without_repeats(df).collect()
+    assert Counter((r["doc_id"], hashlib.sha256(b" ".join(split(r["text"]))).hexdigest()) for r in cut) == Counter({(i, sha): n for (i, _, _, sha), n in brute_repeats(rows).items()})
+
+
+def test_without_repeats_of_other_columns(odd):
+    out = substring_dedup.without_repeats(odd)
+    assert out.columns == odd.columns and out.count() == len(ROWS)
+
+
 def test_without_repeats(docs, clash):
     want = {(i, n, cut): sha for (i, n, cut, sha) in brute_repeats(ROWS)}
     digest = Counter((i, sha) for (i, _, _), sha in want.items())
@@ -500,6 +698,15 @@ def test_blocks_by_footer(spark):
     assert most > 1
 
 
+def test_token_files_of_extreme_keys_and_other_columns(spark, odd):
+    rows = [(-(2**63), "a"), (None, "b"), (2**63 - 1, None), (None, "b"), (0, "x" * 200000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = token_files.read(written(token_files.write(df, fresh_folder(spark, "t"), BYTE), "listing")).collect()
+    assert [r["doc_id"] for r in sorted(found, key=lambda r: r["start"])] == [None, None, -(2**63), 0, 2**63 - 1]
+    listing = written(token_files.write(odd, fresh_folder(spark, "t"), BYTE), "listing")
+    assert token_files.read(listing).count() == len(ROWS)
+
+
 def test_token_files(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_IDS", 500)
     listing = written(token_files.write(docs, fresh_folder(spark, "t"), BYTE), "listing")
@@ -547,7 +754,7 @@ def test_archive(spark, least):
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     arc = warc.ArcWriter("x.arc.gz", version, "20010203040506")
-    arc.add("http://x.example/a b", "text/html", warc.http_block(b"hi\n\nthere", 4))
+    arc.add("http://x.example/a b", "text/html", warc.http_block(b"hi\n\nthere", "4"))
     arc.add("http://y.example/", "text/html", warc.http_block(b"", None))
     got = list(warc.read_arc(arc.content()))
     assert [r.fields["URL"] for r in got] == ["http://x.example/a b", "http://y.example/"]
@@ -557,3 +764,54 @@ def test_arc_versions(version):
     assert headers["warc-block-digest"] == "sha1:" + warc.sha1_base32(block)
     with pytest.raises(ValueError):
         list(warc.read_arc(b"filedesc://x 0.0.0.0 2001 text/plain 26\n9 0 who\nURL Archive-length\n\n"))
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_records_of_real_archives(spark, version):
+    """Short and impossible dates, heads of other bytes and line ends, and records that are no HTTP."""
+    arc = warc.ArcWriter("y.arc.gz", version, "19970203040506")
+    latin = b"HTTP/1.0 200 OK\nServer: caf\xe9\nX-Archive-Key: 8\n\n<p>\xe9</p>"
+    arc.add("dns:www.x.example", "text/dns", b"19970101\nwww.x.example 86400 IN A 10.0.0.1\n", "19970101", "10.0.0.2")
+    arc.add("http://x.example/a b", "text/html; charset=latin-1", latin, "199702", "10.0.0.1")
+    arc.add("http://x.example/old", "text/html", b"<p>no head</p>", "0")
+    arc.add("http://x.example/bad", "text/html", warc.http_block(b"x", "9 %\n"), "19971399000000")
+    arc.add("http://x.example/nohead", "text/html", b"HTTP/1.1 204 No Content", "1997")
+    found = list(warc.read_arc(arc.content()))
+    assert [r.fields["URL"] for r in found] == ["dns:www.x.example", "http://x.example/a b", "http://x.example/old", "http://x.example/bad", "http://x.example/nohead"]
+    assert found[1].fields["Content-type"] == "text/html; charset=latin-1" and found[1].fields["IP-address"] == "10.0.0.1"
+    out = [next(warc.read_warc(warc.convert("y.arc.gz", r, None))) for r in found]
+    assert [h["warc-date"] for h, _ in out] == ["1997-01-01T00:00:00Z", "1997-02-01T00:00:00Z", "1997-02-03T04:05:06Z", "1997-02-03T04:05:06Z", "1997-01-01T00:00:00Z"]
+    assert [h["warc-type"] for h, _ in out] == ["resource", "response", "resource", "response", "response"]
+    assert out[0][0]["content-type"] == "text/dns" and out[0][0]["warc-ip-address"] == "10.0.0.2"
+    for (headers, block), record in zip(out, found):
+        http, _, payload = warc.split_http(block)
+        assert block == record.block and headers["warc-payload-digest"] == "sha1:" + warc.sha1_base32(payload)
+        assert int(headers["x-payload-length"]) == len(payload)
+    assert warc.split_http(out[1][1])[2] == b"<p>\xe9</p>" and warc.archive_key(warc.split_http(out[3][1])[0]) == "9 %\n"
+    # the same records through the tables
+    folder = fresh_folder(spark, "arc")
+    listing = spark.createDataFrame([(warc.files.create(folder, arc.content(), ".arc.gz"),)], "file string")
+    rows = warc.read_files(warc.convert_files(listing, fresh_folder(spark, "warc"), key_type="string"), key_type="string").collect()
+    assert Counter((r["page_id"], r["record_type"]) for r in rows) == Counter({(None, "resource"): 2, ("8", "response"): 1, ("9 %\n", "response"): 1, (None, "response"): 1})
+
+
+def test_archive_versions_dates_and_keys(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    rows = [(f"k{i:02}", f"http://h{i}.example/", "same" if i % 2 else f"page {i}", f"2001010{1 + i % 9}000000") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string, at string")
+    for versions in ((1,), (2,), (1, 2)):
+        out = {r["page_id"]: r for r in warc.archive(df, date=F.col("at"), versions=versions).collect()}
+        assert len(out) == 40 and {r["refers_to"] for r in out.values()} == {None, "k01"}
+        assert sum(r["record_type"] == "revisit" for r in out.values()) == 19
+    listing = warc.write_arc(df, fresh_folder(spark, "arc"), date=F.col("at")).collect()
+    kinds, dates = Counter(), set()
+    for row in listing:
+        data = warc.files.load(row["file"])
+        kinds[__import__("gzip").decompress(data).split(b"\n")[1][:1]] += 1
+        dates |= {r.fields["Archive-date"] for r in warc.read_arc(data)}
+    assert set(kinds) == {b"1", b"2"} and dates == {r[3] for r in rows}
+
+
+def test_archive_of_other_columns(spark):
+    df = spark.createDataFrame([(1, "u", "x", 1, 2, 3), (None, None, None, 1, 2, 3)], "page_id int, url string, html string, key int, digest int, refers_to int")
+    assert Counter(r["page_id"] for r in warc.archive(df).collect()) == Counter([1, None])
