@@ -2,6 +2,12 @@
 
 Toxic documents go; of each group of near duplicates the document with the smallest id stays; passages that an earlier
 document has already are cut from the texts; documents that hold benchmark items go; what is left is encoded.
+
+Each stage is written to the shared folder and read again, so that a lost executor costs a stage at most. Defined results:
+null or empty texts: never toxic or contaminated, near duplicates of nothing, kept, and encoded as no ids; null keys:
+kept as documents, the largest where keys are compared; repeated rows and copies: one stays; very long texts: whole;
+empty tables: no rows (no benchmark: nothing goes; no labels: nothing is toxic); other columns, of any name, pass through
+all stages but the last, in which doc_id is the only one carried.
 """
 
 from __future__ import annotations
