@@ -1,32 +1,62 @@
 """Deconjugation: a surface's possible dictionary forms, by suffix rules applied again and again.
 
-The rules are the forward table turned round: (con_end, dec_end, con_tag, dec_tag, detail). A rule replaces the ending
-con_end by dec_end; it applies at first to any text, later only if the class reached so far is con_tag. Rules are
-looked up by the text's last one to seven characters, so that each step is a hash join.
+The rules are the forward table turned round: (con_end, dec_end, con_tag, dec_tag, detail, kind). A rule replaces the
+ending con_end by dec_end. At first any rule applies and gives the text the classes con_tag and dec_tag; later only one
+whose con_tag is the class reached last, or "uninflectable". Kinds narrow that down:
+- "only final": first only; "never final": later only;
+- "v1inftrap": not to a text whose one class is stem-ren; "saspecial": not where さ precedes the ending; "never": not at all;
+- "substitution": the ending changes, whatever the classes, unless the text was met before.
+A rule without a detail may not come first. Texts grow by ten characters at most and classes by six over the length of
+the surface, so that every chain ends; nothing else bounds them. Forms are looked up by the ending of the text.
+
+Each distinct surface is analysed once, in one Arrow pass: a chain of joins would repeat all steps before it in each.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.verbs import EUPHONY, GODAN, ROW_A, ROW_E, ROW_I, ROW_O, TERMINAL
 
-#: Classes that an ending belongs to once it is reached: what can be conjugated further.
-_VERB_LIKE = {"causative": "v1", "passive": "v1", "potential": "v1", "negative": "adj-i", "want": "adj-i", "progressive": "v1", "completion": "v5u", "polite": "masu"}
-DEPTH, LONGEST = 8, 7
+#: Rules of a user's own table that are sent to tasks; more are refused.
+MOST_RULES = 100_000
+KINDS = ("", "only final", "never final", "v1inftrap", "saspecial", "never", "substitution")
+
+
+class Rule(NamedTuple):
+    con_end: str
+    dec_end: str
+    con_tag: str
+    dec_tag: str
+    detail: str
+    kind: str = ""
+
+
+class Form(NamedTuple):
+    text: str
+    tags: tuple[str, ...]
+    #: details, innermost last
+    process: tuple[str, ...]
 
 
 def _row(last: str, row: str) -> str:
     return row[TERMINAL.index(last)]
 
 
-def rule_rows() -> list[tuple[str, str, str, str, str]]:
+@lru_cache(1)
+def rule_rows() -> list[Rule]:
     """All rules, from the conjugation tables."""
-    out: set[tuple[str, str, str, str, str]] = set()
+    out: set[Rule] = set()
 
-    def add(con: str, dec: str, con_tag: str, dec_tag: str, detail: str) -> None:
-        out.add((con, dec, con_tag, dec_tag, detail))
+    def add(con: str, dec: str, con_tag: str, dec_tag: str, detail: str, kind: str = "") -> None:
+        out.add(Rule(con, dec, con_tag, dec_tag, detail, "only final" if con_tag == "end" and detail == "imperative" else kind))
 
     def te_like(te: str, dec: str, tag: str) -> None:
         ta = te[:-1] + ("だ" if te[-1] == "で" else "た")
@@ -38,7 +68,15 @@ def rule_rows() -> list[tuple[str, str, str, str, str]]:
         add(te + "る", dec, "v1", tag, "progressive")
         add(te + "しまう", dec, "v5u", tag, "completion")
         add((te[:-1] + ("じゃう" if te[-1] == "で" else "ちゃう")), dec, "v5u", tag, "completion")
+        add((te[:-1] + ("じまう" if te[-1] == "で" else "ちまう")), dec, "v5u", tag, "completion")
         add(te + "おく", dec, "v5k", tag, "preparative")
+        add((te[:-1] + ("どく" if te[-1] == "で" else "とく")), dec, "v5k", tag, "preparative")
+        add((te[:-1] + ("どる" if te[-1] == "で" else "とる")), dec, "v5r", tag, "toru (teoru)")
+        add(te + "いく", dec, "v5k-s", tag, "going")
+        add(te + "くる", dec, "vk", tag, "coming")
+        add(te + "もらう", dec, "v5u", tag, "receiving")
+        add(te + "くれる", dec, "v1", tag, "giving")
+        add(te + "あげる", dec, "v1", tag, "giving")
         add(te + "みる", dec, "v1", tag, "attempt")
         add(te + "ください", dec, "end", tag, "polite request")
 
@@ -56,6 +94,13 @@ def rule_rows() -> list[tuple[str, str, str, str, str]]:
         add(i + "たい", dec, "adj-i", tag, "want")
         add(i + "ながら", dec, "end", tag, "while")
         add(i + "そう", dec, "end", tag, "seemingness")
+        add(i + "そうだ", dec, "end", tag, "seemingness")
+        add(i + "すぎる", dec, "v1", tag, "excess")
+        add(i + "やすい", dec, "adj-i", tag, "easy")
+        add(i + "にくい", dec, "adj-i", tag, "hard")
+        add(a + ("さす" if ichidan else "す"), dec, "v5s", tag, "short causative", "saspecial")
+        add(a + "ねえ", dec, "end", tag, "slang negative")
+        add(a + "ん", dec, "end", tag, "slang negative")
 
     for tag, last in GODAN.items():
         if tag in ("v5r-i", "v5aru", "v5u-s", "v5k-s"):
@@ -84,11 +129,11 @@ def rule_rows() -> list[tuple[str, str, str, str, str]]:
         add(con, "い", tag, "adj-i", detail)
     for con, detail in (("ました", "past"), ("ません", "negative"), ("ませんでした", "negative past"), ("まして", "te"), ("ましょう", "volitional")):
         add(con, "ます", "end", "masu", detail)
-    return sorted(r for r in out if r[0])
+    return sorted(r for r in out if r.con_end)
 
 
 def rules(spark) -> DataFrame:
-    return spark.createDataFrame(rule_rows(), "con_end string, dec_end string, con_tag string, dec_tag string, detail string")
+    return spark.createDataFrame(rule_rows(), "con_end string, dec_end string, con_tag string, dec_tag string, detail string, kind string")
 
 
 def expand_rules(df: DataFrame) -> DataFrame:
@@ -106,35 +151,97 @@ def rules_sql() -> str:
 
 
 def recursion_sql(source: str, rule_source: str) -> str:
-    """Forms reachable from the texts of `source` (text): recursive SQL that Spark and DuckDB both run."""
+    """Forms reachable from the texts of `source` (text): recursive SQL that Spark and DuckDB both run, for rules of the
+    kinds "", "only final", "never final" and "saspecial"."""
     return f"""WITH RECURSIVE forms(original, form, tag, process, depth) AS (
         SELECT text AS original, text AS form, CAST('' AS STRING) AS tag, CAST('' AS STRING) AS process, 0 AS depth FROM {source}
-        UNION ALL
+        UNION
         SELECT f.original, concat(substring(f.form, 1, length(f.form) - length(r.con_end)), r.dec_end), r.dec_tag,
             concat(r.detail, CASE WHEN f.process = '' THEN '' ELSE '→' END, f.process), f.depth + 1
         FROM forms f JOIN (SELECT * FROM {rule_source}) r
-            ON r.con_end = right(f.form, length(r.con_end)) AND (f.tag = '' OR f.tag = r.con_tag)
-        WHERE f.depth < {DEPTH} AND length(f.form) >= length(r.con_end) AND length(f.form) - length(r.con_end) + length(r.dec_end) BETWEEN 1 AND length(f.original) + 10
+            ON r.con_end = right(f.form, length(r.con_end)) AND (f.tag = '' OR f.tag = r.con_tag OR r.con_tag = 'uninflectable')
+        WHERE (r.kind <> 'only final' OR f.tag = '') AND (r.kind <> 'never final' OR f.tag <> '')
+            AND (r.kind <> 'saspecial' OR substring(f.form, 1, length(f.form) - length(r.con_end)) NOT LIKE '%さ')
+            AND (f.depth = 0 OR f.depth + 1 <= length(f.original) + 6) AND length(f.form) <= length(f.original) + 10
+            AND length(f.form) - length(r.con_end) + length(r.dec_end) > 0
     ) SELECT DISTINCT original, form, tag, process FROM forms WHERE depth > 0"""
 
 
-def deconjugate(df: DataFrame, text: str, rule_table: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
-    """original, form, tag, process (outermost last) of every reachable form, intermediate ones too."""
-    spark = df.sparkSession
-    table = rule_table if rule_table is not None else rules(spark)
-    table = F.broadcast(table.withColumn("size", F.char_length("con_end")))  # a fixed table
-    step = df.select(F.col(text).alias("original")).distinct().select("original", F.col("original").alias("form"), F.lit("").alias("tag"), F.lit("").alias("process"))
-    out = None
-    for _ in range(depth):
-        suffixes = step.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.char_length("form"), F.lit(LONGEST)))))
-        suffixes = suffixes.withColumn("con_end", F.expr("right(form, size)"))
-        hit = suffixes.join(table, ["size", "con_end"]).where("tag = '' or tag = con_tag")
-        form = F.concat(F.expr("substring(form, 1, char_length(form) - size)"), "dec_end")
-        process = F.concat("detail", F.when(F.col("process") == "", "").otherwise("→"), "process")
-        step = hit.select("original", form.alias("form"), F.col("dec_tag").alias("tag"), process.alias("process"))
-        step = step.where("form <> '' and char_length(form) <= char_length(original) + 10").distinct()
-        out = step if out is None else out.unionByName(step)
-    return out.distinct()
+class Deconjugator:
+    """Forms of surfaces under a table of rules."""
+
+    def __init__(self, table: Iterable[Rule]):
+        self.by_end: dict[str, list[Rule]] = defaultdict(list)
+        for rule in table:
+            if rule.kind not in KINDS:
+                raise ValueError(f"unknown kind of rule {rule.kind!r}")
+            self.by_end[rule.con_end].append(rule)
+        self.longest = max(map(len, self.by_end), default=0)
+
+    def _step(self, original: str, form: Form, met: frozenset[str]) -> Iterator[tuple[Form, frozenset[str]]]:
+        text, tags, process = form
+        grown = len(text) > len(original) + 10 or len(tags) > len(original) + 6
+        for size in range(min(self.longest, len(text)) + 1):
+            head = text[: len(text) - size]
+            for rule in self.by_end.get(text[len(head) :], ()):
+                new = head + rule.dec_end
+                details = (rule.detail, *process) if rule.detail else process
+                if rule.kind == "substitution":
+                    if size and new not in met:
+                        yield Form(new, tags, details), met | {new}
+                    continue
+                wrong_class = bool(tags) and rule.con_tag not in ("uninflectable", tags[-1])
+                wrong_place = {"only final": bool(tags), "never final": not tags, "never": True, "v1inftrap": tags == ("stem-ren",), "saspecial": head.endswith("さ")}.get(rule.kind, False)
+                if not (grown or wrong_class or wrong_place or not new or not (rule.detail or tags)):
+                    yield Form(new, (*(tags or (rule.con_tag,)), rule.dec_tag), details), met
+
+    def forms(self, surface: str) -> list[Form]:
+        """Every form that rules reach with at least one detail, in the order of the number of steps."""
+        start = Form(surface, (), ())
+        seen, out, now = {start}, [], [(start, frozenset([surface]))] if surface else []
+        while now:
+            later = []
+            for form, met in now:
+                for new, new_met in self._step(surface, form, met):
+                    if new not in seen:
+                        seen.add(new)
+                        later.append((new, new_met))
+            out += [f for f, _ in later if f.process]
+            now = later
+        return out
+
+
+@lru_cache(4)
+def _deconjugator(table: tuple[Rule, ...]) -> Deconjugator:
+    return Deconjugator(table)
+
+
+def default_deconjugator() -> Deconjugator:
+    return _deconjugator(tuple(rule_rows()))
+
+
+def collected_rules(table: DataFrame) -> tuple[Rule, ...]:
+    """The rules of a table; one of more than MOST_RULES is refused, as every task gets them all."""
+    kind = F.coalesce("kind", F.lit("")) if "kind" in table.columns else F.lit("")
+    rows = table.select("con_end", "dec_end", "con_tag", "dec_tag", "detail", kind.alias("kind")).limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"a table of over {MOST_RULES} rules")
+    return tuple(sorted(Rule(*(v or "" for v in r)) for r in rows))
+
+
+def deconjugate(df: DataFrame, text: str, rule_table: DataFrame | None = None) -> DataFrame:
+    """original, form, tag, process (outermost last) of every reachable form, intermediate ones too. Null or empty
+    surfaces have none."""
+    table = tuple(rule_rows()) if rule_table is None else collected_rules(rule_table)
+
+    def run(batches):
+        find = _deconjugator(table).forms
+        for batch in batches:
+            rows = dict.fromkeys((surface, f.text, f.tags[-1] if f.tags else "", "→".join(f.process)) for surface in batch.column(0).to_pylist() for f in find(surface))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], names=["original", "form", "tag", "process"])
+
+    surfaces = df.select(F.col(text).alias("original")).where("original <> ''").distinct()
+    return surfaces.mapInArrow(run, "original string, form string, tag string, process string")
 
 
 def deconjugate_to_lemma(df: DataFrame, text: str, lemma: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphmill.plans import japanese, search, tokens
+from glyphmill.plans import japanese, rewriting, search, tokens
 
-QUERIES: dict = {**tokens.QUERIES, **search.QUERIES, **japanese.QUERIES}
-ORACLES: dict[str, str] = {**tokens.ORACLES, **search.ORACLES, **japanese.ORACLES}
+QUERIES: dict = {**tokens.QUERIES, **search.QUERIES, **japanese.QUERIES, **rewriting.QUERIES}
+ORACLES: dict[str, str] = {**tokens.ORACLES, **search.ORACLES, **japanese.ORACLES, **rewriting.ORACLES}

@@ -61,7 +61,7 @@ ORACLES["verb_classes"] = _rows("kind, n", ("godan", 13), ("ichidan", 2), ("irre
 
 _SURFACES = ("書かなかった", "飲んでいる", "食べさせられた", "行きたくない", "高くなかった", "来ました")
 QUERIES["deconjugate"] = lambda spark, sf_dir: dec.deconjugate(spark.sql(_rows("text", *((s,) for s in _SURFACES))), "text")
-ORACLES["deconjugate"] = dec.recursion_sql(f"({_rows('text', *((s,) for s in _SURFACES))})", f"(VALUES {dec.rules_sql()}) AS q(con_end, dec_end, con_tag, dec_tag, detail)")
+ORACLES["deconjugate"] = dec.recursion_sql(f"({_rows('text', *((s,) for s in _SURFACES))})", f"(VALUES {dec.rules_sql()}) AS q(con_end, dec_end, con_tag, dec_tag, detail, kind)")
 
 
 def _to_lemma(spark, sf_dir):
@@ -129,7 +129,7 @@ ORACLES["rewrite_misparse"] = _rows("id, surface, dictionary_form, cls", (2, "
 QUERIES["rewrite_readings"] = lambda spark, sf_dir: _rewritten(spark, ("disambiguation_fix_reading_ambiguity",)).where("rules <> ''").select("id", "surface", "reading", "cls")
 ORACLES["rewrite_readings"] = _rows("id, surface, reading, cls", (1, "時", "ジ", "noun"), (3, "何", "ナニ", "pronoun"), (4, "私", "ワタシ", "pronoun"))
 QUERIES["rewrite_pipeline"] = lambda spark, sf_dir: _rewritten(spark).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "surface"))), lambda s: s["surface"]), "/").alias("surfaces"))
-ORACLES["rewrite_pipeline"] = _rows("id, surfaces", (1, "三/時/には"), (2, "食べて/そう/だろう"), (3, "一人/何/を"), (4, "私/は/さ/読ん/だ"))
+ORACLES["rewrite_pipeline"] = _rows("id, surfaces", (1, "三/時/には"), (2, "食べて/そう/だろう"), (3, "一人/何/を"), (4, "私/は/さ/読んだ"))
 
 # ---------------------------------------------------------------- structure
 
@@ -215,7 +215,7 @@ def _lexicon_rules(spark, sf_dir):
 QUERIES["rewrite_lexicon"] = _lexicon_rules
 ORACLES["rewrite_lexicon"] = _rows(
     "id, ord, surface, dictionary_form, cls, rules", (1, 0, "お茶", "お茶", "noun", "combine_prefixes"), (2, 0, "お金", "金", "noun", "repair_honorific_lemma"), (3, 0, "ほんと", "ほんと", "interjection", "repair_fused_interjection_particle"), (3, 1, "ね", "ね", "particle", "repair_fused_interjection_particle"),
-    (4, 0, "走っている", "走る", "verb", "combine_tte,combine_verb_dependant"), (5, 0, "は", "は", "particle", ""), (5, 1, "的", "的", "noun", "cleanup_reclassify_orphaned_suffixes"),
+    (4, 0, "走っている", "走る", "verb", "combine_inflections"), (5, 0, "は", "は", "particle", ""), (5, 1, "的", "的", "suffix", ""),
 )
 _INFLECTED = ((1, 0, "書か", "カカ", "書く", "動詞-一般"), (1, 1, "なかっ", "ナカッ", "ない", "助動詞-*"), (1, 2, "た", "タ", "た", "助動詞-*"), (1, 3, "本", "ホン", "本", "名詞-普通名詞"), (2, 0, "食べ", "タベ", "食べる", "動詞-一般"), (2, 1, "まし", "マシ", "ます", "助動詞-*"), (2, 2, "た", "タ", "た", "助動詞-*"), (2, 3, "よ", "ヨ", "よ", "助詞-終助詞"))
 QUERIES["rewrite_inflections"] = lambda spark, sf_dir: rw.inflections(_more_streams(spark, _INFLECTED), "id").select("id", "surface", "dictionary_form")
