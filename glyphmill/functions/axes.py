@@ -71,3 +71,66 @@ def conjugate_chain(word: Column, tag: Column, auxiliaries: list[str], form: str
             return word
         tag = F.lit(cls)
     return word if form == "dictionary" else _any(word, tag, form)
+
+
+#: What the details of a deconjugation say of the axes (fixed values): detail -> values that it sets.
+PROCESS = {
+    "past": {"tense": "past"}, "polite": {"politeness": "polite"}, "potential": {"voice": "potential"}, "causative passive": {"voice": "causative_passive"},
+    **dict.fromkeys(("negative", "archaic negative", "archaic attributive negative", "adverbial negative", "slurred negative"), {"polarity": "negative"}),
+    **dict.fromkeys(("causative", "short causative"), {"voice": "causative"}), **dict.fromkeys(("passive", "passive/potential", "passive/potential/honorific"), {"voice": "passive"}),
+    **dict.fromkeys(("honorific", "honorific (ksb)"), {"voice": "honorific"}),
+    **dict.fromkeys(("imperative", "imperative (ksb)", "polite imperative", "casual polite imperative", "polite request"), {"mood": "imperative"}), "imperative negative": {"mood": "imperative_negative"},
+    "volitional": {"mood": "volitional"}, "polite volitional": {"mood": "volitional", "politeness": "polite"}, "want": {"mood": "desiderative"}, "garu": {"mood": "desiderative_other"},
+    **dict.fromkeys(("(te)", "te"), {"mood": "te"}), "polite te": {"mood": "te", "politeness": "polite"},
+    **dict.fromkeys(("conditional", "provisional conditional", "classical hypothetical conditional", "negative conditional", "polite conditional", "formal conditional", "colloquial negative conditional"), {"mood": "conditional_ba"}),
+    "polite past": {"politeness": "polite", "tense": "past"}, **dict.fromkeys(("polite negative", "formal negative"), {"politeness": "polite", "polarity": "negative"}),
+    **dict.fromkeys(("polite past negative", "formal negative past"), {"politeness": "polite", "polarity": "negative", "tense": "past"}),
+    **dict.fromkeys(("(stem)", "(masu stem)", "(mizenkei)", "(izenkei)", "(adverbial stem)", "(ka stem)", "(ke stem)", "('a' stem)", "(unstressed infinitive)", ""), {}),
+}
+_AXES = {"voice": "active", "politeness": "plain", "polarity": "affirmative", "tense": "nonpast", "mood": "indicative"}
+
+
+def axes_of_process(process: Column, lenient: bool = False) -> Column:
+    """struct(voice, politeness, polarity, tense, mood) that an array of details (outermost first) stands for, applied from
+    the innermost on; null if a detail says nothing known, unless lenient, where it is passed over."""
+    known = F.array(*[F.lit(d) for d in PROCESS])
+
+    def set_by(state: Column, detail: Column) -> Column:
+        values = []
+        for axis in _AXES:
+            value = state[axis]
+            for made in sorted({x[axis] for x in PROCESS.values() if axis in x}):
+                value = F.when(detail.isin(*[d for d, x in PROCESS.items() if x.get(axis) == made]), made).otherwise(value)
+            values.append(value.alias(axis))
+        return F.struct(*values)
+
+    start = F.struct(*[F.lit(v).alias(axis) for axis, v in _AXES.items()])
+    out = F.aggregate(F.reverse(process), start, set_by)
+    return out if lenient else F.when(F.forall(process, lambda d: F.array_contains(known, d)), out)
+
+
+#: Details that stand for auxiliaries of a chain (fixed values).
+CHAIN_DETAILS = {
+    "teiru": "iru", "progressive": "iru", "teru": "iru", "tearu": "aru", "teoku": "oku", "preparative": "oku", "toku": "oku", "temiru": "miru", "attempt": "miru", "finish/completely/end up": "shimau", "completion": "shimau",
+    "coming": "kuru", "tekuru": "kuru", "going": "iku", "teiku": "iku", "receiving": "morau", "temorau": "morau", "giving": "kureru", "tekureru": "kureru", "teageru": "ageru", "too much": "sugiru", "excess": "sugiru",
+    "easy": "yasui", "hard": "nikui",
+}
+
+
+def chain_of_process(process: Column, lenient: bool = False) -> Column:
+    """struct(base, auxiliaries, last) that an array of details stands for: the auxiliaries in order, and the details of the
+    verb and of the last auxiliary as axes; a te before an auxiliary belongs to it. Null as in axes_of_process."""
+    ordered = F.reverse(process)
+    helpers = F.create_map(*[F.lit(x) for kv in CHAIN_DETAILS.items() for x in kv])
+    named = F.transform(ordered, lambda d: F.struct(d.alias("d"), F.try_element_at(helpers, d).alias("aux")))
+    own = F.filter(named, lambda x, i: ~(x["d"].isin("te", "(te)") & F.coalesce(F.get(named, i + 1)["aux"].isNotNull(), F.lit(False))))
+
+    def part(values: Column) -> Column:
+        return axes_of_process(F.reverse(F.transform(values, lambda x: x["d"])), lenient)
+
+    places = F.filter(F.transform(own, lambda x, i: F.when(x["aux"].isNotNull(), i)), lambda i: i.isNotNull())
+    begin, end = F.coalesce(F.array_min(places), F.size(own)), F.coalesce(F.array_max(places), F.lit(-1))
+    base = part(F.filter(own, lambda x, i: i < begin))
+    last = part(F.filter(own, lambda x, i: (i > end) & (F.size(places) > 0)))
+    out = F.struct(base.alias("base"), F.transform(F.filter(own, lambda x: x["aux"].isNotNull()), lambda x: x["aux"]).alias("auxiliaries"), last.alias("last"))
+    return out if lenient else F.when(base.isNotNull() & last.isNotNull(), out)

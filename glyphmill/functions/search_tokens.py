@@ -11,6 +11,31 @@ def is_function_word(pos1: Column, pos2: Column) -> Column:
     return (pos1 == "助動詞") | ((pos1 == "助詞") & (pos2 == "接続助詞"))
 
 
+def is_dependent_verb(pos1: Column, pos2: Column) -> Column:
+    """Verbs that can depend on another, which search keeps."""
+    return (pos1 == "動詞") & (pos2 == "非自立可能")
+
+
+def surfaces_only(tokens: Column) -> Column:
+    """The surfaces of search tokens, without those that share a position."""
+    return F.transform(F.filter(tokens, lambda t: ~t["is_colocated"]), lambda t: t["surface"])
+
+
+def with_compounds(text: Column, cuts: Column, normalized: bool = True) -> Column:
+    """struct(tokens, compounds) from one pass. Nothing is left out for its part of speech here, and the components are
+    named as the tokens are."""
+    name = "normalized_form" if normalized else "surface"
+    at = lambda n: F.octet_length(F.substring(text, F.lit(1), n))
+
+    def token(m: Column, colocated: bool) -> Column:
+        return F.struct(m[name].alias("surface"), at(m["start"]).alias("byte_start"), at(m["end"]).alias("byte_end"), F.lit(colocated).alias("is_colocated"))
+
+    inner = lambda c: F.filter(cuts["b"], lambda b: (b["start"] >= c["start"]) & (b["end"] <= c["end"]))
+    tokens = F.flatten(F.transform(cuts["c"], lambda c: F.concat(F.array(token(c, False)), F.transform(F.filter(inner(c), lambda b: b[name] != c[name]), lambda b: token(b, True)))))
+    found = F.transform(cuts["c"], lambda c: F.struct(c[name].alias("surface"), F.transform(inner(c), lambda b: b[name]).alias("components"), at(c["start"]).alias("byte_start"), at(c["end"]).alias("byte_end")))
+    return F.struct(tokens.alias("tokens"), F.filter(found, lambda x: F.size(x["components"]) > 1).alias("compounds"))
+
+
 def search_tokens(text: Column, cuts: Column, filtered: bool = True, normalized: bool = True) -> Column:
     """Array of (surface, byte_start, byte_end, is_colocated): each C token, then the B tokens inside it that differ."""
     keep = (lambda m: ~is_function_word(m["pos1"], m["pos2"])) if filtered else (lambda m: F.lit(True))
@@ -21,7 +46,7 @@ def search_tokens(text: Column, cuts: Column, filtered: bool = True, normalized:
         return F.struct(m[name].alias("surface"), at(m["start"]).alias("byte_start"), at(m["end"]).alias("byte_end"), F.lit(colocated).alias("is_colocated"))
 
     def of(c: Column) -> Column:
-        inner = F.filter(cuts["b"], lambda b: (b["start"] >= c["start"]) & (b["end"] <= c["end"]) & (b["surface"] != c["surface"]) & keep(b))
+        inner = F.filter(cuts["b"], lambda b: (b["start"] >= c["start"]) & (b["end"] <= c["end"]) & (b[name] != c[name]) & keep(b))
         return F.concat(F.array(token(c, False)), F.transform(inner, lambda b: token(b, True)))
 
     return F.flatten(F.transform(F.filter(cuts["c"], keep), of))

@@ -11,6 +11,35 @@ from pyspark.sql import functions as F
 FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
+#: Endings that light stemmers take off, longest first, with what replaces some of them: language -> (least letters of a
+#: word, letters that stay at least, endings, replaced endings) (fixed values).
+STEMS: dict[str, tuple[int, int, tuple[str, ...], dict[str, str]]] = {
+    "danish": (5, 3, ("erne", "ene", "ere", "er", "en", "et", "es", "e", "s"), {}),
+    "dutch": (5, 3, ("heden", "eren", "en", "je", "s", "e"), {}),
+    "finnish": (6, 3, ("ssa", "ssä", "sta", "stä", "lla", "llä", "lta", "ltä", "lle", "iin", "ien", "jen", "en", "in", "an", "än", "a", "ä", "n", "t"), {}),
+    "french": (5, 3, ("issement", "issant", "ement", "ments", "ment", "euses", "euse", "ives", "ées", "ants", "ante", "ant", "ons", "ent", "és", "ée", "er", "ez", "es", "é", "e", "s"), {"ives": "if", "euses": "eux", "euse": "eux"}),
+    "german": (5, 3, ("heiten", "keiten", "ungen", "erinnen", "innen", "ern", "ung", "est", "em", "en", "er", "es", "st", "e", "n", "s"), {}),
+    "hungarian": (5, 3, ("oknak", "eknek", "ban", "ben", "nak", "nek", "val", "vel", "hoz", "hez", "tól", "től", "ok", "ek", "ak", "at", "et", "ot", "k", "t"), {}),
+    "italian": (5, 3, ("azioni", "azione", "amente", "mente", "ando", "endo", "are", "ere", "ire", "ato", "ata", "ati", "ate", "o", "a", "i", "e"), {}),
+    "norwegian": (5, 3, ("ene", "ane", "ers", "er", "en", "et", "es", "e", "s"), {}),
+    "portuguese": (5, 3, ("amentos", "amento", "mente", "ações", "ação", "ando", "endo", "ar", "er", "ir", "os", "as", "es", "o", "a", "e", "s"), {}),
+    "romanian": (5, 3, ("urilor", "elor", "ilor", "ului", "ului", "uri", "ele", "ea", "ul", "ii", "ei", "e", "i", "a"), {}),
+    "russian": (5, 3, ("иями", "ями", "ами", "ого", "ему", "ому", "ыми", "ими", "ией", "ах", "ях", "ов", "ев", "ам", "ям", "ом", "ем", "ой", "ей", "ый", "ий", "ая", "яя", "ое", "ее", "ые", "ие", "ы", "и", "а", "я", "о", "е", "у", "ю", "ь"), {}),
+    "spanish": (5, 3, ("amientos", "amiento", "aciones", "ación", "mente", "ando", "iendo", "ados", "adas", "ado", "ada", "ar", "er", "ir", "os", "as", "es", "o", "a", "e", "s"), {}),
+    "swedish": (5, 3, ("orna", "arna", "erna", "ande", "are", "ar", "er", "or", "en", "et", "na", "a", "e", "s"), {}),
+    "turkish": (5, 3, ("lerinden", "larından", "lerin", "ların", "lerde", "larda", "ler", "lar", "den", "dan", "nin", "nın", "de", "da", "in", "ın", "i", "ı"), {}),
+}
+#: The commonest function words, by language (fixed values).
+STOPWORDS: dict[str, tuple[str, ...]] = {
+    "danish": ("og", "i", "at", "det", "en", "den", "til", "er", "som", "på", "de", "med", "af", "for", "ikke"), "dutch": ("de", "en", "van", "ik", "te", "dat", "die", "in", "een", "hij", "het", "niet", "is", "op", "aan"),
+    "english": ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"),
+    "finnish": ("ja", "on", "ei", "se", "että", "oli", "mutta", "kun", "niin", "myös", "hän", "ovat"), "french": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "a", "par", "plus", "pas", "au", "sur", "ne", "se", "ce", "il"),
+    "german": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch", "es", "an", "er", "so"), "hungarian": ("a", "az", "és", "hogy", "nem", "is", "egy", "ez", "van", "meg"),
+    "italian": ("di", "e", "il", "la", "che", "in", "a", "per", "un", "del", "non", "sono", "una", "con", "le", "i", "si", "da"), "norwegian": ("og", "i", "det", "på", "som", "er", "en", "til", "å", "han", "av", "for", "med", "ikke"),
+    "portuguese": ("de", "a", "o", "que", "e", "do", "da", "em", "um", "para", "com", "não", "uma", "os", "no", "se", "na"), "romanian": ("și", "în", "de", "la", "a", "cu", "nu", "o", "că", "pe", "un", "din"),
+    "russian": ("и", "в", "не", "на", "я", "что", "он", "с", "это", "а", "как", "по", "но", "к", "у", "из", "за"), "spanish": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al", "lo"),
+    "swedish": ("och", "i", "att", "det", "som", "en", "på", "är", "av", "för", "med", "till", "den", "inte"), "turkish": ("ve", "bir", "bu", "da", "de", "için", "ile", "çok", "ne", "o"),
+}
 KINDS = (
     "alias", "literal", "literal_normalized", "simple", "whitespace", "unicode_words", "ngram", "regex_pattern",
     "source_code", "chinese_compatible", "lindera", "jieba", "lattice",
@@ -30,16 +59,24 @@ class Tokenizer:
     pattern: str = r"\w+"
     ascii_folding: bool = False
     stopwords: tuple[str, ...] = field(default=())
+    stopwords_language: str | None = None
     stemmer: str | None = None
-    lexicon: tuple[tuple, ...] | None = None  # as lattice.LEXICON; of the kind lattice, which has a small one, and of lindera and jieba
+    mode: str = "c"  # of lattice and lindera: c, b, a (coarse to fine), or search (c, and b where it differs)
+    lexicon: tuple[tuple, ...] | None = None  # of lattice, lindera (as lattice.LEXICON) and jieba (word, frequency); each has a small one
+    user_lexicon: tuple[tuple, ...] = field(default=())  # entries that go before the lexicon's
 
     def __post_init__(self):
         if self.kind not in KINDS:
             raise ValueError(f"unknown tokenizer {self.kind!r}; known: {', '.join(KINDS)}")
-        if self.stemmer not in (None, "english"):
-            raise ValueError(f"no stemmer {self.stemmer!r} is built; known: english")
-        if self.kind in ("lindera", "jieba") and not self.lexicon:
-            raise ValueError(f"{self.kind} needs a lexicon, none comes with the package")
+        if self.stemmer not in (None, "english", *STEMS):
+            raise ValueError(f"no stemmer {self.stemmer!r}; known: {', '.join(['english', *STEMS])}")
+        if self.stopwords_language is not None and self.stopwords_language not in STOPWORDS:
+            raise ValueError(f"no stop words for {self.stopwords_language!r}; known: {', '.join(STOPWORDS)}")
+        if self.mode not in ("a", "b", "c", "search"):
+            raise ValueError(f"unknown mode {self.mode!r}")
+
+    def all_stopwords(self) -> tuple[str, ...]:
+        return (*self.stopwords, *STOPWORDS.get(self.stopwords_language or "", ()))
 
 
 def ngrams(text: Column, least: int, most: int, prefix_only: bool = False) -> Column:
@@ -80,9 +117,12 @@ def split_words(text: Column, options: Tokenizer) -> Column:
         return source_code(text)
     if kind == "chinese_compatible":
         return F.regexp_extract_all(text, F.lit(r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}]|[^\s\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}]+"), F.lit(0))
-    from glyphmill.functions.lattice import LEXICON, surfaces
+    from glyphmill.functions import lattice
 
-    return surfaces(text, lexicon=options.lexicon or LEXICON)
+    if kind == "jieba":
+        return lattice.frequent_words(text, options.lexicon or lattice.WORD_FREQUENCIES, options.user_lexicon)
+    lexicon = lattice.layered(options.lexicon or lattice.LEXICON, options.user_lexicon)
+    return lattice.search_surfaces(text, lexicon) if options.mode == "search" else lattice.surfaces(text, options.mode, lexicon)
 
 
 def stem_english(token: Column) -> Column:
@@ -95,6 +135,16 @@ def stem_english(token: Column) -> Column:
     return out.otherwise(token)
 
 
+def stem_light(token: Column, language: str) -> Column:
+    """A word without the longest of a language's endings, where enough letters stay."""
+    least, stay, endings, replaced = STEMS[language]
+    ordered = sorted(dict.fromkeys(endings), key=lambda e: (-len(e), e))
+    stemmed = F.regexp_replace(token, f"^(.{{{stay},}}?)(?:{'|'.join(ordered)})$", "$1")
+    for ending, new in replaced.items():
+        stemmed = F.when(token.rlike(f"^.{{{stay},}}{ending}$"), F.regexp_replace(token, f"{ending}$", new)).otherwise(stemmed)
+    return F.when(F.char_length(token) >= least, stemmed).otherwise(token)
+
+
 def _raw(text: Column, options: Tokenizer) -> tuple[Column, bool]:
     """The split text, and whether it is lower-case already."""
     early = options.lowercase and options.kind in ("simple", "whitespace")  # the same tokens, one call a text
@@ -113,13 +163,15 @@ def _shaped(token: Column, options: Tokenizer, lowered: bool) -> Column:
 def _kept(token: Column, options: Tokenizer) -> Column | None:
     """Whether a shaped token stays; None if all do."""
     tests = [F.char_length(token) <= options.remove_long] if options.remove_long else []
-    if options.stopwords:
-        tests.append(~token.isin(*options.stopwords))
+    if options.all_stopwords():
+        tests.append(~token.isin(*options.all_stopwords()))
     return tests[0] & tests[1] if len(tests) == 2 else tests[0] if tests else None
 
 
 def _final(token: Column, options: Tokenizer) -> Column:
-    return stem_english(token) if options.stemmer == "english" else token
+    if options.stemmer is None:
+        return token
+    return stem_english(token) if options.stemmer == "english" else stem_light(token, options.stemmer)
 
 
 def tokenize(text: Column, options: Tokenizer = Tokenizer()) -> Column:
@@ -127,7 +179,7 @@ def tokenize(text: Column, options: Tokenizer = Tokenizer()) -> Column:
     out, lowered = _raw(text, options)
     if (options.lowercase and not lowered) or options.ascii_folding:
         out = F.transform(out, lambda t: _shaped(t, options, lowered))
-    if options.remove_long or options.stopwords:
+    if options.remove_long or options.all_stopwords():
         out = F.filter(out, lambda t: _kept(t, options))
     if options.stemmer:
         out = F.transform(out, lambda t: _final(t, options))

@@ -152,3 +152,41 @@ def conjugations(df: DataFrame, word: str, tag: str, forms: list[str] | None = N
 
     rows = df.select("*", F.explode(F.array(*[one(f) for f in names])).alias("_c"))
     return rows.select(*df.columns, "_c.form", "_c.surface").where("surface is not null")
+
+
+#: The copula by register and form (fixed values).
+COPULA = {
+    "da": {"dictionary": "だ", "negative": "じゃない", "past": "だった", "negative_past": "じゃなかった", "te": "で", "conditional_ba": "なら", "conditional_tara": "だったら", "provisional_nara": "なら", "conjectural": "だろう"},
+    "desu": {
+        "dictionary": "です", "negative": "じゃないです", "past": "でした", "negative_past": "じゃなかったです", "te": "でして", "conjectural": "でしょう", "polite_negative": "じゃありません", "polite_negative_past": "じゃありませんでした",
+    },
+    "dearu": {
+        "dictionary": "である", "negative": "ではない", "past": "であった", "negative_past": "ではなかった", "te": "であって", "polite": "であります", "polite_past": "でありました", "polite_negative": "ではありません",
+    },
+}
+#: Forms that are bases, negative, past, polite (fixed values).
+FORM_FLAGS = {
+    "base": ("dictionary", "stem_renyou", "stem_mizen", "stem_izen", "stem_meirei"),
+    "negative": (
+        "negative", "negative_past", "negative_te", "negative_ba", "negative_nu", "negative_zu", "negative_without_doing", "polite_negative", "polite_negative_past", "potential_negative", "volitional_negative",
+        "imperative_negative", "prohibition",
+    ),
+    "past": ("past", "past_tara", "past_tari", "negative_past", "polite_past", "polite_negative_past"),
+    "polite": ("polite", "polite_past", "polite_negative", "polite_negative_past", "polite_te", "polite_volitional", "conjectural_polite", "explanatory_polite"),
+}
+
+
+def conjugate_copula(register: Column, form: Column) -> Column:
+    """The copula of a register (da, desu, dearu) in a form; null where there is none."""
+    table = F.create_map(*[F.lit(x) for r, forms in COPULA.items() for f, surface in forms.items() for x in (f"{r}/{f}", surface)])
+    return F.try_element_at(table, F.concat_ws("/", register, form))
+
+
+def conjugate_explanatory(register: Column, form: Column, contracted: bool = False) -> Column:
+    """の, or ん where contracted, with the copula."""
+    return F.concat(F.lit("ん" if contracted else "の"), conjugate_copula(register, form))
+
+
+def form_flags(form: Column) -> Column:
+    """struct(is_base, is_negative, is_past, is_polite) of a form."""
+    return F.struct(*[form.isin(*forms).alias(f"is_{flag}") for flag, forms in FORM_FLAGS.items()])

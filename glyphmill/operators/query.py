@@ -7,7 +7,8 @@ set, fuzzy, regex). Boolean: sum of must and should. Everything is a plan over t
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -186,11 +187,13 @@ class ConstScore(Query):
 
 @dataclass(frozen=True)
 class MoreLikeThis(Query):
-    """The best terms of a document (by key) or of given text, by tf-idf within bounds."""
+    """The best terms of a document (by key), of given text, or of a given document ({field: text}, or that as JSON), by
+    tf-idf within bounds; over one field, or over several, whose scores add up."""
 
-    field: str
+    field: str | tuple[str, ...]
     key: object = None
     text: str | None = None
+    document: str | dict[str, str] | None = None
     min_doc_frequency: int = 5
     max_doc_frequency: int | None = None
     min_term_frequency: int = 2
@@ -201,6 +204,14 @@ class MoreLikeThis(Query):
     stopwords: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class WithIndex(Query):
+    """A query bound to an index of its own, wherever it stands; its keys are those of the index around it."""
+
+    index: object
+    query: Query
+
+
 @dataclass(frozen=True)
 class Near:
     """A proximity clause: terms (alternatives), a pattern over terms, or two clauses at a distance."""
@@ -288,8 +299,8 @@ def tokens_of(index: Index, field: str, text: str | tuple[str, ...], tokenizer:
     """Query text goes through the field's own tokenizer, unless it comes as tokens."""
     if not isinstance(text, str):
         return list(text)
-    one = index.rows.sparkSession.range(1).select(tokenize(F.lit(text), tokenizer or index.fields[field]).alias("t"))
-    return one.first()["t"]
+    one = index.rows.sparkSession.createDataFrame([(text,)], "text string")  # a local relation, which needs no job
+    return one.select(tokenize(F.col("text"), tokenizer or index.fields[field]).alias("t")).collect()[0]["t"]
 
 
 def _damerau(term: Column, value: str, distance: int) -> Column:
@@ -422,6 +433,23 @@ def best_terms(index: Index, q: MoreLikeThis) -> DataFrame:
     return counted.withColumn("weight", F.col("tf") * _idf(F.col("df").cast("double"), n)).orderBy(F.desc("weight"), "term").limit(q.max_query_terms)
 
 
+def _like_document(index: Index, q: MoreLikeThis) -> DataFrame:
+    """More like this over each of several fields, or those that a document gives."""
+    given = json.loads(q.document) if isinstance(q.document, str) else q.document
+    names = [q.field] if isinstance(q.field, str) else list(q.field)
+    if given is not None:
+        names = [n for n in names if given.get(n)]
+    each = [_compile(index, replace(q, field=n, document=None, text=given[n] if given is not None else q.text)) for n in names]
+    if not each:
+        return _none(index)
+    return reduce(DataFrame.unionByName, each).groupBy(index.key).agg(F.sum("score").alias("score"))
+
+
+def bm25(index: Index, query: Query) -> DataFrame:
+    """(key, rank) of every match, the rank being the negated score: the best come first in ascending order."""
+    return search(index, query).select(index.key, (-F.col("score")).alias("rank"))
+
+
 def _compile(index: Index, q: Query) -> DataFrame:
     key = index.key
     match q:
@@ -485,6 +513,10 @@ def _compile(index: Index, q: Query) -> DataFrame:
             return _compile(index, query).select(key, (F.col("score") * F.lit(float(factor))).alias("score"))
         case ConstScore(query, score):
             return _constant(_compile(index, query).select(key), score)
+        case WithIndex(own, query):
+            return _compile(own, query).select(F.col(own.key).alias(key), "score")
+        case MoreLikeThis(field) if not isinstance(field, str) or q.document is not None:
+            return _like_document(index, q)
         case MoreLikeThis(field):
             terms = [r["term"] for r in best_terms(index, q).collect()]  # at most max_query_terms
             found = _terms_any(index, field, terms).select(key, (F.col("score") * F.lit(float(q.boost_factor))).alias("score"))

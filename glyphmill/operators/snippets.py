@@ -18,23 +18,40 @@ def _once(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def _literal(tag: str) -> str:
+    """A tag as a replacement means itself, dollars and backslashes too."""
+    return tag.replace("\\", "\\\\").replace("$", "\\$")
+
+
 def highlight(text: Column, terms: list[str], start: str = "<b>", end: str = "</b>") -> Column:
-    """The text with each whole-word hit between tags."""
-    return F.regexp_replace(text, _pattern(terms), f"{start}$0{end}")
+    """The text with each whole-word hit between tags; without terms, the text."""
+    return F.regexp_replace(text, _pattern(terms), f"{_literal(start)}$0{_literal(end)}") if terms else text
 
 
 def snippet_positions(text: Column, terms: list[str], limit: int | None = None, offset: int = 0) -> Column:
-    """[begin, end) of each hit, in bytes of UTF-8."""
-    # cut at hits: the running sum of the parts' lengths gives the places
-    marked = F.split(F.regexp_replace(text, _pattern(terms), "\u0001$0\u0002"), "[\u0001\u0002]")
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-    sums = F.aggregate(marked, begin, lambda a, p: F.struct((a["at"] + F.octet_length(p)).alias("at"), F.concat(a["ends"], F.array(a["at"] + F.octet_length(p))).alias("ends")))["ends"]
-    spans = _once(sums, lambda ends: F.transform(F.filter(F.sequence(F.lit(1), F.size(ends)), lambda k: k % 2 == 0), lambda k: F.array(ends[k - 2], ends[k - 1])))
-    return F.slice(spans, offset + 1, limit if limit is not None else 2**30)
+    """[begin, end) of each hit, in bytes of UTF-8; without terms, none."""
+    if not terms:
+        return F.when(text.isNotNull(), F.array().cast("array<array<int>>"))
+
+    def of(x: Column) -> Column:
+        # what is between the hits, and the hits: a running sum of their lengths gives the places
+        gaps = F.transform(F.split(x, _pattern(terms), -1), F.octet_length)
+        hits = F.transform(F.regexp_extract_all(x, F.lit(_pattern(terms)), F.lit(0)), F.octet_length)
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("spans"))
+        parts = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"))
+
+        def step(a: Column, p: Column) -> Column:
+            start = a["at"] + p["gap"]
+            return F.struct((start + p["hit"]).alias("at"), F.concat(a["spans"], F.array(F.array(start, start + p["hit"]))).alias("spans"))
+
+        return F.aggregate(parts, begin, step)["spans"]
+
+    return F.slice(_once(text, of), offset + 1, limit if limit is not None else 2**30)
 
 
 def windows(text: Column, terms: list[str], max_chars: int = 150) -> Column:
-    """(score, text) of runs of whole words of at most about max_chars; score: its distinct terms, then its hits."""
+    """(score, text) of runs of as many whole words as make about max_chars (eight each); no hit is cut off. score: its
+    distinct terms, then its hits."""
     size = max(1, max_chars // 8)
     low = [t.lower() for t in terms]
     clean = lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
@@ -46,7 +63,7 @@ def windows(text: Column, terms: list[str], max_chars: int = 150) -> Column:
             part = F.transform(F.slice(words, b, size), clean)
             hits = F.size(F.filter(part, lambda w: w.isin(*low)))
             kinds = F.size(F.array_intersect(part, F.array(*[F.lit(t) for t in low])))
-            return F.struct((kinds * 1000 + hits).alias("score"), (-b).alias("place"), F.substring(F.array_join(F.slice(words, b, size), " "), 1, max_chars).alias("text"))
+            return F.struct((kinds * 1000 + hits).alias("score"), (-b).alias("place"), F.array_join(F.slice(words, b, size), " ").alias("text"))
 
         return F.filter(F.transform(begins, one), lambda w: w["score"] > 0)
 

@@ -77,9 +77,13 @@ def viterbi(emissions: Column, transitions: list[list[float]], start: list[float
     return F.when(F.size(emissions) > 0, walked)
 
 
-def apply_edits(chars: Column, keep: Column, insert: Column) -> Column:
+def apply_edits(chars: Column, keep: Column, insert: Column, keep_score: Column | None = None, insert_score: Column | None = None, threshold: float = 0.0) -> Column:
     """A corrected text: each character has an edit (K keep, D delete, else its replacement) and what goes before it;
-    a last insertion goes to the end."""
+    a last insertion goes to the end. With scores, edits below the threshold are not made."""
+    if keep_score is not None:
+        keep = F.zip_with(keep, keep_score, lambda k, s: F.when(s >= threshold, k).otherwise("K"))
+    if insert_score is not None:
+        insert = F.zip_with(insert, insert_score, lambda i, s: F.when(s >= threshold, i).otherwise(""))
     edited = F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.concat(
         F.element_at(insert, i), F.when(F.element_at(keep, i) == "K", F.element_at(chars, i)).when(F.element_at(keep, i) == "D", "").otherwise(F.element_at(keep, i))))
     return F.concat(F.array_join(edited, ""), F.coalesce(F.try_element_at(insert, F.size(chars) + 1), F.lit("")))
@@ -133,9 +137,20 @@ def base_phrases(tokens: DataFrame, key: str, order: str, cls: str, boundary: st
     return grouped.withColumn("head", head).drop("_c")
 
 
-def cohesion(scores: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
+#: Relations between a predicate and its arguments, and those between nouns (fixed values).
+CASES, NOMINAL_RELATIONS = ("ガ", "ヲ", "ニ", "ガ２", "デ", "ト", "時間"), ("ノ", "=")
+
+
+def cohesion(scores: DataFrame, key: str, threshold: float = 0.5, kinds: DataFrame | None = None) -> DataFrame:
     """key, source, relation, target: for each source and relation the best target by softmax over all, if its share
-    reaches the threshold and it is not the source. scores: key, source, target, relation, score."""
+    reaches the threshold and it is not the source. scores: key, source, target, relation, score. kinds: key, phrase,
+    predicate, nominal: cases then need a predicate for a source, relations between nouns a nominal source and a target
+    before it, and every target is nominal."""
+    if kinds is not None:
+        marks = lambda side: kinds.select(key, F.col("phrase").alias(side), F.col("predicate").alias(f"{side}_p"), F.col("nominal").alias(f"{side}_n"))
+        both = scores.join(marks("source"), [key, "source"]).join(marks("target"), [key, "target"])
+        noun = F.col("relation").isin(*NOMINAL_RELATIONS) & F.col("source_n") & (F.col("target") < F.col("source"))
+        scores = both.where(((F.col("relation").isin(*CASES) & F.col("source_p")) | noun) & F.col("target_n")).select(*scores.columns)
     group = Window.partitionBy(key, "source", "relation")
     top = scores.withColumn("_e", F.exp(F.col("score") - F.max("score").over(group)))
     shares = top.withColumn("share", F.col("_e") / F.sum("_e").over(group))
@@ -152,3 +167,74 @@ def discourse(scores: DataFrame, key: str, none: str = "談話関係なし", thr
     shares = top.withColumn("share", F.col("_e") / F.sum("_e").over(group))
     best = shares.groupBy(key, "left", "right").agg(F.max_by(F.struct("relation", "share"), F.struct("share", "relation")).alias("b"))
     return best.where((F.col("b.share") >= threshold) & (F.col("b.relation") != none)).select(key, "left", "right", "b.relation")
+
+
+#: Parts of speech of the lattice tokenizer in the terms of structural analysis; others are 特殊 (fixed values).
+POS_MAP = {
+    "名詞": "名詞", "動詞": "動詞", "形容詞": "形容詞", "形状詞": "形容詞", "副詞": "副詞", "連体詞": "連体詞", "接続詞": "接続詞", "感動詞": "感動詞", "助詞": "助詞", "助動詞": "助動詞", "接頭辞": "接頭辞", "接尾辞": "接尾辞", "代名詞": "指示詞",
+    "補助記号": "特殊", "記号": "特殊", "空白": "特殊",
+}
+#: Parts of speech that never open a base phrase (fixed values).
+FUNCTION_POS = ("助詞", "助動詞", "接尾辞", "特殊", "補助記号", "記号")
+
+
+def structural_pos(pos: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in POS_MAP.items() for x in kv]), pos), F.lit("特殊"))
+
+
+def structural_subpos(pos: Column) -> Column:
+    """A finer part of speech, or * where it says nothing."""
+    return F.when(F.coalesce(pos, F.lit("")).isin("", "*", "一般", "非自立可能"), "*").otherwise(pos)
+
+
+def clean_wildcard(value: Column) -> Column:
+    return F.when(F.coalesce(value, F.lit("*")) == "*", "").otherwise(value)
+
+
+def is_function_pos(pos: Column) -> Column:
+    return pos.isin(*FUNCTION_POS)
+
+
+#: What a document may hold; stages name what they need.
+FEATURES = ("phrase_features", "entity_features", "morpheme_features", "arcs", "relations", "discourse")
+
+
+def document_features(phrases: Column, discourse: Column) -> Column:
+    """The names of FEATURES that a document has. phrases: structs of features (key, value), relations, head, morphemes (each
+    with features); discourse: its relations."""
+    some = lambda test: F.exists(phrases, test)
+    tests = (
+        some(lambda p: F.size(p["features"]) > 0), some(lambda p: F.exists(p["features"], lambda f: f["key"] == "NE")), some(lambda p: F.exists(p["morphemes"], lambda m: F.size(m["features"]) > 0)),
+        some(lambda p: p["head"] >= 0), some(lambda p: F.size(p["relations"]) > 0), F.size(discourse) > 0,
+    )
+    return F.filter(F.array(*[F.when(F.coalesce(t, F.lit(False)), name) for name, t in zip(FEATURES, tests, strict=True)]), lambda n: n.isNotNull())
+
+
+#: Stages of the cleaner: (name, phase, feature that a document needs, what becomes of a phrase's features). The phases
+#: validate and normalize have no stages.
+CLEANERS = (("filter_ne", "filter", "entity_features", filter_entities),)
+PHASES = ("filter", "validate", "normalize")
+
+
+def _with_features(phrases: Column, change) -> Column:
+    return F.transform(phrases, lambda p: p.withField("features", change(p["features"])))
+
+
+def _feature_count(phrases: Column) -> Column:
+    return F.aggregate(phrases, F.lit(0), lambda n, p: n + F.size(p["features"]))
+
+
+def clean(documents: DataFrame, phrases: str = "phrases", discourse: str = "discourse", only: tuple[str, ...] | None = None) -> DataFrame:
+    """Documents after the cleaner's stages, by phase: a stage changes only documents with the feature it needs, which are
+    looked for anew after a stage that may have removed some. `cleaned`: the stages that changed the document."""
+    out = documents.withColumn("cleaned", F.array().cast("array<string>"))
+    for phase in PHASES:
+        for name, where, needs, change in CLEANERS:
+            if where != phase or (only is not None and name not in only):
+                continue
+            made = _with_features(F.col(phrases), change)
+            has = F.array_contains(document_features(F.col(phrases), F.col(discourse)), needs)
+            out = out.withColumn("_made", F.when(has, made).otherwise(F.col(phrases)))
+            out = out.withColumn("cleaned", F.when(_feature_count(F.col("_made")) != _feature_count(F.col(phrases)), F.array_append("cleaned", F.lit(name))).otherwise(F.col("cleaned")))
+            out = out.withColumn(phrases, F.col("_made")).drop("_made")
+    return out

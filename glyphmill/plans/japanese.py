@@ -59,11 +59,65 @@ ORACLES["conjugate_adjectives"] = _rows("word, form, surface", *((w, f, s) for w
 QUERIES["verb_classes"] = lambda spark, sf_dir: verbs.verb_classes(spark).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 ORACLES["verb_classes"] = _rows("kind, n", ("godan", 13), ("ichidan", 2), ("irregular", 5), ("adjective", 3))
 
-_SURFACES = ("書かなかった", "飲んでいる", "食べさせられた", "行きたくない", "高くなかった", "来ました")
+#: Surfaces: forms of the verbs above, of other classes, long chains, and what is no form.
+_SURFACES = (
+    "書かなかった", "飲んでいる", "食べさせられた", "行きたくない", "高くなかった", "来ました", "食べさせられていなかった", "待っとる", "読んどいた", "走りすぎる", "見えにくかった", "行かさない", "勉強しています", "泳いで", "死んだ",
+    "しなければ", "帰ってしまった", "くれない", "東京", "あ",
+)
 QUERIES["deconjugate"] = lambda spark, sf_dir: dec.deconjugate(spark.sql(_rows("text", *((s,) for s in _SURFACES))), "text")
 ORACLES["deconjugate"] = dec.recursion_sql(f"({_rows('text', *((s,) for s in _SURFACES))})", f"(VALUES {dec.rules_sql()}) AS q(con_end, dec_end, con_tag, dec_tag, detail, kind)")
 
 
+#: Own golden cases: surface, dictionary form, class, chain of details from the verb outwards.
+GOLDEN = (
+    ("書いた", "書く", "v5k", "past"), ("書いて", "書く", "v5k", "te"), ("書かない", "書く", "v5k", "negative"), ("書きます", "書く", "v5k", "polite"), ("書きました", "書く", "v5k", "polite→past"), ("書きません", "書く", "v5k", "polite→negative"),
+    ("書けば", "書く", "v5k", "provisional"), ("書こう", "書く", "v5k", "volitional"), ("書け", "書く", "v5k", "imperative"), ("書きたい", "書く", "v5k", "want"), ("書きたくなかった", "書く", "v5k", "want→negative→past"), ("書かせる", "書く", "v5k", "causative"),
+    ("書かれた", "書く", "v5k", "passive→past"), ("書かせられる", "書く", "v5k", "causative→passive"), ("書いている", "書く", "v5k", "progressive"), ("書いてた", "書く", "v5k", "progressive→past"), ("書いちゃった", "書く", "v5k", "completion→past"),
+    ("書いたら", "書く", "v5k", "conditional"), ("書いたり", "書く", "v5k", "representative"), ("書きながら", "書く", "v5k", "while"), ("書きすぎた", "書く", "v5k", "excess→past"), ("書きやすい", "書く", "v5k", "easy"),
+    ("泳いだ", "泳ぐ", "v5g", "past"), ("泳がない", "泳ぐ", "v5g", "negative"), ("話した", "話す", "v5s", "past"), ("話さず", "話す", "v5s", "negative zu"), ("待った", "待つ", "v5t", "past"), ("待っとる", "待つ", "v5t", "toru (teoru)"),
+    ("死んだ", "死ぬ", "v5n", "past"), ("死なない", "死ぬ", "v5n", "negative"), ("遊んで", "遊ぶ", "v5b", "te"), ("遊びましょう", "遊ぶ", "v5b", "polite→volitional"), ("飲んどく", "飲む", "v5m", "preparative"), ("飲める", "飲む", "v5m", "potential"),
+    ("走った", "走る", "v5r", "past"), ("走られなかった", "走る", "v5r", "passive→negative→past"), ("買った", "買う", "v5u", "past"), ("買わない", "買う", "v5u", "negative"), ("行った", "行く", "v5k-s", "past"), ("行ってください", "行く", "v5k-s", "polite request"),
+    ("食べた", "食べる", "v1", "past"), ("食べない", "食べる", "v1", "negative"), ("食べろ", "食べる", "v1", "imperative"), ("食べよう", "食べる", "v1", "volitional"), ("食べられる", "食べる", "v1", "potential"), ("食べさせられた", "食べる", "v1", "causative→passive→past"),
+    ("食べれば", "食べる", "v1", "provisional"), ("食べております", "食べる", "v1", ""), ("勉強した", "勉強する", "vs-i", "past"), ("勉強できない", "勉強する", "vs-i", "potential→negative"), ("来なかった", "来る", "vk", "negative→past"), ("来い", "来る", "vk", "imperative"),
+    ("高くない", "高い", "adj-i", "negative"), ("高かった", "高い", "adj-i", "past"), ("高ければ", "高い", "adj-i", "provisional"), ("高くて", "高い", "adj-i", "te"),
+)
+
+
+def _golden(spark, sf_dir):
+    """Whether each case is among the forms of its surface."""
+    cases = spark.createDataFrame(GOLDEN, "original string, form string, tag string, process string")
+    found = dec.deconjugate(cases.select("original").distinct(), "original").withColumn("found", F.lit(True))
+    return cases.join(found, ["original", "form", "tag", "process"], "left").select("original", "form", "process", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+QUERIES["deconjugate_golden"] = _golden
+ORACLES["deconjugate_golden"] = _rows("original, form, process, found", *((s, f, p, p != "") for s, f, _, p in GOLDEN))
+
+
+def _round_trip(spark, sf_dir):
+    """Forms written out above, taken back: whether the verb is reached."""
+    rows = [(w, form, s) for form, line in EXPECTED.items() for (w, _), s in zip(VERBS, line.split(), strict=True)]
+    df = spark.createDataFrame(rows, "word string, form string, surface string")
+    back = dec.deconjugate(df, "surface").select(F.col("original").alias("surface"), F.col("form").alias("word")).distinct().withColumn("reached", F.lit(True))
+    return df.join(back, ["surface", "word"], "left").groupBy("form").agg(F.count_if(F.coalesce("reached", F.lit(False))).alias("reached"), F.count(F.lit(1)).alias("verbs"))
+
+
+QUERIES["deconjugate_round_trip"] = _round_trip
+#: ある has forms of its own in the negative and is of a class that the rules leave out.
+_MISSED = {"te": 0, "past": 0, "polite": 0, "negative": 1, "imperative": 0}
+ORACLES["deconjugate_round_trip"] = _rows("form, reached, verbs", *((f, len(VERBS) - _MISSED.get(f, 0), len(VERBS)) for f in EXPECTED))
+_RULE_KINDS = (("きゃ", "く", "x", "v5k", "must", "only final"), ("た", "る", "past", "v1", "past", ""), ("せ", "す", "v5s", "v5s", "cause", "saspecial"), ("０", "0", "", "", "digit", "substitution"), ("り", "る", "v5r", "v5r", "", ""), ("んない", "らない", "adj-i", "v5r", "slurred", "never final"))
+
+
+def _own_rules(spark, sf_dir):
+    table = spark.createDataFrame(_RULE_KINDS, "con_end string, dec_end string, con_tag string, dec_tag string, detail string, kind string")
+    return dec.deconjugate(spark.sql(_rows("text", ("書きゃ",), ("食べた",), ("させ",), ("話せ",), ("００",), ("走り",), ("やんない",), ("書きゃた",))), "text", table).select("original", "form", "process")
+
+
+QUERIES["deconjugate_own_rules"] = _own_rules
+ORACLES["deconjugate_own_rules"] = _rows("original, form, process", ("食べた", "食べる", "past"), ("書きゃ", "書く", "must"), ("話せ", "話す", "cause"), ("００", "０0", "digit"), ("書きゃた", "書きゃる", "past"))
+
+
 def _to_lemma(spark, sf_dir):
     df = spark.sql(_rows("text, lemma", ("書かなかった", "書く"), ("食べさせられた", "食べる"), ("飲んでいる", "飲む")))
     return dec.deconjugate_to_lemma(df, "text", "lemma").where("tag in ('v5k', 'v1', 'v5m')").select("original", "form", "tag", dec.format_process(F.col("process")).alias("process")).where("not process like '%potential%'")
@@ -280,3 +334,105 @@ QUERIES["conjugate_chain"] = _chains
 ORACLES["conjugate_chain"] = _rows("id, surface", *((c[0], c[5]) for c in _CHAINS))
 QUERIES["rule_expand"] = lambda spark, sf_dir: dec.expand_rules(spark.sql("SELECT array('か', 'き') AS con_end, array('く') AS dec_end, array('a', 'i') AS con_tag, array('v5k') AS dec_tag, 'x' AS detail"))
 ORACLES["rule_expand"] = _rows("con_end, dec_end, con_tag, dec_tag, detail", ("か", "く", "a", "v5k", "x"), ("き", "く", "i", "v5k", "x"))
+
+
+# ---------------------------------------------------------------- copula, flags, processes
+
+_COPULA = (
+    ("da", "past", "だった", "のだった"), ("da", "negative", "じゃない", "のじゃない"), ("da", "polite", None, None), ("desu", "dictionary", "です", "のです"), ("desu", "polite_negative_past", "じゃありませんでした", "のじゃありませんでした"),
+    ("dearu", "te", "であって", "のであって"), ("dearu", "polite_past", "でありました", "のでありました"), ("dearu", "conditional_ba", None, None), ("da", "conjectural", "だろう", "のだろう"),
+)
+QUERIES["conjugate_copula"] = lambda spark, sf_dir: spark.createDataFrame([r[:2] for r in _COPULA], "register string, form string").select("register", "form", verbs.conjugate_copula(F.col("register"), F.col("form")).alias("surface"), verbs.conjugate_explanatory(F.col("register"), F.col("form")).alias("explanatory"))
+ORACLES["conjugate_copula"] = _rows("register, form, surface, explanatory", *_COPULA)
+_FLAGS = (("dictionary", True, False, False, False), ("polite_negative_past", False, True, True, True), ("past_tari", False, False, True, False), ("prohibition", False, True, False, False), ("conjectural_polite", False, False, False, True), ("te", False, False, False, False))
+QUERIES["form_flags"] = lambda spark, sf_dir: spark.createDataFrame([(r[0],) for r in _FLAGS], "form string").select("form", verbs.form_flags(F.col("form")).alias("f")).select("form", "f.*")
+ORACLES["form_flags"] = _rows("form, is_base, is_negative, is_past, is_polite", *_FLAGS)
+#: details outermost first; voice, politeness, polarity, tense, mood (all null: refused); the same, passing over unknown ones
+_PROCESSES = (
+    ("past,negative,causative", "causative plain negative past indicative", "causative plain negative past indicative"), ("polite past negative,passive/potential", "passive polite negative past indicative", "passive polite negative past indicative"),
+    ("volitional,polite", "active polite affirmative nonpast volitional", "active polite affirmative nonpast volitional"), ("past,nonsense", None, "active plain affirmative past indicative"), ("", "active plain affirmative nonpast indicative", "active plain affirmative nonpast indicative"),
+    ("te,(masu stem),potential", "potential plain affirmative nonpast te", "potential plain affirmative nonpast te"),
+)
+
+
+def _processes(spark, sf_dir):
+    from glyphmill.functions.axes import axes_of_process
+
+    df = spark.createDataFrame([(k, r[0]) for k, r in enumerate(_PROCESSES)], "id int, process string").withColumn("p", F.filter(F.split("process", ","), lambda d: d != ""))
+    shown = lambda c: F.when(c.isNotNull(), F.concat_ws(" ", c["voice"], c["politeness"], c["polarity"], c["tense"], c["mood"]))
+    return df.select("id", axes_of_process(F.col("p")).alias("s"), axes_of_process(F.col("p"), True).alias("l")).select("id", shown(F.col("s")).alias("strict"), shown(F.col("l")).alias("lenient"))
+
+
+QUERIES["axes_of_process"] = _processes
+ORACLES["axes_of_process"] = _rows("id, strict, lenient", *((k, r[1], r[2]) for k, r in enumerate(_PROCESSES)))
+_CHAIN_PROCESSES = (("past,teiru,te,causative", "causative indicative", "iru", "past"), ("negative,completion,(te),excess", "active indicative", "sugiru+shimau", "nonpast"), ("past", "active indicative", "", "nonpast"))
+
+
+def _chain_processes(spark, sf_dir):
+    from glyphmill.functions.axes import chain_of_process
+
+    df = spark.createDataFrame([(k, r[0]) for k, r in enumerate(_CHAIN_PROCESSES)], "id int, process string").withColumn("c", chain_of_process(F.split("process", ",")))
+    return df.select("id", F.concat_ws(" ", "c.base.voice", "c.base.mood").alias("base"), F.array_join("c.auxiliaries", "+").alias("auxiliaries"), F.col("c.last.tense").alias("last"))
+
+
+QUERIES["chain_of_process"] = _chain_processes
+ORACLES["chain_of_process"] = _rows("id, base, auxiliaries, last", *((k, *r[1:]) for k, r in enumerate(_CHAIN_PROCESSES)))
+
+# ---------------------------------------------------------------- text to rules, fused tokens, parts of speech, cleaning
+
+
+def _analysed(spark, sf_dir):
+    out = lattice.analyse(spark.sql(_rows("id, text", (1, "本を読んだ。"), (2, "日本語を食べている"), (3, ""), (4, None))), "text")
+    return out.select("id", F.array_join(F.transform("tokens", lambda t: F.concat_ws(":", t["surface"], t["dictionary_form"], t["lemma_reading"])), " ").alias("tokens"))
+
+
+QUERIES["analyse_text"] = _analysed
+ORACLES["analyse_text"] = _rows("id, tokens", (1, "本:本:ホン を:を:ヲ 読んだ:読む:ヨム 。:。:。"), (2, "日本語:日本語:ニホンゴ を:を:ヲ 食べている:食べる:タベル"), (3, ""), (4, ""))
+
+
+def _fused(spark, sf_dir):
+    both = _cuts(spark).select("id", search_tokens.with_compounds(F.col("text"), F.col("m"), normalized=False).alias("b"))
+    tokens = F.transform("b.tokens", lambda t: F.concat(t["surface"], F.when(t["is_colocated"], "*").otherwise("")))
+    return both.select("id", F.array_join(tokens, " ").alias("tokens"), F.array_join(F.transform("b.compounds", lambda c: F.concat(c["surface"], F.lit("="), F.array_join(c["components"], "+"), F.lit("@"), c["byte_start"])), " ").alias("compounds"))
+
+
+QUERIES["tokens_with_compounds"] = _fused
+ORACLES["tokens_with_compounds"] = _rows(
+    "id, tokens, compounds", (1, "私 は 東京大学 東京* 大学* の 学生 です 。", "東京大学=東京+大学@6"), (2, "日本語 日本* 語* を 読ん だ", "日本語=日本+語@0"), (3, "国際空港 国際* 空港* へ 行く", "国際空港=国際+空港@0"), (4, "", "")
+)
+_POS = (("形状詞", "一般", "形容詞", "*", False), ("代名詞", "*", "指示詞", "*", False), ("助詞", "格助詞", "助詞", "格助詞", True), ("補助記号", "句点", "特殊", "句点", True), ("外国語", None, "特殊", "*", False), ("動詞", "非自立可能", "動詞", "*", False))
+QUERIES["structural_pos"] = lambda spark, sf_dir: spark.createDataFrame([r[:2] for r in _POS], "pos string, sub string").select("pos", F.coalesce("sub", F.lit("")).alias("sub"), st.structural_pos(F.col("pos")).alias("structural"), st.structural_subpos(F.col("sub")).alias("substructural"), st.is_function_pos(F.col("pos")).alias("is_function"))
+ORACLES["structural_pos"] = _rows("pos, sub, structural, substructural, is_function", *((p, s or "", a, b, f) for p, s, a, b, f in _POS))
+
+
+def _cleaned(spark, sf_dir):
+    phrase = "named_struct('features', array({}), 'relations', array({}), 'head', {}, 'morphemes', array(named_struct('features', array({}))))"
+    ne = lambda v: f"named_struct('key', 'NE', 'value', '{v}')"
+    rows = ((1, [phrase.format(ne("PERSON:田中") + ", " + ne("PERSON:たなか"), "'x'", 1, "'m'"), phrase.format(ne("DATE:"), "", -1, "")], "'d'"), (2, [phrase.format("named_struct('key', 'X', 'value', 'PERSON:')", "", 0, "")], ""))
+    made = " UNION ALL ".join(f"SELECT {k} AS id, array({', '.join(ps)}) AS phrases, array({d}) AS discourse" for k, ps, d in rows)
+    df = spark.sql(made).withColumn("had", st.document_features(F.col("phrases"), F.col("discourse")))
+    out = st.clean(df)
+    return out.select("id", F.array_join(F.array_sort("had"), ",").alias("had"), F.array_join(F.flatten(F.transform("phrases", lambda p: F.transform(p["features"], lambda f: f["value"]))), ",").alias("features"), F.array_join("cleaned", ",").alias("cleaned"))
+
+
+QUERIES["clean_documents"] = _cleaned
+ORACLES["clean_documents"] = _rows("id, had, features, cleaned", (1, "arcs,discourse,entity_features,morpheme_features,phrase_features,relations", "PERSON:田中", "filter_ne"), (2, "arcs,phrase_features", "PERSON:", ""))
+
+
+def _typo_threshold(spark, sf_dir):
+    df = spark.sql("SELECT array('a', 'b', 'c') AS c, array('x', 'D', 'z') AS k, array('+', '', '-', '!') AS i, array(0.9D, 0.4D, 0.6D) AS ks, array(0.2D, 0.9D, 0.7D, 0.5D) AS is_")
+    return df.select(*[st.apply_edits(F.col("c"), F.col("k"), F.col("i"), F.col("ks"), F.col("is_"), t).alias(f"t{int(10 * t)}") for t in (0.0, 0.5, 0.95)])
+
+
+QUERIES["typo_edits_threshold"] = _typo_threshold
+ORACLES["typo_edits_threshold"] = _rows("t0, t5, t9", ("+x-z!", "xb-z!", "abc"))
+
+
+def _cohesion_kinds(spark, sf_dir):
+    scores = spark.createDataFrame([(1, 2, 0, "ガ", 5.0), (1, 2, 1, "ガ", 0.0), (1, 1, 0, "ノ", 4.0), (1, 1, 2, "ノ", 9.0), (1, 0, 2, "ヲ", 7.0), (1, 2, 3, "ヲ", 9.0)], "id int, source int, target int, relation string, score double")
+    kinds = spark.createDataFrame([(1, 0, False, True), (1, 1, False, True), (1, 2, True, False), (1, 3, False, False)], "id int, phrase int, predicate boolean, nominal boolean")
+    return st.cohesion(scores, "id", kinds=kinds)
+
+
+QUERIES["decode_cohesion_kinds"] = _cohesion_kinds
+ORACLES["decode_cohesion_kinds"] = _rows("id, source, relation, target", (1, 2, "ガ", 0), (1, 1, "ノ", 0))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from glyphmill.functions.tokenizers import Tokenizer
 from glyphmill.operators import aggregate as agg
 from glyphmill.operators import query as q
-from glyphmill.operators.index import build_index
+from glyphmill.operators.index import build_index, load, stored
 from glyphmill.operators.parser import parse
 from glyphmill.operators.snippets import snippet_positions
-from glyphmill.session import table
+from glyphmill.session import shared_folder, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -39,11 +39,12 @@ def _any(terms: list[str], need: int = 1) -> str:
 
 
 def _docs(spark, sf_dir):
-    return build_index(table(spark, sf_dir, "documents"), "doc_id", {"text": Tokenizer()})
+    """The documents' index, built and stored once for all queries of an application."""
+    return stored(table(spark, sf_dir, "documents"), "doc_id", {"text": Tokenizer()}, shared_folder(spark))
 
 
 def _parts(spark, sf_dir):
-    return build_index(table(spark, sf_dir, "part"), "p_partkey", {"p_name": Tokenizer(), "p_type": Tokenizer()})
+    return stored(table(spark, sf_dir, "part"), "p_partkey", {"p_name": Tokenizer(), "p_type": Tokenizer()}, shared_folder(spark))
 
 
 def _register(name: str, query, sql: str, index=_docs, k: int | None = None) -> None:
@@ -223,14 +224,18 @@ QUERIES["facet_total"] = _facet
 ORACLES["facet_total"] = f"WITH {_base()}, m AS (SELECT k, round(score, 6) AS score FROM ({_any(['thing'])})) SELECT k, score, (SELECT count(*) FROM m) AS total FROM m ORDER BY score DESC, k LIMIT 5"
 
 
-def _term_stats(spark, sf_dir):
-    return _docs(spark, sf_dir).terms("text").where("df >= 50")
+QUERIES["index_terms"] = lambda spark, sf_dir: _docs(spark, sf_dir).terms("text")
+ORACLES["index_terms"] = f"WITH {_base()} SELECT term, df::BIGINT AS df FROM terms"
 
 
-QUERIES["index_terms"] = _term_stats
-ORACLES["index_terms"] = f"WITH {_base()} SELECT term, df::BIGINT AS df FROM terms WHERE df >= 50"
-QUERIES["index_terms_all"] = lambda spark, sf_dir: _docs(spark, sf_dir).terms("text")
-ORACLES["index_terms_all"] = f"WITH {_base()} SELECT term, df::BIGINT AS df FROM terms"
+def _index_files(spark, sf_dir):
+    """The figures of the index's files add up to the postings."""
+    found = _docs(spark, sf_dir).files()
+    return found.groupBy("field").agg(F.sum("postings").alias("postings"), F.sum("tokens").alias("tokens"), F.sum("terms").alias("terms"), (F.min("terms") > 0).alias("none_empty"))
+
+
+QUERIES["index_files"] = _index_files
+ORACLES["index_files"] = f"WITH {_base()} SELECT 'text' AS field, count(*) AS postings, sum(tf)::BIGINT AS tokens, count(DISTINCT term) AS terms, true AS none_empty FROM post"
 
 
 def _index_info(spark, sf_dir):
@@ -275,16 +280,6 @@ QUERIES["snippet_highlight"] = _snippet
 ORACLES["snippet_highlight"] = f"SELECT item_id, len(list_filter({_SPLIT.format(text='text')}, lambda x: x IN ('the', 'thing')))::BIGINT AS tags FROM benchmark"
 
 
-def _snippets(spark, sf_dir):
-    from glyphmill.operators.snippets import snippet, snippets, token_snippet
-
-    text = F.col("text")
-    return table(spark, sf_dir, "benchmark").select("item_id", snippet(text, ["thing", "the"]).alias("best"), snippets(text, ["thing", "the"], max_chars=60).alias("all"), token_snippet(text, ["the"], "[", "]", "...", 8).alias("around"))
-
-
-QUERIES["snippets"] = _snippets
-
-
 def _snippet_documents(name: str, made, sql: str) -> None:
     """Snippets of the texts that are searched."""
     QUERIES[name] = lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", *made(F.col("text")))
@@ -330,10 +325,15 @@ def _stream(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     counts = windowed_term_counts(stream, "ts", "event_type", "1 day", "30 days", Tokenizer("literal")).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "token", "n")
-    name = f"glyphmill_{uuid.uuid4().hex}"
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch, number: int) -> None:  # what a batch changed; a batch that is retried writes its folder again
+        batch.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+
+    query = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    changed = spark.read.parquet(f"{folder}/counts")
+    return changed.groupBy("day", "token").agg(F.max_by("n", "batch").alias("n"))
 
 
 QUERIES["stream_windowed_counts"] = _stream
@@ -350,18 +350,116 @@ ORACLES["index_schema"] = "SELECT * FROM (VALUES ('doc_id', true, false), ('text
 
 def _saved(spark, sf_dir):
     """The index written by term buckets and read back."""
-    import tempfile
-
-    from glyphmill.operators.index import load
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="glyphmill-index-")
     import uuid
 
-    path = f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
-    _docs(spark, sf_dir).save(path, 8)
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    build_index(table(spark, sf_dir, "documents"), "doc_id", {"text": Tokenizer()}).save(path, 8)
     ix = load(spark, path, "doc_id", {"text": Tokenizer()})
     return q.top_k(ix, q.Match("text", "the thing of"), 10).select(F.col("doc_id").alias("k"), F.round("score", 6).alias("score"))
 
 
 QUERIES["index_saved"] = _saved
 ORACLES["index_saved"] = ORACLES["search_bm25_topk"]
+
+
+# ---------------------------------------------------------------- more of queries, aggregates and snippets
+
+
+def _negated(spark, sf_dir):
+    """Ranks as negated scores, the best first in ascending order."""
+    found = q.bm25(_docs(spark, sf_dir), q.Match("text", "the thing of"))
+    return found.orderBy("rank", "doc_id").limit(10).select(F.col("doc_id").alias("k"), F.round("rank", 6).alias("rank"))
+
+
+QUERIES["search_negated_bm25"] = _negated
+ORACLES["search_negated_bm25"] = f"WITH {_base()} SELECT k, round(-score, 6) AS rank FROM ({_any(['the', 'thing', 'of'])}) ORDER BY score DESC, k LIMIT 10"
+
+
+def _with_index(spark, sf_dir):
+    """A query of its own index inside another's: parts whose key is that of a matching document."""
+    own = q.WithIndex(_docs(spark, sf_dir), q.Match("text", "thing"))
+    return q.search(_parts(spark, sf_dir), q.Boolean(must=(own, q.Range("p_partkey", 1, 500)))).select(F.col("p_partkey").alias("k"), F.round("score", 6).alias("score"))
+
+
+QUERIES["search_with_index"] = _with_index
+ORACLES["search_with_index"] = f"WITH {_base()} SELECT k, round(score + 1, 6) AS score FROM ({_any(['thing'])}) WHERE k IN (SELECT p_partkey FROM part WHERE p_partkey BETWEEN 1 AND 500)"
+
+
+def _best(text_sql: str, least: int, most: int, base: str, key: str) -> str:
+    return f"""(SELECT term FROM (SELECT term, tf * {_IDF} AS weight FROM (SELECT term, count(*)::DOUBLE AS tf FROM (SELECT unnest({_SPLIT.format(text=text_sql)}) AS term) GROUP BY term) JOIN terms USING (term), stats
+        WHERE df >= {least} ORDER BY weight DESC, term LIMIT {most}))"""
+
+
+_LIKED = "the lace red thing and lace"
+_register(
+    "search_more_like_document",
+    q.MoreLikeThis(("text", "lang"), document='{"text": "the thing nder and thing", "lang": ""}', min_doc_frequency=2, min_term_frequency=1, max_query_terms=3),
+    f"""SELECT k, sum(w) AS score FROM (SELECT k, {_WEIGHT} AS w FROM (SELECT k, tf, {_IDF} AS idf, a FROM post JOIN terms USING (term), stats WHERE term IN
+    {_best("'the thing nder and thing'", 2, 3, "documents", "doc_id")}) JOIN lens USING (k)) GROUP BY k""",
+)
+
+
+def _like_fields(spark, sf_dir):
+    asked = q.MoreLikeThis(("p_name", "p_type"), text=_LIKED, min_doc_frequency=1, min_term_frequency=1, max_query_terms=4)
+    return q.search(_parts(spark, sf_dir), asked).select(F.col("p_partkey").alias("k"), F.round("score", 6).alias("score"))
+
+
+def _like_field_sql(column: str) -> str:
+    return f"""(WITH {_base("part", "p_partkey", column)} SELECT k, sum(w) AS score FROM (SELECT k, {_WEIGHT} AS w FROM (SELECT k, tf, {_IDF} AS idf, a FROM post JOIN terms USING (term), stats WHERE term IN
+    {_best(f"'{_LIKED}'", 1, 4, "part", "p_partkey")}) JOIN lens USING (k)) GROUP BY k)"""
+
+
+QUERIES["search_more_like_fields"] = _like_fields
+ORACLES["search_more_like_fields"] = f"SELECT k, round(sum(score), 6) AS score FROM ({_like_field_sql('p_name')} UNION ALL {_like_field_sql('p_type')}) GROUP BY k"
+
+
+def _agg_function(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    made = docs.groupBy("lang").agg(agg.agg({"n": {"value_count": {"field": "n_chars"}}, "most": {"max": {"field": "n_chars"}}, "kinds": {"cardinality": {"field": "source"}}}).alias("j"))
+    return made.select("lang", F.from_json("j", "n long, most long, kinds long").alias("v")).select("lang", "v.*")
+
+
+QUERIES["agg_function"] = _agg_function
+ORACLES["agg_function"] = "SELECT lang, count(n_chars) AS n, max(n_chars) AS most, count(DISTINCT source) AS kinds FROM documents GROUP BY lang"
+_agg("agg_fixed_interval", "events", {"d": {"date_histogram": {"field": "ts", "fixed_interval": "90000ms"}}}, "d", "SELECT make_timestamp((floor(epoch_us(ts) / 90000000.0::DOUBLE) * 90000000)::BIGINT) AS d, count(*) AS doc_count FROM events GROUP BY 1")
+_agg("agg_approximate", "lineitem", {"p": {"terms": {"field": "l_returnflag"}, "aggs": {"x": {"percentiles": {"field": "l_linenumber", "percents": [50], "approximate": True}}}}}, "p", "SELECT l_returnflag AS p, count(*) AS doc_count, quantile_disc(l_linenumber, 0.5) AS x_50 FROM lineitem GROUP BY 1")
+
+
+def _places(spark, sf_dir):
+    """Where each hit is, in bytes, of whole documents."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(snippet_positions(F.col("text"), ["the", "thing"])).alias("s"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), F.sum(F.col("s")[0]).alias("begins"), F.sum(F.col("s")[1]).alias("ends"), F.min(F.col("s")[0]).alias("first"))
+
+
+QUERIES["snippet_places"] = _places
+ORACLES["snippet_places"] = rf"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') AS parts FROM documents),
+    p AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM w),
+    o AS (SELECT doc_id, part, sum(strlen(part)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM p)
+    SELECT doc_id, count(*) AS hits, sum(stop - strlen(part))::BIGINT AS begins, sum(stop)::BIGINT AS ends, min(stop - strlen(part))::INT AS first FROM o WHERE lower(part) IN ('the', 'thing') GROUP BY doc_id"""
+
+
+def _odd_tags(spark, sf_dir):
+    from glyphmill.operators.snippets import highlight
+
+    rows = spark.createDataFrame([(1, "the\u0001 cat and The\u0002 dog"), (2, "breathe"), (3, "")], "id int, text string")
+    return rows.select("id", highlight(F.col("text"), ["the"], "$1", "\\").alias("marked"), highlight(F.col("text"), []).alias("plain"), F.to_json(snippet_positions(F.col("text"), ["the", "dog"])).alias("places"))
+
+
+QUERIES["snippet_odd_tags"] = _odd_tags
+ORACLES["snippet_odd_tags"] = r"SELECT * FROM (VALUES (1, '$1the\' || chr(1) || ' cat and $1The\' || chr(2) || ' dog', 'the' || chr(1) || ' cat and The' || chr(2) || ' dog', '[[0,3],[13,16],[18,21]]'), (2, 'breathe', 'breathe', '[]'), (3, '', '', '[]')) AS t(id, marked, plain, places)"
+
+
+def _snippet_texts(spark, sf_dir):
+    """The windows of the benchmark's items, whole."""
+    from glyphmill.operators.snippets import snippets
+
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(snippets(F.col("text"), ["thing", "the"], "[", "]", 56, 2**30, by_score=False)).alias("n", "window"))
+    return rows.select("item_id", "n", "window")
+
+
+QUERIES["snippets"] = _snippet_texts
+ORACLES["snippets"] = r"""WITH w AS (SELECT item_id, regexp_split_to_array(text, '\s+') AS t FROM benchmark),
+    p AS (SELECT item_id, unnest(t) AS word, generate_subscripts(t, 1) - 1 AS i FROM w),
+    m AS (SELECT *, regexp_replace(word, '(^|[^\p{L}\p{N}])(thing|the)($|[^\p{L}\p{N}])', '\1[\2]\3', 'gi') AS marked, lower(regexp_replace(word, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')) IN ('the', 'thing') AS hit FROM p),
+    c AS (SELECT item_id, i // 7 AS b, string_agg(marked, ' ' ORDER BY i) AS "window", count_if(hit) AS hits FROM m GROUP BY ALL)
+    SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY b) - 1)::INT AS n, "window" FROM c WHERE hits > 0"""

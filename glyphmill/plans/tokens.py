@@ -74,3 +74,56 @@ def _chinese(spark, sf_dir):
 
 QUERIES["tok_chinese_compatible"] = _chinese
 ORACLES["tok_chinese_compatible"] = "SELECT * FROM (VALUES (1, 0, '東'), (1, 1, '京'), (1, 2, 'tower'), (1, 3, '大'), (1, 4, '学'), (2, 0, 'no'), (2, 1, 'kanji'), (2, 2, 'here'), (3, 0, 'カ'), (3, 1, 'ナ'), (3, 2, '混'), (3, 3, 'じ'), (3, 4, 'り'), (3, 5, 'text')) AS t(id, position, token)"
+
+
+def _stemmed(language: str) -> str:
+    """The light stemmer of a language, over the words of a text."""
+    from glyphmill.functions.tokenizers import STEMS
+
+    least, stay, endings, replaced = STEMS[language]
+    ordered = "|".join(sorted(dict.fromkeys(endings), key=lambda e: (-len(e), e)))
+    out = f"regexp_replace(x, '^(.{{{stay},}}?)(?:{ordered})$', '\\1')"
+    for ending, new in replaced.items():
+        out = f"CASE WHEN regexp_full_match(x, '.{{{stay},}}{ending}') THEN regexp_replace(x, '{ending}$', '{new}') ELSE {out} END"
+    return f"list_transform({_SIMPLE}, lambda x: CASE WHEN length(x) >= {least} THEN {out} ELSE x END)"
+
+
+for _language in ("french", "german", "spanish", "italian", "portuguese", "dutch", "swedish", "russian"):
+    _counts(f"tok_stemmer_{_language}", Tokenizer(stemmer=_language), _stemmed(_language))
+
+
+def _stopped(language: str) -> str:
+    from glyphmill.functions.tokenizers import STOPWORDS
+
+    return f"list_filter({_SIMPLE}, lambda x: x NOT IN ({', '.join(f"'{w}'" for w in STOPWORDS[language])}))"
+
+
+for _language in ("english", "french", "german", "spanish"):
+    _counts(f"tok_stopwords_{_language}", Tokenizer(stopwords_language=_language), _stopped(_language))
+
+
+def _words_of(texts: tuple[str, ...], options: Tokenizer):
+    def query(spark, sf_dir):
+        rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+        return rows.select("id", F.array_join(tokenize(F.col("text"), options), "/").alias("tokens"))
+
+    return query
+
+
+def _rows(*rows: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{r}')" for k, r in enumerate(rows)) + ") AS t(id, tokens)"
+
+
+_JAPANESE = ("私は東京大学の学生です。", "国際空港へ行く", "")
+QUERIES["tok_lattice_a"] = _words_of(_JAPANESE, Tokenizer("lattice", mode="a"))
+ORACLES["tok_lattice_a"] = _rows("私/は/東京/大学/の/学生/です/。", "国際/空港/へ/行く", "")
+QUERIES["tok_lattice_search"] = _words_of(_JAPANESE, Tokenizer("lattice", mode="search"))
+ORACLES["tok_lattice_search"] = _rows("私/は/東京大学/東京/大学/の/学生/。", "国際空港/国際/空港/へ/行く", "")
+_USER = (("大学の学生", 100, "名詞", "固有名詞", "ダイガクノガクセイ", "大学の学生", "大学の学生", (), ()), ("東京大学", 5000, "名詞", "固有名詞", "トウダイ", "東京大学", "東京大学", (), ()))
+QUERIES["tok_lindera_user_lexicon"] = _words_of(_JAPANESE, Tokenizer("lindera", user_lexicon=_USER))
+ORACLES["tok_lindera_user_lexicon"] = _rows("私/は/東京/大学の学生/です/。", "国際空港/へ/行く", "")
+_CHINESE = ("我来到北京清华大学", "研究生命的起源", "我喜欢Spark 4.1和C++。", "他来了")
+QUERIES["tok_jieba"] = _words_of(_CHINESE, Tokenizer("jieba", lowercase=False))
+ORACLES["tok_jieba"] = _rows("我/来到/北京/清华大学", "研究/生命/的/起源", "我/喜欢/Spark/4.1/和/C/+/+/。", "他/来/了")
+QUERIES["tok_jieba_user_words"] = _words_of(_CHINESE, Tokenizer("jieba", lowercase=False, user_lexicon=(("生命的起源",), ("他来了", 5000))))
+ORACLES["tok_jieba_user_words"] = _rows("我/来到/北京/清华大学", "研究/生命的起源", "我/喜欢/Spark/4.1/和/C/+/+/。", "他来了")
