@@ -193,7 +193,7 @@ def exploded(df: DataFrame, text: str, options: Tokenizer = Tokenizer(), token:
     rows = df.select("*", F.posexplode(out).alias("position", token)).drop(text)
     rows = rows.withColumn(token, _shaped(F.col(token), options, lowered))
     kept = _kept(F.col(token), options)
-    rows = rows if kept is None else rows.where(kept)
+    rows = rows.where(F.col(token).isNotNull()) if kept is None else rows.where(kept)
     return rows.withColumn(token, _final(F.col(token), options))
 
 

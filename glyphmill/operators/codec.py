@@ -36,17 +36,24 @@ def from_json(text: str) -> q.Query:
     return out
 
 
-def register(spark, name: str = "text_tokens") -> None:
-    """SQL: SELECT * FROM text_tokens(text) gives token, position by words of letters and digits, lower-cased."""
-    import regex
+def tokenizer_from_json(text: str) -> Tokenizer:
+    out = _value(json.loads(text))
+    if not isinstance(out, Tokenizer):
+        raise ValueError("not a tokenizer")
+    return out
+
+
+def register(spark, name: str = "text_tokens", options: Tokenizer | str = Tokenizer()) -> None:
+    """SQL: SELECT * FROM text_tokens(text) gives token, position by a tokenizer, which may be given as JSON."""
     from pyspark.sql.functions import udtf
 
-    words = regex.compile(r"[\p{L}\p{N}]+")
+    from glyphmill.functions.plain import tokens
+
+    chosen = tokenizer_from_json(options) if isinstance(options, str) else options
 
     @udtf(returnType="token string, position int")
     class Tokens:
         def eval(self, text: str):
-            for i, word in enumerate(words.findall((text or "").lower())):
-                yield word, i
+            yield from tokens(text, chosen)
 
     spark.udtf.register(name, Tokens)

@@ -436,3 +436,106 @@ def _cohesion_kinds(spark, sf_dir):
 
 QUERIES["decode_cohesion_kinds"] = _cohesion_kinds
 ORACLES["decode_cohesion_kinds"] = _rows("id, source, relation, target", (1, 2, "ガ", 0), (1, 1, "ノ", 0))
+
+
+# ---------------------------------------------------------------- options of search tokens, kana, tags, vectors
+
+
+def _search_options(spark, sf_dir):
+    """Search tokens normalized and not, with and without function words, and surfaces alone."""
+    df = spark.sql(_rows("id, text", (1, "本を食べている"), (2, "東京大学です")))
+    df = df.select("id", "text", lattice.all_modes(F.col("text")).alias("m"))
+    shown = lambda c: F.array_join(F.transform(c, lambda t: t["surface"]), " ")
+    made = {(f, n): search_tokens.search_tokens(F.col("text"), F.col("m"), f, n) for f in (True, False) for n in (True, False)}
+    return df.select("id", *[shown(c).alias(f"{'kept' if f else 'all'}_{'normal' if n else 'surface'}") for (f, n), c in made.items()], F.array_join(search_tokens.surfaces_only(made[True, False]), " ").alias("own"))
+
+
+QUERIES["search_token_options"] = _search_options
+ORACLES["search_token_options"] = _rows(
+    "id, kept_normal, kept_surface, all_normal, all_surface, own", (1, "本 を 食べる 居る", "本 を 食べ いる", "本 を 食べる て 居る", "本 を 食べ て いる", "本 を 食べ いる"),
+    (2, "東京大学 東京 大学", "東京大学 東京 大学", "東京大学 東京 大学 です", "東京大学 東京 大学 です", "東京大学"),
+)
+
+
+def _dependent(spark, sf_dir):
+    tokens = _cuts(spark).select("id", F.explode("m.c").alias("t")).select("id", "t.*")
+    return tokens.where(search_tokens.is_dependent_verb(F.col("pos1"), F.col("pos2"))).select("id", "surface")
+
+
+QUERIES["dependent_verbs"] = _dependent
+ORACLES["dependent_verbs"] = _rows("id, surface", (3, "行く"))
+_KANA = (("カタカナ", "かたかな"), ("ヴァイオリン", "ゔぁいおりん"), ("ひらがなと漢字とABC", "ひらがなと漢字とABC"), ("コーヒー", "こーひー"), ("ヶ", "ゖ"), ("", ""))
+QUERIES["katakana_to_hiragana"] = lambda spark, sf_dir: spark.createDataFrame([(k,) for k, _ in _KANA], "text string").select("text", verbs.katakana_to_hiragana(F.col("text")).alias("hiragana"))
+ORACLES["katakana_to_hiragana"] = _rows("text, hiragana", *_KANA)
+
+
+def _documents_kana(spark, sf_dir):
+    """Katakana over the documents' words: letters a to z stand for katakana, which the query shifts and SQL maps."""
+    letters, kata, hira = "aeioutnshrdlc", "アエイオウタナサハラダルカ", "あえいおうたなさはらだるか"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.md5(verbs.katakana_to_hiragana(F.translate("text", letters, kata))).alias("digest"))
+
+
+QUERIES["documents_katakana"] = _documents_kana
+ORACLES["documents_katakana"] = "SELECT doc_id, md5(translate(text, 'aeioutnshrdlc', 'あえいおうたなさはらだるか')) AS digest FROM documents"
+_KEIGO = (("読む", "v5m", "お読みになる", "ご読みする"), ("説明する", "vs-s", "お説明しになる", "ご説明しする"), ("食べる", "v1", "お食べになる", "ご食べする"))
+QUERIES["honorific_prefix"] = lambda spark, sf_dir: spark.createDataFrame([r[:2] for r in _KEIGO], "word string, tag string").select("word", verbs.conjugate_verb(F.col("word"), F.col("tag"), "honorific_oninaru").alias("honorific"), verbs.conjugate_verb(F.col("word"), F.col("tag"), "humble_osuru", "ご").alias("humble"))
+ORACLES["honorific_prefix"] = _rows("word, honorific, humble", *((w, h, u) for w, _, h, u in _KEIGO))
+
+
+def _tagged_sentences(spark, sf_dir):
+    """Sentences of the benchmark's items from tags by character: a capital letter begins one."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    chars = items.select("item_id", F.posexplode(F.split("text", "")).alias("at", "c")).where("c <> ''").withColumn("tag", F.when(F.col("c").rlike("[A-Z]"), "B").otherwise("I"))
+    return st.sentences_from_tags(chars, "item_id", "at", "c", "tag").select("item_id", "text")
+
+
+QUERIES["sentences_from_tags"] = _tagged_sentences
+ORACLES["sentences_from_tags"] = "SELECT item_id, s AS text FROM (SELECT item_id, unnest(regexp_extract_all(text, '(?s)^[^A-Z]+|[A-Z][^A-Z]*')) AS s FROM benchmark)"
+
+
+def _pooled(spark, sf_dir):
+    """Mean vectors of three embeddings at a time."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    out = st.pool_subwords(v.select(F.lit(1).alias("k"), F.floor(F.col("vec_id") / 3).alias("word"), "embedding"), "k", "word", "embedding")
+    return out.select("word", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3).alias("total"), F.size("embedding").alias("size"))
+
+
+QUERIES["pool_subwords"] = _pooled
+ORACLES["pool_subwords"] = "SELECT vec_id // 3 AS word, round(sum(list_sum(embedding::DOUBLE[])) / count(*), 3) AS total, max(len(embedding))::INT AS size FROM embeddings GROUP BY 1"
+
+
+def _sentences_of_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.size(st.split_sentences(F.col("text"))).alias("sentences"), F.element_at(st.split_sentences(F.col("text")), -1).alias("last"))
+
+
+QUERIES["documents_split_sentences"] = _sentences_of_documents
+ORACLES["documents_split_sentences"] = "SELECT doc_id, len(s)::INT AS sentences, s[len(s)] AS last FROM (SELECT doc_id, regexp_extract_all(text, '(?s)[^。！？!?]*[。！？!?]|[^。！？!?]+$') AS s FROM documents)"
+
+
+def _bio_of_documents(spark, sf_dir):
+    """Runs of words by their first letters, from tags: t begins a T, h goes on with it; a begins an A."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "w"))
+    tag = F.when(F.col("w").startswith("t"), "B-T").when(F.col("w").startswith("h"), "I-T").when(F.col("w").startswith("a"), "B-A").otherwise("O")
+    found = st.bio_spans(words.withColumn("tag", tag), "doc_id", "at", "tag", "w")
+    return found.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("last") - F.col("first")).alias("more"))
+
+
+QUERIES["documents_bio"] = _bio_of_documents
+ORACLES["documents_bio"] = """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
+    t AS (SELECT doc_id, i, CASE WHEN w LIKE 't%' THEN 'B' WHEN w LIKE 'h%' THEN 'I' WHEN w LIKE 'a%' THEN 'B' ELSE 'O' END AS b, CASE WHEN w LIKE 't%' OR w LIKE 'h%' THEN 'T' WHEN w LIKE 'a%' THEN 'A' END AS k FROM w),
+    s AS (SELECT *, k IS NOT NULL AND (b = 'B' OR coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY i), '') <> k) AS opens FROM t)
+    SELECT doc_id, k AS type, count_if(opens) AS n, (count(*) - count_if(opens))::BIGINT AS more FROM s WHERE k IS NOT NULL GROUP BY ALL"""
+
+
+def _viterbi_of_vectors(spark, sf_dir):
+    """Two tags over the pairs of each embedding's components; with no transitions the best path is the larger of each."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    pairs = F.transform(F.sequence(F.lit(1), F.lit(7), F.lit(2)), lambda i: F.array(F.element_at("embedding", i).cast("double"), F.element_at("embedding", i + 1).cast("double")))
+    return v.select("vec_id", F.array_join(st.viterbi(pairs, [[0.0, 0.0], [0.0, 0.0]], [0.0, 0.0], [0.0, 0.0]), "").alias("path"))
+
+
+QUERIES["vectors_viterbi"] = _viterbi_of_vectors
+ORACLES["vectors_viterbi"] = "SELECT vec_id, array_to_string(list_transform([1, 3, 5, 7], lambda i: CASE WHEN embedding[i + 1] > embedding[i] THEN 1 ELSE 0 END), '') AS path FROM embeddings"

@@ -463,3 +463,99 @@ ORACLES["snippets"] = r"""WITH w AS (SELECT item_id, regexp_split_to_array(text,
     m AS (SELECT *, regexp_replace(word, '(^|[^\p{L}\p{N}])(thing|the)($|[^\p{L}\p{N}])', '\1[\2]\3', 'gi') AS marked, lower(regexp_replace(word, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')) IN ('the', 'thing') AS hit FROM p),
     c AS (SELECT item_id, i // 7 AS b, string_agg(marked, ' ' ORDER BY i) AS "window", count_if(hit) AS hits FROM m GROUP BY ALL)
     SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY b) - 1)::INT AS n, "window" FROM c WHERE hits > 0"""
+
+
+def _compacted(spark, sf_dir):
+    """An index compacted to one file a bucket answers as before, and its checksum is the same."""
+    import uuid
+
+    from glyphmill.operators.index import compact
+
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    build_index(table(spark, sf_dir, "benchmark"), "item_id", {"text": Tokenizer()}).save(f"{path}/a", 4)
+    compact(spark, f"{path}/a", f"{path}/b")
+    one, two = (load(spark, f"{path}/{name}", "item_id", {"text": Tokenizer()}) for name in "ab")
+    same = one.checksum().join(two.checksum().withColumnRenamed("checksum", "other"), "field").select("field", (F.col("checksum") == F.col("other")).alias("same"))
+    files = two.files().groupBy("field").agg(F.countDistinct("bucket").alias("buckets"), F.count(F.lit(1)).alias("files"), F.sum("postings").alias("postings"))
+    return same.join(files, "field").select("field", "same", (F.col("buckets") == F.col("files")).alias("compact"), "postings")
+
+
+QUERIES["index_compacted"] = _compacted
+ORACLES["index_compacted"] = f"WITH {_base('benchmark', 'item_id')} SELECT 'text' AS field, true AS same, true AS compact, count(*) AS postings FROM post"
+
+
+def _version(spark, sf_dir):
+    from glyphmill import __version__
+    from glyphmill.operators.index import version_info
+
+    return version_info(spark).select((F.col("version") == __version__).alias("own"), (F.length("spark") > 0).alias("spark"))
+
+
+QUERIES["version_info"] = _version
+ORACLES["version_info"] = "SELECT true AS own, true AS spark"
+
+
+def _random_words(spark, sf_dir):
+    """The words are random; their number is not."""
+    from glyphmill.sources.fixtures import random_words
+
+    df = spark.range(20).select("id", random_words(7).alias("t"))
+    return df.select("id", F.size(F.split("t", " ")).alias("n"))
+
+
+QUERIES["random_words"] = _random_words
+ORACLES["random_words"] = "SELECT i AS id, 7 AS n FROM range(20) t(i)"
+
+
+def _fixture_kinds(spark, sf_dir):
+    """The five kinds of test tables, by their rows and columns."""
+    from glyphmill.sources.fixtures import KINDS, test_table
+
+    out = None
+    for kind in KINDS:
+        df = test_table(spark, kind, 12)
+        one = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(df.columns[0]).alias("keys")).select(F.lit(kind).alias("kind"), "n", "keys")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES["source_test_kinds"] = _fixture_kinds
+ORACLES["source_test_kinds"] = "SELECT unnest(['items', 'orders', 'parts', 'deliveries', 'customers']) AS kind, 12::BIGINT AS n, 12::BIGINT AS keys"
+
+
+def _json_query(spark, sf_dir):
+    """A query through JSON and back."""
+    from glyphmill.operators.codec import from_json, to_json
+
+    asked = q.Boolean(must=(q.Match("text", "thing"),), must_not=(q.Term("lang", "fr"),)).boost(2.0)
+    return q.search(_docs(spark, sf_dir), from_json(to_json(asked))).select(F.col("doc_id").alias("k"), F.round("score", 6).alias("score"))
+
+
+QUERIES["search_json"] = _json_query
+ORACLES["search_json"] = f"WITH {_base()} SELECT k, round(2 * score, 6) AS score FROM ({_any(['thing'])}) WHERE k NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr')"
+
+
+def _table_function(spark, sf_dir):
+    """Tokens by SQL's own table function."""
+    from glyphmill.operators.codec import register
+
+    register(spark, "glyphmill_tokens")
+    table(spark, sf_dir, "benchmark").createOrReplaceTempView("glyphmill_benchmark")
+    return spark.sql("SELECT b.item_id, count(*) AS n, max(t.position) AS last FROM glyphmill_benchmark b, LATERAL glyphmill_tokens(b.text) t GROUP BY b.item_id")
+
+
+QUERIES["tok_table_function"] = _table_function
+ORACLES["tok_table_function"] = f"SELECT item_id, len(t) AS n, (len(t) - 1)::INT AS last FROM (SELECT item_id, {_SPLIT.format(text='text')} AS t FROM benchmark) WHERE len(t) > 0"
+
+
+def _table_function_options(spark, sf_dir):
+    """The table function with a tokenizer given as JSON."""
+    from glyphmill.operators.codec import register
+
+    register(spark, "glyphmill_tokens_as", Tokenizer("ngram", min_gram=3, max_gram=3, stopwords=("the",)))
+    table(spark, sf_dir, "benchmark").createOrReplaceTempView("glyphmill_benchmark")
+    return spark.sql("SELECT b.item_id, count(*) AS n, max(t.position) AS last FROM glyphmill_benchmark b, LATERAL glyphmill_tokens_as(b.text) t GROUP BY b.item_id")
+
+
+QUERIES["tok_table_function_options"] = _table_function_options
+ORACLES["tok_table_function_options"] = """SELECT item_id, count(*) AS n, max(i - 1)::INT AS last FROM (SELECT item_id, unnest(range(1, length(text) - 1)) AS i, text FROM benchmark) WHERE lower(substr(text, i::INT, 3)) <> 'the' GROUP BY 1"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Words that random text is made of (fixed values).
 WORDS = ("amber", "birch", "cedar", "delta", "ember", "fjord", "grove", "heron", "inlet", "jasper", "kelp", "larch", "maple", "north", "ochre", "pine", "quartz", "reed", "slate", "thorn")
+KINDS = ("items", "orders", "parts", "deliveries", "customers")
 
 
 def random_words(n: Column | int, seed: Column | int = 0) -> Column:

@@ -48,3 +48,18 @@ def test_lexicons_from_settings(spark, tmp_path):
         spark.conf.unset("glyphmill.lexicon.user.paths")
     with pytest.raises(ValueError):
         lattice.load_lexicon(spark.createDataFrame([row, row], names), most=1)
+
+
+@pytest.mark.parametrize(
+    "options",
+    [Tokenizer(), Tokenizer("whitespace", remove_long=5), Tokenizer("unicode_words", stopwords_language="german"), Tokenizer("ngram", prefix_only=True), Tokenizer("source_code", lowercase=False), Tokenizer("chinese_compatible", ascii_folding=True),
+     Tokenizer(stemmer="english"), Tokenizer(stemmer="french"), Tokenizer(stemmer="german"), Tokenizer("lattice", mode="search"), Tokenizer("lattice", mode="b"), Tokenizer("jieba"), Tokenizer("literal_normalized", remove_long=None), Tokenizer("regex_pattern", pattern="[a-z]+")],
+)
+def test_plain_tokens_equal_columns(spark, options):
+    from glyphmill.functions import plain
+    from glyphmill.functions.tokenizers import tokenize_table
+
+    texts = ["The quick foxes' running, actives et précieuses häuser_Bücher!", "getHTTPResponse2xx fooBar", "私は東京大学の学生です。 abc", "我来到北京清华大学", " x ", "", None, "ab", "Änderungen der Möglichkeiten\tund   Straße"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    wanted = {(r["id"], r["position"], r["token"]) for r in tokenize_table(df, "text", options).collect()}
+    assert {(i, p, t) for i, x in enumerate(texts) for t, p in plain.tokens(x, options)} == wanted
