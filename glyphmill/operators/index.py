@@ -121,6 +121,13 @@ def compact(spark, path: str, to: str, files: int = 1) -> None:
         (df.write.partitionBy("field") if name == "lengths" else df.write).parquet(f"{to}/{name}")
 
 
+def storage(spark, path: str) -> DataFrame:
+    """part, files, bytes of a stored index: postings, lengths, rows, terms, meta. Only the listing is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    part = F.regexp_extract("path", "/(postings|lengths|rows|terms|meta)/", 1)
+    return files.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
 def version_info(spark) -> DataFrame:
     from glyphmill import __version__
 

@@ -224,6 +224,39 @@ class Near:
     in_order: bool = False
     max_expansions: int = 50
 
+    def __floordiv__(self, distance: int) -> _Left:
+        """a // 3 // b: at most three words between a and b, in either order."""
+        return _Left(self, distance, False)
+
+    def __rshift__(self, distance: int) -> _Left:
+        """a >> 3 >> b: the same, in this order."""
+        return _Left(self, distance, True)
+
+
+@dataclass(frozen=True)
+class _Left:
+    """The left clause of a proximity and its distance."""
+
+    left: Near
+    distance: int
+    in_order: bool
+
+    def __floordiv__(self, right: Near | str) -> Near:
+        return self._with(right, False)
+
+    def __rshift__(self, right: Near | str) -> Near:
+        return self._with(right, True)
+
+    def _with(self, right: Near | str, in_order: bool) -> Near:
+        if in_order != self.in_order:
+            raise ValueError("// and >> do not mix in one proximity")
+        return near(self.left, self.distance, right, in_order)
+
+
+def words(*terms: str) -> Near:
+    """A clause of one term, or of alternatives."""
+    return Near(terms=terms)
+
 
 @dataclass(frozen=True)
 class Proximity(Query):

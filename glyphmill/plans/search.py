@@ -129,6 +129,8 @@ _register(
     JOIN tok c ON s.k = c.k WHERE c.term IN (SELECT term FROM terms WHERE regexp_full_match(term, 'thin.*') ORDER BY term LIMIT 50)
     AND ((c.p > s.l AND c.p - s.l - 1 <= 4) OR (s.f > c.p AND s.f - c.p - 1 <= 4)))""",
 )
+_register("search_proximity_operators", q.Proximity("text", q.words("the") // 3 // q.words("thing")), _near_sql.format(test="a.p <> b.p AND abs(b.p - a.p) - 1 <= 3"))
+_register("search_proximity_operators_in_order", q.Proximity("text", q.words("the", "the") >> 3 >> "thing"), _near_sql.format(test="b.p > a.p AND b.p - a.p - 1 <= 3"))
 _register("search_range", q.Range("n_chars", 500, 900, True, False), "SELECT doc_id AS k, 1.0::DOUBLE AS score FROM documents WHERE n_chars >= 500 AND n_chars < 900")
 _register("search_compare_any", q.Compare("lang", "=", ("fr", "es")), "SELECT doc_id AS k, 1.0::DOUBLE AS score FROM documents WHERE lang IN ('fr', 'es')")
 _register("search_compare_all", q.Compare("n_chars", ">", (100, 2000), True), "SELECT doc_id AS k, 1.0::DOUBLE AS score FROM documents WHERE n_chars > 2000")
@@ -484,6 +486,20 @@ QUERIES["index_compacted"] = _compacted
 ORACLES["index_compacted"] = f"WITH {_base('benchmark', 'item_id')} SELECT 'text' AS field, true AS same, true AS compact, count(*) AS postings FROM post"
 
 
+def _storage(spark, sf_dir):
+    import uuid
+
+    from glyphmill.operators.index import storage
+
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    build_index(table(spark, sf_dir, "benchmark"), "item_id", {"text": Tokenizer()}).save(path, 4)
+    return storage(spark, path).select("part", (F.col("files") > 0).alias("some"), (F.col("bytes") > 0).alias("sized"))
+
+
+QUERIES["index_storage"] = _storage
+ORACLES["index_storage"] = "SELECT unnest(['postings', 'lengths', 'rows', 'terms', 'meta']) AS part, true AS some, true AS sized"
+
+
 def _version(spark, sf_dir):
     from glyphmill import __version__
     from glyphmill.operators.index import version_info
