@@ -6,17 +6,18 @@ similarity of t or more share at least l elements among the first |x| - ceil(t |
 1. Equal sets are one node. Each node emits a prefix with a base l; prefix elements that only one node has are
    dropped, and with them nodes that have fewer than l left. This removes nearly every document without a partner,
    also those that share a common passage with thousands of others.
-2. Of a node's k shared prefix elements the k - l + 1 rarest make candidates. Each element first ties its nodes to one
-   of them (a star) and the tested links become components. Only nodes of different components that still meet are
-   left; the cost of a node is the number of such meetings. Those of nodes with a low cost are all tested.
+2. Of a node's k shared prefix elements the k - l + 1 rarest bring nodes together. Each element first ties its nodes to
+   one of them (a star). The more others a node meets, its cost, the longer its prefix becomes, and the more elements
+   (the smaller l of both) have to be shared before a pair is verified; verified links become components. Only nodes of
+   different components that still meet are left. Of those with a low cost, all meetings are gone through.
 3. The prefix of a node whose cost stays high grows to its whole set, of which it has to share ceil(t |x|) elements or
    more, depending on the partner's size. Stars and components come first here too, then what is left. So a group of
    thousands of copies costs a few tests per member, and no link between components is lost.
 4. Every candidate is tested exactly on the full sets.
 
 Equal sets are known by 64 bits, proved by 64 more: if two sets ever share the first and not the second, all is done anew
-with another salt. Elements are 64-bit hashes of shingles. Keys, elements and groups that hold a large part of the rows
-are dealt over several tasks.
+with another salt. Elements are 64-bit hashes of shingles. What hangs on one very common element is joined with one row a
+key, or one of a few: a join whose hot partitions adaptive execution splits.
 
 Defined results: null or word-less text: no shingles, a component of its own; fewer than five words: the sequence
 is the one element; very long texts: whole, as a slice of their own; equal rows and ties: same component; null key: counts
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.llm.graph import extended, no_roots
-from glyphmill.llm.shared import forget, join_split, over_ways, small_batches, written
+from glyphmill.llm.shared import forget, small_batches, written
 from glyphmill.llm.words import mix, scans
 
 WIDTH, PERCENT = 5, 80
@@ -129,11 +130,11 @@ def _full(docs: DataFrame, percent: int, width: int, salt: int) -> DataFrame:
 def _shared(tokens: DataFrame, needs: DataFrame) -> DataFrame:
     """tokens (token, node) that at least two nodes have, with their number of nodes `df`, the node's number of them `k`
     and its `need`; without nodes that have fewer than they need."""
-    often = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
-    kept = written(join_split(tokens, often, ["token"], "df"), "kept")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    kept = written(tokens.join(often, "token"), "kept")
     enough = kept.groupBy("node").agg(F.count(F.lit(1)).alias("k")).join(needs, "node").where("k >= need")
     out = written(kept.join(enough, "node"), "shared")
-    forget(tokens.sparkSession, kept, often)
+    forget(tokens.sparkSession, kept)
     return out
 
 
@@ -170,44 +171,57 @@ def _whole_level(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.where(F.col("r") <= F.col("k") - need + 1).select("token", F.least("band", "other").alias("i"), F.greatest("band", "other").alias("j"), "node", "band", "n", "room")
 
 
-def _open(level: DataFrame, roots: DataFrame) -> DataFrame:
-    """level where nodes that meet are still in different components, with the root and the meetings of each row, and
-    the way it is dealt if its key is hot."""
-    placed = level.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _open(dense: DataFrame, roots: DataFrame) -> DataFrame:
+    """dense where nodes that meet are still in different components, with the root and the meetings of each row."""
+    placed = dense.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     key = ["token", "i", "j"]
-    sizes = placed.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("band") == F.col("i")).alias("a"), F.count_if(F.col("band") == F.col("j")).alias("b"))
-    groups = sizes.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("a").alias("all_a"), F.sum("b").alias("all_b"), F.sum(F.col("a") * F.col("b")).alias("same"))
-    groups = written(groups.where("all_a * all_b > same").drop("same"), "groups")
+    sizes = placed.groupBy(*key, "root").agg(F.count_if(F.col("band") == F.col("i")).alias("a"), F.count_if(F.col("band") == F.col("j")).alias("b"))
+    groups = sizes.groupBy(*key).agg(F.count(F.lit(1)).alias("roots"), F.sum("a").alias("all_a"), F.sum("b").alias("all_b"), F.sum(F.col("a") * F.col("b")).alias("same"))
+    groups = groups.where("all_a * all_b > same").drop("roots", "same")
     # a row meets the other band's nodes; those of its own root are not known here, so this counts a little too many
     meets = F.when(F.col("band") == F.col("i"), F.col("all_b")).otherwise(F.col("all_a"))
-    rows = join_split(placed, groups.withColumnRenamed("n", "rows"), key, "rows", way="way")
-    out = written(rows.withColumn("meets", meets).drop("all_a", "all_b", "rows"), "open")
-    forget(level.sparkSession, groups)
-    return out
+    return written(placed.join(groups, key).withColumn("meets", meets).drop("all_a", "all_b"), "open")
 
 
 def _meeting(open_: DataFrame, percent: int, turn: int | None = None, whole: bool = True, only: str = "true") -> DataFrame:
     """Pairs of different components that meet: all of them, or those with one centre of each group, by turn."""
     key = ["token", "i", "j"]
-    names = ("node", "root", "band", "n", "room")
-    if turn is None:
-        other = open_.select(*key, "hot", *(F.col(c).alias(c + "2") for c in names))
-    else:
+    other = open_.select(*key, *(F.col(c).alias(c + "2") for c in ("node", "root", "band", "n", "room")))
+    if turn is not None:
         # the node with most shared elements is close to most others
-        order = F.when(F.col("band") == F.col("i" if turn % 2 == 0 else "j"), F.struct(-F.col("room"), F.xxhash64("node", F.lit(turn))))
-        centre = F.min_by(F.struct(*(F.col(c).alias(c + "2") for c in names)), order)
-        other = open_.groupBy(*key).agg(centre.alias("c"), F.first("hot").alias("hot")).where("c is not null").select(*key, "hot", "c.*")
-    other = other.withColumn("way", F.explode(over_ways(F.col("hot")))).drop("hot")
+        side = "i" if turn % 2 == 0 else "j"
+        centre = F.min_by(F.struct("node2", "root2", "band2", "n2", "room2"), F.struct(-F.col("room2"), F.xxhash64("node2", F.lit(turn))))
+        other = other.where(f"band2 = {side}").groupBy(*key).agg(centre.alias("c")).select(*key, "c.*")
     fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
     if whole:
         fits += f" and {100 + percent} * least(room, room2) >= {percent} * (n + n2)"
-    return open_.where(only).join(other, [*key, "way"]).where(f"root <> root2 and (i = j or band <> band2) and {fits}").select(*_pair("node", "node2")).distinct()
+    return open_.where(only).join(other, key).where(f"root <> root2 and (i = j or band <> band2) and {fits}").select(*_pair("node", "node2")).distinct()
 
 
 def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _prefixes(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, matches, tokens: the prefix of each node that meets others, lengthened by its cost, the number of others it
+    meets by an element on average: each doubling adds a twentieth of the set to l, and so to the prefix."""
+    cost = open_.groupBy(F.col("node").alias("sig")).agg((F.sum("meets") / F.count(F.lit(1))).alias("cost"))
+    least = F.ceil(F.col("n") * percent / 100)
+    base = F.when(F.col("n") <= 64, least).otherwise(F.greatest(F.lit(4), F.floor(F.col("n") / 64)))
+    longer = F.ceil(F.col("n") / 20 * F.log2(1 + F.col("cost")))
+    matches = F.least(least, F.greatest(base, longer)).cast("int")
+    rows = sets.join(cost, "sig").withColumn("matches", matches)
+    return written(rows.select(F.col("sig").alias("node"), "matches", F.slice("elements", F.lit(1), (F.col("n") - least).cast("int") + F.col("matches")).alias("tokens")), "prefixes")
+
+
+def _matching(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prefixes share as many elements as the smaller l of both: the first l common elements of two
+    sets that link lie in the prefixes of both, whatever longer prefixes hold."""
+    side = lambda s: prefixes.select(F.col("node").alias(s), F.col("matches").alias(f"l{s}"), F.col("tokens").alias(f"t{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(F.size(F.array_intersect("ta", "tb")) >= F.least("la", "lb")).select("a", "b")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity."""
     sizes = sets.select("sig", "n")
@@ -219,13 +233,32 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def _tie(level: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, whole: bool = True) -> DataFrame:
-    """roots after turns of stars."""
+class _Tested:
+    """Pairs that were verified: each is verified once."""
+
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent, self.pairs = sets, percent, []
+
+    def links(self, pairs: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
+        """Those of the pairs that link, and were not verified before."""
+        for before in self.pairs:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        if prefixes is not None:
+            pairs = _matching(pairs, prefixes)
+        self.pairs.append(written(pairs, "pairs"))
+        return _links(self.pairs[-1], self.sets, self.percent)
+
+    def forget(self) -> None:
+        forget(self.sets.sparkSession, *self.pairs)
+
+
+def _tie(level: DataFrame, roots: DataFrame, tested: _Tested, prefixes: DataFrame | None = None, first: DataFrame | None = None) -> DataFrame:
+    """roots after turns of stars; with prefixes, at the first level. first: what is open before the first turn."""
     for turn in range(TURNS):
-        open_ = _open(level, roots)
+        open_ = first if turn == 0 and first is not None else _open(level, roots)
         if open_.isEmpty():
             break
-        roots = extended(roots, _links(_meeting(open_, percent, turn, whole), sets, percent))
+        roots = extended(roots, tested.links(_meeting(open_, tested.percent, turn, prefixes is None), prefixes))
         forget(level.sparkSession, open_)
     return roots
 
@@ -272,26 +305,29 @@ def _components(df: DataFrame, key: str, text: str, percent: int, width: int) ->
     again = _shared(first.select("token", "node"), needs)
     forget(spark, first)
     level = written(_first_level(again, sets), "level")
-    roots = _tie(level, no_roots(spark), sets, percent, whole=False)
+    tested, open_ = _Tested(sets, percent), _open(level, no_roots(spark))
+    prefixes = _prefixes(open_, sets, percent)
+    roots = _tie(level, no_roots(spark), tested, prefixes, open_)
     open_ = _open(level, roots)
     if not open_.isEmpty():
         costly = open_.groupBy("node").agg((F.sum("meets") > COSTLY * F.count(F.lit(1))).alias("costly"))
         marked = written(open_.join(costly, "node"), "open")
         forget(spark, open_)
-        roots = extended(roots, _links(_meeting(marked, percent, whole=False, only="not costly"), sets, percent))
+        roots = extended(roots, tested.links(_meeting(marked, percent, whole=False, only="not costly"), prefixes))
         grown = sets.join(marked.where("costly").select(F.col("node").alias("sig")).distinct(), "sig")
         whole = grown.select(F.explode("elements").alias("token"), F.col("sig").alias("node"))
         shared = _shared(whole, sets.select(F.col("sig").alias("node"), "need"))
         forget(spark, level, marked)
         level = written(_whole_level(shared, sets, percent), "level")
-        roots = _tie(level, roots, sets, percent)
-        roots = extended(roots, _links(_meeting(_open(level, roots), percent), sets, percent))
+        roots = _tie(level, roots, tested)
+        roots = extended(roots, tested.links(_meeting(_open(level, roots), percent)))
     out = prepared.select("key", "tk", "n", "sig").join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
     out = out.withColumn("root", F.coalesce("root", "sig"))
     smallest = out.where("n > 0").groupBy("root").agg(F.min("key").alias("component_id"))
     placed = out.where("n > 0").join(smallest, "root").select("key", "tk", "n", "root", "component_id")
     alone = out.where("n = 0").select("key", "tk", "n", F.lit(None).cast("long").alias("root"), F.col("key").alias("component_id"))
-    forget(spark, again, level)
+    tested.forget()
+    forget(spark, again, level, prefixes)
     return placed.unionByName(alone)
 
 

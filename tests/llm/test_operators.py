@@ -504,9 +504,8 @@ def test_near_duplicates_when_signatures_collide(spark, docs, monkeypatch):
     assert found == brute_components(ROWS)
 
 
-def test_near_duplicates_with_hot_elements(spark, monkeypatch):
-    """Pairs of copies, all of which hold one passage: hot elements are dealt over tasks, and nothing is lost."""
-    monkeypatch.setattr(shared, "HOT_ROWS", 20)
+def test_near_duplicates_with_hot_elements(spark):
+    """Pairs of copies, all of which hold one passage."""
     passage = prose(60, 901)
     rows = []
     for i in range(150):
