@@ -124,7 +124,7 @@ def test_index_stream_adds_batches_once(spark, tmp_path):
 
 def test_dictionary_query_has_every_term(spark):
     sf = "/root/testdata/sf0.001"
-    found = catalog.QUERIES["index_terms_all"](spark, sf)
+    found = catalog.QUERIES["index_terms"](spark, sf)
     assert found.count() == catalog.QUERIES["index_info"](spark, sf).first()["terms"]
     assert found.where("df = 1").count() > 0
 
