@@ -142,7 +142,7 @@ def load(spark, path: str, key: str, fields: dict[str, Tokenizer]) -> Index:
     return Index(read("rows"), key, fields, read("postings"), read("lengths"), max((r["buckets"] for r in meta), default=1), read("terms"), stats)
 
 
-_stored: dict[tuple, Index] = {}
+_stored: dict[tuple, tuple[str, Index]] = {}
 
 
 def stored(df: DataFrame, key: str, fields: dict[str, Tokenizer], folder: str) -> Index:
@@ -156,11 +156,15 @@ def stored(df: DataFrame, key: str, fields: dict[str, Tokenizer], folder: str) -
         status = at.getFileSystem(conf).getFileStatus(at)
         state.append((name, status.getModificationTime(), status.getLen()))
     known = (spark.sparkContext.applicationId, key, tuple(df.columns), tuple(sorted(fields.items(), key=str)), tuple(state))
+    if known in _stored:  # unless someone has removed its files
+        done = path_of(f"{_stored[known][0]}/meta/_SUCCESS")
+        if not done.getFileSystem(conf).exists(done):
+            del _stored[known]
     if known not in _stored:
         path = f"{folder.rstrip('/')}/index-{uuid.uuid4().hex}"
         build_index(df, key, fields).save(path)
-        _stored[known] = load(spark, path, key, fields)
-    return _stored[known]
+        _stored[known] = path, load(spark, path, key, fields)
+    return _stored[known][1]
 
 
 def build_index(df: DataFrame, key: str, fields: dict[str, Tokenizer]) -> Index:

@@ -35,3 +35,15 @@ def test_hot_terms_of_a_stored_index(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, q.search(stored, query).collect())) == sorted(map(tuple, q.search(built, query).collect()))
     assert sorted(map(tuple, stored.terms("text").collect())) == sorted(map(tuple, built.terms("text").collect()))
     assert stored.files().agg({"postings": "sum"}).first()[0] == built.postings.count()
+
+
+def test_a_stored_index_is_built_once_and_again_when_it_is_gone(spark, tmp_path):
+    from glyphmill.functions.tokenizers import Tokenizer
+    from glyphmill.operators import index as ix
+
+    spark.createDataFrame([(1, "a b"), (2, "b")], "id int, text string").write.parquet(f"{tmp_path}/rows")
+    ask = lambda: ix.stored(spark.read.parquet(f"{tmp_path}/rows"), "id", {"text": Tokenizer()}, f"file://{tmp_path}/x")
+    first = ask()
+    assert ask() is first
+    ix._remove(spark, f"file://{tmp_path}/x")
+    assert ask() is not first and ask().terms("text").count() == 2
