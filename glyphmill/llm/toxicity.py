@@ -185,14 +185,23 @@ def _best_cut(values: np.ndarray, y: np.ndarray) -> float:
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Dictionaries of all texts; weights and cut from folds that the dictionaries of the others measure."""
     y = np.array(labels, np.int64)
-    own = fresh_windows(texts)
-    samples = [[placed(w) for w in ws] for ws in own]
+    pool: dict[bytes, bytes] = {}  # one object for each distinct window
+    own = [[pool.setdefault(w, w) for w in ws] for ws in fresh_windows(texts)]
+    made = {w: placed(w) for w in pool}
+    samples = [[made[w] for w in ws] for ws in own]
     fold = np.zeros(len(y), np.int64)
     for label in (0, 1):
         fold[y == label] = np.arange((y == label).sum()) % FOLDS
 
+    # only beginnings in two toxic texts or more can be evidence: a sieve by hash lets all of them through, and few others
+    sieve = bytearray(1 << 22)
+    for i in np.flatnonzero(y == 1):
+        for b in {b for w in own[i] for b in _beginnings(w)}:
+            at = hash(b) & (len(sieve) - 1)
+            sieve[at] = min(2, sieve[at] + 1)
+
     def beginnings_of(part: np.ndarray) -> Counter:
-        return Counter(b for i in np.flatnonzero(part) for b in {b for w in own[i] for b in _beginnings(w)})
+        return Counter(b for i in np.flatnonzero(part) for b in {b for w in own[i] for b in _beginnings(w) if sieve[hash(b) & (len(sieve) - 1)] > 1})
 
     counts = {(f, label): beginnings_of((fold == f) & (y == label)) for f in range(FOLDS) for label in (0, 1)}
     total = {label: Counter() for label in (0, 1)}
