@@ -3,6 +3,9 @@ made of the documents' words, against SQL."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from glyphmill.operators import rewrite as rw
@@ -259,10 +262,47 @@ def document_streams(spark, sf_dir):
     return docs.select("doc_id", tokens.alias("tokens"))
 
 
+def word_streams(own, texts: pa.Array):
+    """The streams of `document_streams`, of an array of texts: (first row, last row, streams), some rows at a time."""
+    from glyphmill.operators.memo import Streams
+
+    table = [rw.Token(s, r, s, s, "", tuple(p.split("-")), rw.CLASSES.get(p.split("-")[0], "other"), 0, 0, ()) for s, p, r in VOCABULARY]
+    for first, last in own.pieces(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64) // 4):
+        rows = pc.fill_null(texts.slice(first, last - first), "").cast(pa.large_string())
+        _, offsets, data = rows.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[rows.offset : rows.offset + len(rows) + 1]
+        text = np.frombuffer(data if data is not None else b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        blank = text == ord(" ")
+        after = np.concatenate([[True], blank])[: len(text)]
+        after[bounds[bounds < len(text)]] = True
+        begins = np.flatnonzero(~blank & after)
+        lengths = np.diff(np.searchsorted(begins, bounds))
+        chars = np.add.reduceat(~blank & (text & 0xC0 != 0x80), begins, dtype=np.int64) if len(begins) else begins
+        kinds = np.array([own.kind(t) for t in table], np.int64)[(chars + _code_points(text, begins)) % _N]
+        place = np.arange(len(begins)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        yield first, last, Streams(lengths, kinds, place, place + 1)
+
+
+def _code_points(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The characters of UTF-8 text that begin at some bytes."""
+    code = text[at].astype(np.int64)
+    long = np.flatnonzero(code >= 0xC0)
+    head = code[long]
+    size = 2 + (head >= 0xE0) + (head >= 0xF0)
+    value = head & (0x7F >> size)
+    for k in range(1, 4):
+        more = size > k
+        value[more] = value[more] << 6 | text[at[long[more]] + k] & 0x3F
+    code[long] = value
+    return code
+
+
 def _over_documents(stage: str):
     def query(spark, sf_dir):
-        out = rw.rewrite_streams(document_streams(spark, sf_dir), "tokens", (stage,)).select("doc_id", F.explode("tokens").alias("t"))
-        return out.groupBy("doc_id", "t.surface", "t.cls", "t.reading").agg(F.count(F.lit(1)).alias("n"), F.sum("t.char_start").alias("places"))
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", "text")
+        out = rw.tally_streams(docs, "text", ("surface", "cls", "reading"), (stage,), make=word_streams)
+        return out.groupBy("doc_id", "surface", "cls", "reading").agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
 
     return query
 

@@ -1,8 +1,13 @@
 """Streams that stages must leave or change as whole pipelines do, and the lexicon's bounds."""
 
+import dataclasses
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from glyphmill.operators import memo
 from glyphmill.operators import rewrite as rw
 from glyphmill.plans import rewriting
 
@@ -54,3 +59,78 @@ def test_every_stage_has_a_query():
     from glyphmill.plans import catalog
 
     assert {f"stage_{s.name}" for s in rw.STAGES} <= set(catalog.ORACLES) and len(rw.STAGES) == 32
+
+
+def token(spec):
+    surface, pos, lemma, normal, reading = (spec.split("/") + [""] * 4)[:5]
+    lemma, pos = lemma or surface, tuple(pos.split("-"))
+    return rw.Token(surface, reading, lemma, normal or lemma, "", pos, rw.CLASSES.get(pos[0], "other"), 0, 0, ())
+
+
+def placed(tokens, at=0):
+    out = []
+    for t in tokens:
+        out.append(t._replace(char_start=at, char_end=at + len(t.surface)))
+        at += len(t.surface)
+    return out
+
+
+def remembered(streams, own):
+    kind = pa.list_(pa.struct(list(memo._TYPES.items())))
+    column = pa.array([[t._asdict() for t in s] for s in streams], kind)
+    return [stream for _, _, read in own.read(column) for stream in own.shown(own.run(read)).to_pylist()]
+
+
+def plain(streams, lexicon, only):
+    return [[{f: list(x) if isinstance(x, tuple) else x for f, x in t._asdict().items()} for t in rw.rewritten(s, lexicon, only)] for s in streams]
+
+
+#: Stages of queries over the documents' words, and how often a rule may run over 30,000 tokens of the vocabulary.
+ONCE = [("combine_particles", 100)]
+
+
+@pytest.mark.parametrize(("stage", "most"), ONCE)
+def test_a_rule_runs_once_for_places_that_look_alike(stage, most, monkeypatch):
+    monkeypatch.setattr(memo, "PIECE", 1000)
+    words = [token(f"{s}/{p}///{r}") for s, p, r in rewriting.VOCABULARY]
+    rnd, ran = random.Random(7), []
+    some = [placed(rnd.choices(words, k=rnd.randint(0, 600)), 3) for _ in range(100)]
+    own = memo.Rewriter(rw.Lexicon(), (stage,))
+    own.stages = [dataclasses.replace(s, sweeps=tuple(tuple(lambda v, rule=rule: ran.append(1) or rule(v) for rule in rules) for rules in s.sweeps)) for s in own.stages]
+    assert remembered(some, own) == plain(some, rw.Lexicon(), (stage,))
+    assert 0 < len(ran) <= most
+
+
+@pytest.mark.parametrize("deepest", [12, 2])
+def test_remembered_decisions_are_those_of_the_rules(deepest, monkeypatch):
+    """All stages over streams put together from the cases of each, with so few decisions kept that they are forgotten too."""
+    monkeypatch.setattr(memo, "DEEPEST", deepest)
+    monkeypatch.setattr(memo, "MOST_KINDS", 300)
+    monkeypatch.setattr(memo, "PIECE", 200)
+    cases = [[token(p) for p in s.split()] for rows in rewriting.CASES.values() for s, _, _ in rows] + [[token(p) for p in s.split()] for s, _ in rewriting.READING_CASES]
+    lexicon = rw.Lexicon({t.lstrip("!"): not t.startswith("!") for rows in rewriting.CASES.values() for _, terms, _ in rows for t in terms.split()})
+    rnd, words = random.Random(3), [t for c in cases for t in c]
+    some = [placed(sum((rnd.choice(cases) if rnd.random() < 0.6 else rnd.choices(words, k=2) for _ in range(rnd.randint(0, 8))), []), rnd.randint(0, 9)) for _ in range(120)]
+    for only in (None, *((s.name,) for s in rw.STAGES)):
+        assert remembered(some, memo.Rewriter(lexicon, only)) == plain(some, lexicon, only)
+
+
+def test_words_in_one_pass_are_the_streams_of_documents(spark, tmp_path):
+    texts = ["a bb  ccc ", "", " ", "\u00e9t\u00e9 \u65e5\u672c\u8a9e \U0001f600x \tb\n c", None, "x " * 700, "z"]
+    spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = rewriting.document_streams(spark, str(tmp_path))
+    by = ("surface", "cls", "reading", "pos")
+    wanted = sorted(map(repr, rw.tally_streams(tokens, "tokens", by, ("repair_hasa_noun",)).collect()))
+    found = rw.tally_streams(spark.read.parquet(str(tmp_path / "documents.parquet")).where("text is not null"), "text", by, ("repair_hasa_noun",), make=rewriting.word_streams)
+    assert sorted(map(repr, found.collect())) == wanted
+    counted = rw.rewrite_streams(tokens, only=("repair_hasa_noun",)).select("doc_id", F.explode("tokens").alias("t")).groupBy("doc_id", *(f"t.{f}" for f in by)).agg(F.count(F.lit(1)).alias("n"), F.sum("t.char_start").alias("places"))
+    again = found.groupBy("doc_id", *by).agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
+    assert sorted(map(repr, counted.collect())) == sorted(map(repr, again.collect()))
+
+
+def test_tokens_with_nulls_and_without_parts_of_speech(spark):
+    df = spark.sql("SELECT 1 AS id, array(named_struct('surface', '\u306f\u3055', 'dictionary_form', cast(null AS string), 'pos', array('\u540d\u8a5e', null), 'char_start', cast(null AS bigint), 'char_end', 9L), "
+                   "named_struct('surface', 'x', 'dictionary_form', 'y', 'pos', cast(array() AS array<string>), 'char_start', 9L, 'char_end', 10L)) AS tokens")
+    (row,) = rw.rewrite_streams(df, only=("repair_hasa_noun",)).collect()
+    assert [(t["surface"], t["cls"], t["char_start"], t["char_end"]) for t in row["tokens"]] == [("\u306f", "particle", None, None), ("\u3055", "particle", None, 9), ("x", "other", 9, 10)]
+    assert {(r["cls"], r["n"], r["places"]) for r in rw.tally_streams(df, by=("cls",)).collect()} == {("particle", 2, None), ("other", 1, 9)}
