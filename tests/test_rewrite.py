@@ -86,7 +86,7 @@ def plain(streams, lexicon, only):
 
 
 #: Stages of queries over the documents' words, and how often a rule may run over 30,000 tokens of the vocabulary.
-ONCE = [("combine_particles", 100), ("combine_tte", 60), ("cleanup_filter_misparse", 200), ("repair_hasa_noun", 30), ("disambiguation_fix_reading_ambiguity", 1000)]
+ONCE = [("combine_particles", 100), ("combine_tte", 60), ("cleanup_filter_misparse", 200), ("repair_hasa_noun", 30), ("disambiguation_fix_reading_ambiguity", 1000), ("split_tawake_noun", 60)]
 
 
 @pytest.mark.parametrize(("stage", "most"), ONCE)
