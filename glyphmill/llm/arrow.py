@@ -1,14 +1,53 @@
-"""Row-preserving Arrow operators: new columns from a text column, all others passed through."""
+"""Row-preserving Arrow operators: new columns from a text column, all others passed through.
+
+A Python worker outlives its tasks and goes on to those of other operators. What one keeps between its tasks is `held`;
+the others `let_go` of it, and of memory that is free but not given back, so that a worker holds one operator at a time."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+_held: list = []
+
+
+def held(make: Callable) -> Callable:
+    """make with its last two results kept in the worker, until `let_go`."""
+    kept = lru_cache(2)(make)
+    _held.append(kept)
+    return kept
+
+
+def let_go() -> None:
+    """Drop what is held in this worker, and give free memory back to the system."""
+    for kept in _held:
+        kept.cache_clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def alone(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for tasks that hold nothing: nothing held is there when one begins, and its memory is given back when it ends."""
+
+    def task(batches):
+        let_go()
+        try:
+            yield from run(batches)
+        finally:
+            let_go()
+
+    return task
+
+
 def with_columns(df: DataFrame, text: str, fields: list[tuple[str, str]], make: Callable[[], Callable[[pa.Array], Iterator[tuple[int, int, list]]]]) -> DataFrame:
     """df with the given (name, type) columns added; an input column of the same name is replaced.
 

@@ -14,7 +14,6 @@ import codecs
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.arrow import with_columns
+from glyphmill.llm.arrow import held, with_columns
 from glyphmill.llm.bpe import BpeModel, byte_letters
 from glyphmill.llm.pieces import Splitter, UnitEncoder
 
@@ -62,14 +61,14 @@ class Decoder:
         return b"".join(self.pieces(ids)).decode()
 
 
-@lru_cache(2)
+@held
 def _units(path: str, words: bool) -> UnitEncoder:
     model = BpeModel(path)
     split = Splitter(tokenizers.Tokenizer.from_file(path), words)
     return UnitEncoder(split, lambda ps: model.encode_words([p.encode() for p in ps]), model.special)
 
 
-@lru_cache(2)
+@held
 def _decoder(path: str) -> Decoder:
     return Decoder(path)
 

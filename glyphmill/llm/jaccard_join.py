@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphmill.llm.arrow import alone
 from glyphmill.llm.graph import extended, no_roots
 from glyphmill.llm.shared import forget, small_batches, written
 from glyphmill.llm.words import mix, scans
@@ -46,11 +47,13 @@ COSTLY = 8
 #: Turns of stars at each level.
 TURNS = 2
 _BAND = 1.0625
+#: Bytes of text whose words are hashed at once; that takes several arrays of 8 bytes for each.
+_SLICE_BYTES = 1 << 18
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    for scan in scans(column, lower=True):
+    for scan in scans(column, lower=True, slice_bytes=_SLICE_BYTES):
         hashes = scan.hashes()
         at, grams = scan.windows(hashes, width)
         cuts = np.searchsorted(at, scan.bounds)
@@ -104,7 +107,7 @@ def _prepare(docs: DataFrame, percent: int, width: int, salt: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(proof, pa.int64()), pa.array(need, pa.int32()), lists], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(alone(run), schema)
 
 
 def _signature(s: np.ndarray, salt: int) -> int:
@@ -124,7 +127,7 @@ def _full(docs: DataFrame, percent: int, width: int, salt: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([_signature(s, salt) for s in sets], pa.int64()), pa.array(sizes, pa.int64()), pa.array([least_overlap(n, percent) for n in sizes], pa.int32()), lists], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(alone(run), schema)
 
 
 def _shared(tokens: DataFrame, needs: DataFrame) -> DataFrame:

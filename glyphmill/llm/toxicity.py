@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.arrow import with_columns
+from glyphmill.llm.arrow import alone, with_columns
 
 TRAIN_DOCS, TRAIN_BYTES, FOLDS = 2000, 65536, 4
 ORDINARY_BYTES, TOXIC_BYTES = 65536, 4096
@@ -45,6 +45,8 @@ STEPS = (2, 4, 6, 9)
 REJECT = 0.7
 #: Distinct windows whose gains a task remembers; forgotten when full.
 _CACHE = 400_000
+#: Rows that `without_toxic` hands back at once.
+_ROWS = 500
 
 _NOISE = b"".join(hashlib.sha256(bytes([i])).digest() for i in range(4))
 _HEAD, _TAIL = _NOISE[:96], _NOISE[96:108]
@@ -276,9 +278,11 @@ def without_toxic(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches):
         own = Model(*parts).measure()
         for batch in batches:
-            yield batch.filter(pa.array([own.score(t) < REJECT for t in batch.column(at).to_pylist()], pa.bool_()))
+            for first in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(first, _ROWS)
+                yield part.filter(pa.array([own.score(t) < REJECT for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(alone(run), df.schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

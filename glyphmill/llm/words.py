@@ -39,7 +39,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 1 << int(n - 1).bit_length()
+            size = n + n // 8
             for name, step in (("up", self.base), ("down", self.inverse)):
                 out = np.full(size, U(step), U)
                 out[0] = U(1)

@@ -10,12 +10,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, bpe_text, decontamination, graph, jaccard_join, pieces, quality, shared, sharding, substring_dedup, token_counts, token_files, toxicity, warc, words
+from glyphmill.llm import arrow, bpe, bpe_text, decontamination, graph, jaccard_join, pieces, quality, shared, sharding, substring_dedup, token_counts, token_files, toxicity, warc, words
 from glyphmill.llm.shared import fresh_folder, join_split, written
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -129,6 +130,23 @@ def test_scan_finds_words_and_windows():
 # ---------------------------------------------------------------- 1 sharding
 
 
+def test_a_task_alone_holds_nothing_of_other_operators():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    before = bpe_text._decoder(path)
+    assert bpe_text._decoder(path) is before
+    assert list(arrow.alone(lambda batches: (b for b in batches))([1, 2])) == [1, 2]
+    assert bpe_text._decoder.cache_info().currsize == 0 and bpe_text._units.cache_info().currsize == 0
+    assert bpe_text._decoder(path) is not before
+
+
+def test_powers_hold_little_more_than_asked_for():
+    powers = words._Powers(3)
+    for n in (1, 2, 1000, (1 << 20) + 1):
+        up, down = powers.upto(n)
+        assert len(up) == len(down) == n and len(powers.up) <= 1.2 * n + 8
+        assert ((up * down) == 1).all()
+
+
 def test_sharding_law_and_ring(spark, docs, empty):
     rows = sharding.shard(docs, 4, vnodes=8).collect()
     assert len(rows) == len(ROWS)
@@ -529,6 +547,13 @@ def test_near_duplicates_of_other_columns_and_text_keys(spark, odd):
     assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
 
 
+def test_shingle_sets_of_any_slices(monkeypatch):
+    column = pa.array(["a b c d e f g", None, "", "x y", "p q r s t " * 400, "A b c d e f g"])
+    whole = [s.tolist() for s in jaccard_join.shingle_sets(column)]
+    monkeypatch.setattr(jaccard_join, "_SLICE_BYTES", 16)
+    assert [s.tolist() for s in jaccard_join.shingle_sets(column)] == whole and whole[0] == whole[5] and len(whole[4]) == 5
+
+
 def test_one_of_each_group_stays(docs, clash):
     kept = jaccard_join.without_near_duplicates(docs).collect()
     want = brute_components(ROWS)
@@ -571,6 +596,19 @@ def test_toxicity(spark, empty):
     assert {x["score"] for x in toxicity.score(docs, one).collect()} == {0.0}
 
 
+def test_rows_that_stay_are_handed_back_by_the_few(monkeypatch):
+    class Frame:
+        columns, schema = ["doc_id", "text"], None
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    monkeypatch.setattr(toxicity, "_ROWS", 7)
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(20), "text": ["one two"] * 20})
+    out = list(toxicity.without_toxic(Frame(), toxicity.Model())(iter([batch])))
+    assert [b.num_rows for b in out] == [7, 7, 6] and pa.Table.from_batches(out).equals(pa.Table.from_batches([batch]))
+
+
 def test_toxicity_by_language(spark):
     """Held-out labelled rows of sf0.1, learned from the others: recall and precision overall and by language."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
