@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,16 +18,28 @@ _held: list = []
 
 
 def held(make: Callable) -> Callable:
-    """make with its last two results kept in the worker, until `let_go`."""
-    kept = lru_cache(2)(make)
+    """make with its last two results kept in the worker, until `let_go`; what making them took is given back."""
+
+    @lru_cache(2)
+    @wraps(make)
+    def kept(*args):
+        out = make(*args)
+        give_back()
+        return out
+
     _held.append(kept)
     return kept
 
 
 def let_go() -> None:
-    """Drop what is held in this worker, and give free memory back to the system."""
+    """Drop what is held in this worker, and give free memory back."""
     for kept in _held:
         kept.cache_clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Give memory of this worker that is free back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -48,6 +60,13 @@ def alone(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return task
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, for what makes Python objects of long texts."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def with_columns(df: DataFrame, text: str, fields: list[tuple[str, str]], make: Callable[[], Callable[[pa.Array], Iterator[tuple[int, int, list]]]]) -> DataFrame:
     """df with the given (name, type) columns added; an input column of the same name is replaced.
 
@@ -68,5 +87,6 @@ def with_columns(df: DataFrame, text: str, fields: list[tuple[str, str]], make:
             for first, last, arrays in slices(batch.column(batch.num_columns - 1)):
                 columns = [c.slice(first, last - first) for c in carried] + list(arrays)
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names])
+        give_back()
 
     return source.mapInArrow(run, schema)

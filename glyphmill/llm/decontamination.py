@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from glyphmill.llm.arrow import alone, parts
 from glyphmill.llm.shared import forget, written
 from glyphmill.llm.words import mix
 
@@ -215,12 +216,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
         def run(batches, sent=sent):
             block = Block(sent.value)
-            for batch in batches:
+            for batch in parts(batches):
                 rows = [(k, *found) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for found in block.search(t)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
 
-        part = source.mapInArrow(run, schema)
+        part = source.mapInArrow(alone(run), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = source.sparkSession.createDataFrame([], schema)
@@ -240,11 +241,11 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "tex
 
         def run(batches, sent=sent):
             block = Block(sent.value)
-            for batch in batches:
+            for batch in parts(batches):
                 clean = [next(block.search(t), None) is None for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(alone(run), docs.schema)
     return docs
 
 

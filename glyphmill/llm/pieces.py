@@ -77,9 +77,9 @@ class UnitEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.at, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _values(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat values, values per text) without the cache."""
@@ -148,8 +148,8 @@ class UnitEncoder:
                 self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
             self.flat[self.used : self.used + len(values)] = values
             row[new] = len(self.at) + np.arange(len(new))
-            self.at = np.r_[self.at, self.used + np.cumsum(counts) - counts]
-            self.count = np.r_[self.count, counts]
+            self.at = np.r_[self.at, (self.used + np.cumsum(counts) - counts).astype(np.int32)]
+            self.count = np.r_[self.count, counts.astype(np.int32)]
             self.used += len(values)
             self.keys = np.insert(self.keys, at[new], distinct[new])
             self.rows = np.insert(self.rows, at[new], row[new])

@@ -31,12 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphmill.llm.arrow import alone, parts
 from glyphmill.llm.shared import forget, join_split, small_batches, whole_number_key, written
 from glyphmill.llm.words import scans
 
 WINDOW, ANCHOR, PHRASE = 50, 25, 16
 #: Bytes of passages in one automaton, and of texts in one copy of a shard.
 SHARD_BYTES, STREAM_BYTES = 2_000_000, 16_000_000
+#: Bytes of text that are hashed at once.
+SLICE_BYTES = 1 << 18
 _LAST = 2**63 - 1
 
 
@@ -73,13 +76,13 @@ def _survey(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             column, counts, marks = batch.column(3), [], []
-            for scan in scans(column):
+            for scan in scans(column, slice_bytes=SLICE_BYTES):
                 counts += np.diff(scan.bounds).tolist()
                 marks += [np.unique(m).view(np.int64) for m in _window_marks(scan, scan.hashes())]
             shas = [_sha((t or "").encode().split()) for t in column.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(shas, pa.string()), _lists(marks, np.int64)], names=schema.names)
 
-    return docs.select("own", "key", "id", "text").mapInArrow(run, schema)
+    return docs.select("own", "key", "id", "text").mapInArrow(alone(run), schema)
 
 
 def _recurring(texts: DataFrame) -> DataFrame:
@@ -90,7 +93,7 @@ def _recurring(texts: DataFrame) -> DataFrame:
         for batch in batches:
             again, column = batch.column(2).to_pylist(), batch.column(3)
             hashes, starts = [], []
-            for scan in scans(column):
+            for scan in scans(column, slice_bytes=SLICE_BYTES):
                 words = scan.hashes()
                 at, wide = scan.windows(words, WINDOW)
                 cuts = np.searchsorted(at, scan.bounds)
@@ -100,7 +103,7 @@ def _recurring(texts: DataFrame) -> DataFrame:
                     starts.append(np.flatnonzero(hit))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column, _lists(hashes, np.int64), _lists(starts, np.int32)], names=schema.names)
 
-    return texts.select("key", "tk", "again", "text").mapInArrow(run, schema)
+    return texts.select("key", "tk", "again", "text").mapInArrow(alone(run), schema)
 
 
 def _passages(owned: DataFrame) -> DataFrame:
@@ -118,7 +121,7 @@ def _passages(owned: DataFrame) -> DataFrame:
             arrays = [pa.array(out[0], batch.column(0).type), pa.array(out[1], batch.column(1).type), pa.array(out[2], pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return owned.select("shard", "key", "starts", "text").mapInArrow(run, schema)
+    return owned.select("shard", "key", "starts", "text").mapInArrow(alone(run), schema)
 
 
 class Automaton:
@@ -137,7 +140,7 @@ class Automaton:
         self.words = [p.split(b" ") for p in self.passages]
         self.machine = ahocorasick.Automaton()
         keys, passages, offsets = [], [], []
-        for scan in scans(pa.array(self.passages, pa.binary())):
+        for scan in scans(pa.array(self.passages, pa.binary()), slice_bytes=SLICE_BYTES):
             words = scan.hashes()
             at, wide = scan.windows(words, WINDOW)
             keys.append(wide)
@@ -201,7 +204,7 @@ def _stream(dealt: DataFrame) -> DataFrame:
             out = ([], [], [], [])
             *columns, texts = batch.columns
             rows = list(zip(*(c.to_pylist() for c in columns), strict=True))
-            for scan in scans(texts):
+            for scan in scans(texts, slice_bytes=SLICE_BYTES):
                 at, wide = scan.windows(scan.hashes(), WINDOW)
                 cuts, data = np.searchsorted(at, scan.bounds), scan.data.tobytes()
                 for d in range(len(scan.bounds) - 1):
@@ -219,7 +222,7 @@ def _stream(dealt: DataFrame) -> DataFrame:
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, f) for v, f in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=schema.names)
 
-    return dealt.select("shard", "copy", "is_text", "key", "tk", "text").mapInArrow(run, schema)
+    return dealt.select("shard", "copy", "is_text", "key", "tk", "text").mapInArrow(alone(run), schema)
 
 
 def keep_mask(n: int, froms: list[int], tos: list[int]) -> np.ndarray:
@@ -294,7 +297,7 @@ def _digests(cuts: DataFrame) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=schema.names)
 
-    return cuts.select("tk", "froms", "tos", "text").mapInArrow(run, schema)
+    return cuts.select("tk", "froms", "tos", "text").mapInArrow(alone(run), schema)
 
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -325,7 +328,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     staged = marked.select(*names, F.coalesce(F.col("key") > F.col("least"), F.lit(False)), "froms", "tos")
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             arrays = list(batch.columns[: len(names)])
             out = arrays[at].to_pylist()
             for i, (all_, froms, tos) in enumerate(zip(*(c.to_pylist() for c in batch.columns[len(names) :]), strict=True)):
@@ -337,7 +340,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
             arrays[at] = pa.array(out, arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return staged.mapInArrow(run, df.schema)
+    return staged.mapInArrow(alone(run), df.schema)
 
 
 #: DuckDB SQL for the rows of the query.

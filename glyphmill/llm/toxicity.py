@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.arrow import alone, with_columns
+from glyphmill.llm.arrow import alone, parts, with_columns
 
 TRAIN_DOCS, TRAIN_BYTES, FOLDS = 2000, 65536, 4
 ORDINARY_BYTES, TOXIC_BYTES = 65536, 4096
@@ -273,14 +273,12 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def without_toxic(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df without the rows that score REJECT or more; all columns as they are, whatever their names."""
     at = df.columns.index(text)
-    parts = (model.ordinary, model.toxic, model.weights)
+    fitted = (model.ordinary, model.toxic, model.weights)
 
     def run(batches):
-        own = Model(*parts).measure()
-        for batch in batches:
-            for first in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(first, _ROWS)
-                yield part.filter(pa.array([own.score(t) < REJECT for t in part.column(at).to_pylist()], pa.bool_()))
+        own = Model(*fitted).measure()
+        for part in parts(batches, _ROWS):
+            yield part.filter(pa.array([own.score(t) < REJECT for t in part.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(alone(run), df.schema)
 

@@ -139,6 +139,43 @@ def test_a_task_alone_holds_nothing_of_other_operators():
     assert bpe_text._decoder(path) is not before
 
 
+def test_what_making_held_things_took_is_given_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(arrow, "give_back", lambda: given.append(1))
+    made = arrow.held(lambda x: [x])
+    assert made(1) is made(1) and given == [1]
+    arrow._held.remove(made)
+
+
+def test_parts_are_few_rows_and_all_of_them():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (0, 3, 1203)]
+    out = list(arrow.parts(iter(batches)))
+    assert max(b.num_rows for b in out) == 500
+    assert [x for b in out for x in b.column(0).to_pylist()] == [*range(3), *range(1203)]
+
+
+def test_tasks_of_repeats_and_of_decontamination_are_alone(spark, monkeypatch):
+    tasks, plain = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, run, *more, **named: (tasks.append(run.__qualname__), plain(df, run, *more, **named))[1])
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, "z " + text), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(docs).collect()} == {1: text, 2: "z", 3: None}
+    assert [r["doc_id"] for r in decontamination.without_contaminated(docs, bench).collect()] == [3]
+    assert len(decontamination.contaminated(docs, bench).collect()) == 2
+    assert len(tasks) == 7 and all(t.startswith("alone.") for t in tasks)
+
+
+def test_units_remembered_take_twenty_bytes_and_their_ids():
+    units = bpe_text._units.__wrapped__(public_tokenizers.path("word_bpe_49k.json"), True)
+    import pyarrow as pa
+
+    assert [flat.tolist() for _, _, flat, _ in units(pa.array(["one two one"]))] == [flat.tolist() for _, _, flat, _ in units(pa.array(["one two one"]))]
+    assert sum(a.itemsize for a in (units.keys, units.rows, units.at, units.count)) == 20
+
+
 def test_powers_hold_little_more_than_asked_for():
     powers = words._Powers(3)
     for n in (1, 2, 1000, (1 << 20) + 1):
